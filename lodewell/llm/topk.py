@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def _packed(df: DataFrame, width: int) -> DataFrame:
                 part = b.slice(lo, BLOCK)
                 v = np.zeros((part.num_rows, width), np.int32)
                 col = part.column("v")
-                lengths = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False)
+                lengths = pc.list_value_length(col).to_numpy(zero_copy_only=False)
                 v[np.arange(width) < lengths[:, None]] = col.flatten().to_numpy()
                 held_at.append(part.column("at").to_numpy())
                 held_v.append(v)
