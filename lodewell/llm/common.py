@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
@@ -67,8 +66,16 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = to
 
 
-def salted_counts(n: float, per: float) -> int:
-    return max(1, math.ceil(n / per))
+#: Keys (some 16 to 40 bytes each) that may be sent to every task.
+BROADCAST_KEYS = 1_000_000
+
+
+def only_these(rows: DataFrame, wanted: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with the few `wanted`, one row a key.  Their number is counted first: small, they
+    go to where the rows are, so that no text is shuffled; beyond the bound both are shuffled."""
+    if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, key, how)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60, small: int = 200_000) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, nearjoin, packing, quality, topk
+from . import bpe, langid, nearjoin, packing, pii, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
@@ -53,7 +58,7 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op3_packing, op5_quality, op7_langid, op8_bpe, op10_nearjoin)}
+    return {f.__name__: f for f in (op1_topk, op3_packing, op5_quality, op6_pii, op7_langid, op8_bpe, op10_nearjoin)}
 
 
 def oracle_sql() -> dict[str, str]:
