@@ -23,7 +23,7 @@ from .common import connected_components, written
 #: Items that a cell of a large node holds of either side.
 CELL = 1024
 #: Cells up to this size are compared by shifting the rows against themselves.
-SHIFTS = 64
+SHIFTS = 256
 
 #: (sketches a, sketches b, sizes a, sizes b) -> (may be linked, likeness)
 Like = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
