@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, nearjoin, packing, pii, quality, topk
+from . import bpe, langid, lines, nearjoin, packing, pii, quality, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
@@ -62,7 +67,7 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_lines, op3_packing, op5_quality, op6_pii, op7_langid, op8_bpe, op10_nearjoin)}
+    return {f.__name__: f for f in (op1_topk, op2_lines, op3_packing, op4_suffix, op5_quality, op6_pii, op7_langid, op8_bpe, op10_nearjoin)}
 
 
 def oracle_sql() -> dict[str, str]:
