@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, nearjoin, packing, pii, quality, suffix, topk
+from . import bpe, langid, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +62,27 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under four edits: its head replaced, a cut at a third, a note put in at two thirds, its last word doubled."""
+    import public_tokenizers
+
+    n = "CAST(length(text) AS BIGINT)"
+    edits = f"""array(
+        named_struct('start', 0L, 'stop', 5L, 'put', 'The'),
+        named_struct('start', {n} div 3, 'stop', {n} div 3 + 7, 'put', ''),
+        named_struct('start', 2 * {n} div 3, 'stop', 2 * {n} div 3, 'put', concat(' (see note ', CAST({n} % 97 AS STRING), ": it's new)\n")),
+        named_struct('start', 1000000000000L, 'stop', 1000000000000L, 'put', concat(' ', substring_index(text, ' ', -1))))"""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(edits).alias("edits"))
+    found = tokencounts.count_edited(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_reencoded", F.sha2(F.col("text_after").cast("binary"), 256).alias("after_sha256"))
+
+
 def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_components(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_lines, op3_packing, op4_suffix, op5_quality, op6_pii, op7_langid, op8_bpe, op10_nearjoin)}
+    return {f.__name__: f for f in (op1_topk, op2_lines, op3_packing, op4_suffix, op5_quality, op6_pii, op7_langid, op8_bpe, op9_tokencounts, op10_nearjoin)}
 
 
 def oracle_sql() -> dict[str, str]:
