@@ -25,7 +25,7 @@ def sentences(c: Column) -> Column:
 
 def claims(c: Column) -> Column:
     """Sentences cut only before a capital or a digit, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z0-9])"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def pack_greedily(pieces: Column, most: int, least: int = 0, joint: str = " ") -> Column:
@@ -118,7 +118,7 @@ def list_cell(arr: Column) -> Column:
 
 
 def cell_list(c: Column, sep: str = ",") -> Column:
-    return F.transform(F.split(c, sep), F.trim)
+    return F.transform(F.split(c, sep), lambda x: F.trim(x))
 
 
 def four_decimals(x: Column) -> Column:

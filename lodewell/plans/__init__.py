@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-_FAMILIES = ("retrieval",)
+_FAMILIES = ("retrieval", "evidence", "reports", "statistics")
 
 
 def all_queries() -> dict[str, tuple[Callable, str | None]]:

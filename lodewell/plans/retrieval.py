@@ -11,7 +11,7 @@ from .base import BM25, QRELS, qrels, table, topics
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     run = R.bm25(table(spark, sf, "documents"), topics(spark, sf), 10)
-    return run.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+    return run.select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
 def _run(spark: SparkSession, sf: str, k: int) -> DataFrame:
@@ -46,12 +46,12 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     whole = R.bm25(docs, t, 100)
     head = R.bm25(docs.select("doc_id", F.substring("text", 1, 300).alias("text")), t, 100)
     out = R.fused([whole, head], 20)
-    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+    return out.select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
 def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return R.dense_top(e, e.where("vec_id < 10"), 20).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    return R.dense_top(e, e.where("vec_id < 10"), 20).select("query_id", "doc_id", "score")
 
 
 def knn_eval(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +98,7 @@ agg AS (SELECT query_id, sum(CASE WHEN rank <= 10 THEN (pow(2, rel) - 1) / log2(
 met AS (SELECT query_id, round(CASE WHEN i = 0 THEN 0 ELSE d / i END, 6) AS ndcg, round(CASE WHEN a = 0 THEN 0 ELSE h / a END, 6) AS recall FROM agg)"""
 
 QUERIES = {
-    "bm25_topk": (bm25_topk, "WITH " + BM25 + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10"),
+    "bm25_topk": (bm25_topk, "WITH " + BM25 + " SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 10"),
     "ir_metrics_run": (ir_metrics_run, "WITH " + _METRICS + " SELECT * FROM met"),
     "ir_summary": (ir_summary, "WITH " + _METRICS + " SELECT count(*) AS n_queries, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM met"),
     "ir_metrics_qrels": (ir_metrics_qrels, "WITH " + BM25 + ", qr AS (" + QRELS + """),
@@ -113,12 +113,12 @@ SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall, round(quanti
     "rrf_fusion": (rrf_fusion, "WITH two AS (WITH " + BM25 + " SELECT query_id, doc_id, rank FROM bm WHERE rank <= 100), head AS (WITH " + BM25.replace("FROM documents", "FROM (SELECT doc_id, substr(text, 1, 300) AS text FROM documents)") + """ SELECT query_id, doc_id, rank FROM bm WHERE rank <= 100),
 fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM two UNION ALL SELECT * FROM head) GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu)
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 20"""),
+SELECT query_id, doc_id, score, rank FROM rk WHERE rank <= 20"""),
     "knn_exact": (knn_exact, """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u),
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(q.v, d.v), 6) AS score FROM n q JOIN n d ON q.vec_id < 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-SELECT query_id, doc_id, round(score, 5) AS score FROM r WHERE rank <= 20"""),
+SELECT query_id, doc_id, score FROM r WHERE rank <= 20"""),
     "knn_eval": (knn_eval, """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u),
 s AS (SELECT q.vec_id AS query_id, q.label AS ql, d.label AS l, d.vec_id AS doc_id, round(list_dot_product(q.v, d.v), 6) AS score FROM n q JOIN n d ON q.vec_id < 10),
