@@ -20,11 +20,6 @@ def unfenced(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
 
 
-def parsed(c: Column, schema: str) -> Column:
-    """The outer object by a schema; null where it doesn't parse."""
-    return F.from_json(outer_object(unfenced(c)), schema, {"mode": "PERMISSIVE"})
-
-
 @F.pandas_udf(StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     """The first complete object, braces inside strings not counted; null if none closes.
@@ -59,6 +54,12 @@ def first_object(texts: pd.Series) -> pd.Series:
     return texts.map(scan)
 
 
+def parsed(c: Column, schema: str) -> Column:
+    """The outer object by a schema; null where it isn't one JSON value (text behind the first would be passed over otherwise)."""
+    text = outer_object(unfenced(c))
+    return F.when(first_object(text) == text, F.from_json(text, schema, {"mode": "PERMISSIVE"}))
+
+
 def score_in(c: Column, low: int = 1, high: int = 5) -> Column:
     """A whole number within bounds, else null."""
     x = c.cast("string").try_cast("double")
