@@ -86,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1, "op10_nearjoin": OP10}
+    return {"op1_topk": OP1, "op5_quality": OP5, "op10_nearjoin": OP10}
 
 
 OP1 = """
@@ -118,3 +118,28 @@ m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT CAST(s.doc_id AS BIGINT) AS doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CAST(m.component_id AS BIGINT) AS component_id, s.doc_id = m.component_id AS kept
 FROM s JOIN m ON m.a = s.doc_id
 """
+
+OP5 = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+i AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS k FROM i),
+twice AS (SELECT doc_id, unnest(list(i)) AS i FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, (SELECT unnest(range(8)) AS j) GROUP BY 1),
+st AS (
+  SELECT w.doc_id, w.source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(cov.n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN cov ON cov.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM st),
+h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS f FROM b WHERE source IS NOT NULL GROUP BY 1),
+m AS (SELECT coalesce(sum(f) / sum(n), 0) AS m, coalesce(var_samp(f / n), 0) AS v, coalesce(avg(1 / n), 0) AS inv FROM h),
+p AS (SELECT m, least(1000, greatest(1, m * (1 - m) / greatest(1e-9, v - m * (1 - m) * inv) - 1)) AS s FROM m),
+bad AS (SELECT source FROM h, p WHERE (f + s * m) / (n + s) > 0.9)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept, source IS NOT NULL AND source IN (SELECT source FROM bad) AS host_failed
+FROM b
+"""

@@ -1,0 +1,354 @@
+"""Every operator against a plain version of its definition, on the driver's smallest documents and on made-up ones."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import public_tokenizers as P
+
+from lodewell.llm import bpe, common, entries, langid, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(1)
+    v = rng.integers(-9, 9, (400, 6)) / 64
+    v[200:230] = v[7]
+    t = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(t, lambda i: i % 20 == 0, 5).collect()}
+    w = np.floor(64 * v).astype(int)
+    want = {}
+    for q in range(0, 400, 20):
+        best = sorted((-int(w[q] @ w[i]), i) for i in range(400) if i != q)[:5]
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+
+
+@pytest.mark.parametrize("n, k", [(50, 3), (500, 21), (10, 20)])
+def test_bounds_keep_the_best(n, k):
+    rng = np.random.default_rng(n)
+    v, q = rng.integers(-40, 40, (n, 16)).astype(np.int32), rng.integers(-40, 40, (8, 16)).astype(np.int64)
+    for i, (rows, scores) in enumerate(topk.search_block(q, v, k, (0.3, 0.7, 0.95))):
+        exact = v @ q[i]
+        assert (exact[rows] == scores).all()
+        best = np.sort(exact)[::-1][:k]
+        assert np.sort(scores)[::-1][: len(best)].tolist() == best.tolist()
+
+
+def test_quality(texts):
+    for t in texts.values():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        count = collections.Counter(runs)
+        covered = {i + j for i, r in enumerate(runs) if count[r] > 1 for j in range(8)}
+        solid = collections.Counter(x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), sum(solid.values()) - len(solid), len(covered))
+        assert tuple(int(x[0]) for x in quality.statistics_of(pa.array([t])).values()) == want
+
+
+def test_packing(docs, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    ids = {d: [*tok.encode(t, add_special_tokens=False).ids, 1] for d, t in texts.items()}
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in packing.pack(docs.repartition(3), P.path("byte_bpe_50k.json")).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id][r.start : r.start + r.length]
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length, r.sequence_tokens))
+    for d, x in pieces.items():
+        assert [s for s, _ in sorted(x)] == np.cumsum([0, *(n for _, n in sorted(x))])[:-1].tolist() and sum(n for _, n in x) == len(ids[d])
+    for x in sequences.values():
+        total = sum(n for _, n, _ in x)
+        assert [o for o, _, _ in sorted(x)] == np.cumsum([0, *(n for _, n, _ in sorted(x))])[:-1].tolist()
+        assert total == x[0][2] <= 2048 and total & (total - 1) == 0  # no padding at all
+    assert pieces.keys() == ids.keys()
+
+
+def test_packing_other_vocabularies():
+    """A file that isn't a plain byte-level BPE goes through the tokenizers library itself."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert list(packing.tokenizer(P.path("word_bpe_49k.json"))("Hello, world")) == t.encode("Hello, world", add_special_tokens=False).ids
+
+
+def brute_removed(texts, length):
+    seen = collections.Counter(b[i : i + length] for b in texts.values() for i in range(len(b) - length + 1))
+    out = {}
+    for d, b in texts.items():
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out[d] = gone
+    return out
+
+
+@pytest.mark.parametrize("most", [suffix.MOST, 0])
+def test_suffix(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix, "MOST", most)  # 0: strings of every contested bin are hashed
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in (60, 90, 130, 400)]
+    texts = {}
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(rng.randint(0, 80))) for _ in range(3)]
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(passages)
+            parts.insert(rng.randint(0, 3), p[rng.randint(0, 40) : len(p) - rng.randint(0, 60)])
+        texts[i] = "".join(parts)
+    texts |= {100: "ab" * 700, 101: "x" * 401, 102: texts[3], 103: texts[3][:500] + "z" + texts[3][501:]}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute_removed({k: t.encode() for k, t in texts.items()}, 400)
+    for r in suffix.remove_repeats(d).collect():
+        raw, gone = np.frombuffer(texts[r.doc_id].encode(), np.uint8), want[r.doc_id]
+        spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(raw), int(gone.sum()), spans, raw[~gone].tobytes()), r.doc_id
+
+
+def test_interval_expansion():
+    rng = random.Random(0)
+    for _ in range(60):
+        base = "".join(rng.choice("ab") for _ in range(80))
+        strings = [rng.choice(["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))), base[rng.randint(0, 30) : rng.randint(40, 80)], "a" * rng.randint(0, 50)]) for _ in range(rng.randint(1, 6))]
+        length = rng.choice([8, 12, 20])
+        classes, strings_of = {}, {}
+        for s, (at, k) in zip(strings, suffix.shared_prefixes([np.frombuffer(s.encode(), np.uint8) for s in strings], length), strict=True):
+            for a, c in zip(at, k, strict=True):
+                g = s[a : a + length]
+                assert classes.setdefault(g, c) == c and strings_of.setdefault(c, g) == g
+
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def plain_spans(t):
+    out = []
+    for kind, p in PATTERNS:
+        for m in re.finditer(p, t):
+            digits = re.sub("[^0-9]", "", m.group())
+            odd = [int(c) for c in reversed(digits)]
+            luhn = (sum(odd[::2]) + sum(sum(divmod(2 * x, 10)) for x in odd[1::2])) % 10 == 0
+            if kind == "email" or kind == "ip" and all(int(x) < 256 for x in m.group().split(".")) or kind == "card" and 14 <= len(digits) <= 19 and luhn or kind == "phone" and 10 <= len(digits) <= 15:
+                out.append((*m.span(), kind))
+    return out
+
+
+def test_base_spans(texts):
+    rng = random.Random(1)
+    made = ["".join(rng.choice(["1", "2", "55", "4111", "-", " ", ".", "@", "a", "b.c", "+", "(", ")", "é", "%", "..", "255", "0"]) for _ in range(rng.randint(0, 40))) for _ in range(20000)]
+    for t in [*texts.values(), *made, "1" * 5000, "a" * 5000, "@" * 500]:
+        assert pii.written_spans(pii.base_spans(t)) == pii.written_spans(plain_spans(t))
+
+
+def test_learned_spans(spark):
+    """Keys and passwords are found, look-alikes and plain text are not; every base span stays."""
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    rows = [f"so it was token = \"{h}\" and more" for h in hexes[:30]] + [f"her password={h[:18]} there" for h in hexes[30:]]
+    rows += ["see https://example.org/abcdef1234567890abcd for it", "a long hyphenated-compound-word-2 of no interest", "nothing here 12 34", "mail a.b@mail.example.com now"] * 15
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.detect(d).collect()}
+    assert all("secret:" in got[i] for i in range(60))
+    assert all(not got[i] for i in range(60, 120) if (i - 60) % 4 < 3) and all("email:" in got[i] for i in range(63, 120, 4))
+    assert pii.redact_text(rows[0], pii.learn(d)) == 'so it was token = "<SECRET>" and more'
+
+
+def test_bpe(docs, texts):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in bpe.encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded) == texts[r.doc_id].encode()
+    c = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(0)
+    bits = ["a", "b", "'s", "'", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "é", "9", "²", "_", "!", "ü", "好", " ", "ing", "the ", "😀", "x" * 5]
+    for _ in range(3000):
+        s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
+        assert c.encode(s).tolist() == enc.encode_ordinary(s)
+    whole = "".join(rng.choice("abcdefgh") for _ in range(30000))
+    assert bpe.merge(whole.encode(), ranks) == enc.encode_ordinary(whole)
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 32])
+def test_edited_counts(monkeypatch, leaf):
+    monkeypatch.setattr(tokencounts, "LEAF", leaf)
+    c = tokencounts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(5)
+    bits = ["a", "the ", "'s", "'", "r", "e", "'re", "  ", "\n", "\n\n", "9", "12", "é", "!", "...", " ", "ing", "l", "ll", "\xa0", "\t", "word word "]
+    for _ in range(400):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
+        doc = tokencounts.CountedText(t, c.codec.pieces, c.of)
+        for _ in range(4):
+            a = rng.randint(0, len(t) + 2)
+            b, put = a + rng.choice([0, 0, 1, 2, 5, 30]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 3)))
+            doc.edit(a, b, put)
+            s = min(a, len(t))
+            t = t[:s] + put + t[max(s, min(b, len(t))) :]
+            assert doc.text() == t and doc.n_tokens == len(c.codec.encode(t))
+    doc = tokencounts.CountedText("hello world this is " * 2000, c.codec.pieces, c.of)
+    doc.edit(5000, 5003, "xyz")
+    assert doc.n_encoded < 10
+
+
+def components(n, links):
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        p, q = top(a), top(b)
+        root[max(p, q)] = min(p, q)
+    return [top(i) for i in range(n)]
+
+
+def near_copies(seed, groups=12, most=14):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))
+    out = []
+    for _ in range(groups):
+        words = [word() for _ in range(rng.randint(2, 120))]
+        for _ in range(rng.randint(1, most)):
+            out.append(" ".join(words))
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = word()
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("cell, small", [(1024, 256), (4, 2)])
+def test_near_components(spark, monkeypatch, cell, small):
+    from lodewell.llm import linking
+
+    monkeypatch.setattr(linking, "CELL", cell)
+    monkeypatch.setattr(linking, "SHIFTS", cell // 2)
+    monkeypatch.setattr(nearjoin, "SMALL", small)
+    made = near_copies(9)
+    sets = []
+    for t in made:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in nearjoin.near_components(d).collect()}
+    assert [got[i].component_id for i in range(len(made))] == components(len(made), links)
+    assert [got[i].n_shingles for i in range(len(made))] == list(map(len, sets))
+
+
+def test_components_both_ways(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(500, 560)] + [(900, 900 + i) for i in range(1, 40)]
+    want = components(1000, edges)
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for most in (10**6, 0):
+        monkeypatch.setattr(common, "EDGES_OF_ONE_TASK", most)
+        assert {r.node: r.component for r in common.connected_components(df).collect()} == {x: want[x] for x in nodes}
+
+
+def test_edit_distance():
+    rng = random.Random(2)
+    for _ in range(800):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 20))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert lines.edit_distance(a, b) == row[-1]
+
+
+@pytest.mark.parametrize("n", [10, 10**9, 10**13])
+def test_every_near_simhash_shares_a_key(n):
+    rng = random.Random(n)
+    keys = lines._keys(n)
+    for _ in range(500):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), lines.RADIUS):
+            b ^= 1 << bit
+        assert any(a & m == b & m for m in keys)
+
+
+def test_lines(spark, docs, texts):
+    made = dict(list(texts.items())[:60])
+    long = " ".join(f"word{i}" for i in range(80))
+    made |= {1000: long + "\nSHORT line!", 1001: long.replace("word40", "wurd40") + "\nshort LINE", 1002: "***\n" + long.upper() + "\n***"}
+    occurrences, profile = collections.defaultdict(list), {}
+    for d, t in made.items():
+        p = lines._profiles(pa.array([t]))
+        mine = dict(zip(p["pos"].tolist(), zip(p["sim"].tolist(), p["n"].tolist(), p["words"].tolist(), strict=True), strict=True))
+        for i, line in enumerate(t.split("\n")):
+            form = lines.normal_form(line)
+            assert bool(form) == (i in mine)
+            if form:
+                occurrences[form].append((d, i))
+                assert profile.setdefault(form, mine[i]) == mine[i]
+    forms = list(occurrences)
+    links = []
+    for i, a in enumerate(forms):
+        for j in range(i):
+            b, x, y = forms[j], profile[a], profile[forms[j]]
+            if min(x[2], y[2]) >= lines.FUZZY_WORDS and ((x[0] ^ y[0]) & (1 << 64) - 1).bit_count() <= lines.RADIUS and lines.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                links.append((i, j))
+    groups = collections.defaultdict(list)
+    for f, c in zip(forms, components(len(forms), links), strict=True):
+        groups[c] += occurrences[f]
+    gone = {x for o in groups.values() for x in o if x != min(o)}
+    assert (1001, 0) in gone and (1001, 1) in gone and (1002, 1) in gone
+    d = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(3)
+    for r in lines.dedup_lines(d).collect():
+        pieces = made[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for i, x in enumerate(pieces) if (r.doc_id, i) not in gone)
+        assert (r.n_lines, r.n_removed) == (len(pieces), sum((r.doc_id, i) in gone for i in range(len(pieces))))
+
+
+def test_language_accuracy(spark, docs):
+    got = entries.op7_langid(spark, DATA).collect()
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_prototypes_do_not_depend_on_partitions(docs):
+    a, b = langid.learn(docs), langid.learn(docs.repartition(5))
+    assert a.keys() == b.keys() and all((a[k] == b[k]).all() for k in a)
+
+
+@pytest.mark.parametrize("name", list(entries.oracle_sql()))
+def test_oracles(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = entries.queries()[name](spark, DATA)
+    cols = sorted(df.columns)
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({entries.oracle_sql()[name]})").fetchall()
+    assert collections.Counter(want) == collections.Counter(tuple(r) for r in df.select(*cols).collect())
