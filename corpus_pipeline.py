@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that another occurrence stands for go, and with them documents that have nothing else."""
-    left = lines.dedup_lines(docs).where("NOT (n_removed > 0 AND trim(text) = '')")
+    left = lines.dedup_lines(docs, counts=("__n_lines", "__n_removed")).where("NOT (__n_removed > 0 AND trim(text) = '')")
     return _measured(left, docs.columns)
 
 

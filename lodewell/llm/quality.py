@@ -97,8 +97,8 @@ BROADCAST_HOSTS = 20_000
 SALTS = 64
 
 
-def join_verdicts(rows: DataFrame, verdicts: DataFrame, host: str, key: str = "doc_id") -> DataFrame:
-    """`rows` with `host_failed`.  Only failing hosts are joined.
+def join_verdicts(rows: DataFrame, verdicts: DataFrame, host: str, key: str = "doc_id", out: str = "host_failed") -> DataFrame:
+    """`rows` with `out`, whether their host failed.  Only failing hosts are joined.
 
     Their number is counted first: up to `BROADCAST_HOSTS` they are broadcast, beyond it
     they are shuffled with every host's rows dealt over `SALTS` parts, as one host may
@@ -111,7 +111,7 @@ def join_verdicts(rows: DataFrame, verdicts: DataFrame, host: str, key: str = "d
         bad = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = rows.withColumn("__s", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int"))
         joined = salted.join(bad, (F.col(host) == F.col("__host")) & (F.col("__s") == F.col("__salt")), "left").drop("__s", "__salt")
-    return joined.withColumn("host_failed", F.col("__host").isNotNull()).drop("__host")
+    return joined.withColumn(out, F.col("__host").isNotNull()).drop("__host")
 
 
 def judge(docs: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", reject_rate: float = 0.9) -> DataFrame:
@@ -145,4 +145,4 @@ def keep_good(docs: DataFrame, host: str = "source", key: str = "doc_id", text:
 
     good = docs.mapInArrow(run, docs.schema)
     verdicts = verdicts.select(F.col("__source").alias(host), "host_failed")
-    return join_verdicts(good, verdicts, host, key).where(~F.col("host_failed")).select(*columns)
+    return join_verdicts(good, verdicts, host, key, "__host_failed").where(~F.col("__host_failed")).select(*columns)
