@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import binary_column, connected_components, written
 
 #: Items that a cell of a large node holds of either side.
 CELL = 1024
@@ -54,7 +54,7 @@ class _Cells:
 
 def _arrays(t: pa.Table, *names: str) -> list[np.ndarray]:
     """The columns, the last of them the sketches as rows of bytes."""
-    sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    sk = binary_column(t.column("sk"))[0].reshape(t.num_rows, -1)
     return [*(t.column(c).to_numpy() for c in names), sk]
 
 
