@@ -66,14 +66,15 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = to
 
 
-#: Keys (some 16 to 40 bytes each) that may be sent to every task.
-BROADCAST_KEYS = 1_000_000
+#: Keys, and entries of arrays beside them, that may be sent to every task: at most 56 bytes each.
+BROADCAST_ENTRIES = 1_000_000
 
 
-def only_these(rows: DataFrame, wanted: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """`rows` joined with the few `wanted`, one row a key.  Their number is counted first: small, they
-    go to where the rows are, so that no text is shuffled; beyond the bound both are shuffled."""
-    if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+def only_these(rows: DataFrame, wanted: DataFrame, key: str, how: str = "inner", array: str | None = None) -> DataFrame:
+    """`rows` joined with the few `wanted`, one row a key.  Keys and entries of `array` are counted first:
+    few, they go to where the rows are, so that no text is shuffled; beyond the bound both are shuffled."""
+    entries = F.sum(F.lit(1) + (F.size(array) if array else F.lit(0)))
+    if (wanted.agg(entries).first()[0] or 0) <= BROADCAST_ENTRIES:
         wanted = F.broadcast(wanted)
     return rows.join(wanted, key, how)
 

@@ -247,7 +247,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["bin", "content", "copies", "size", "bytes"])
 
-    texts = only_these(docs, written(wanted, "wanted"), "d").select("text", "rows")
+    texts = only_these(docs, written(wanted, "wanted"), "d", array="rows").select("text", "rows")
     pieces = written(texts.mapInArrow(cut, "bin long, content long, copies long, size long, bytes binary"), "pieces").dropDuplicates(["bin", "content"])
     found = _indexed(pieces.where(F.col("size") <= MOST), length).unionByName(_hashed(pieces.where(F.col("size") > MOST), length))
     # a run that occurs twice is repeated as a whole, whatever its bin
@@ -289,4 +289,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offs).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return only_these(docs, table, "d", "left").select("doc_id", "text", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return only_these(docs, table, "d", "left", "cuts").select("doc_id", "text", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
