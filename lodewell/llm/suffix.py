@@ -25,8 +25,8 @@ from .common import binary_column, only_these, sliced, written
 LENGTH = 400
 GRAM = 64
 #: Bytes of runs that are indexed together; a bin beyond MOST has its strings hashed one by one instead.
-BATCH = 2 << 20
-MOST = 12 << 20
+BATCH = 1 << 20
+MOST = 8 << 20
 
 _U = np.uint64
 _SEED = 7  # symbols that the first sort covers
@@ -85,34 +85,38 @@ def suffix_array(text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nda
     Doubling from keys of _SEED symbols; ties are sorted on until none is left.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(_SEED, text.dtype)]).astype(_U)
+    padded = np.concatenate([text, np.zeros(_SEED, text.dtype)])
     key = np.zeros(n, _U)
     ended = np.zeros(n, bool)
     for i in range(_SEED):  # what lies behind a stop doesn't count
-        symbol = np.where(ended, _U(0), padded[i : i + n])
-        key = (key << _U(9)) | symbol
-        ended |= padded[i : i + n] == 0
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    edge = np.concatenate([[True], (sorted_key[1:] != sorted_key[:-1]) | ended[order][1:] | ended[order][:-1]])
-    # a key with a stop is unlike any other, if only by its place
+        symbol = padded[i : i + n].copy()
+        symbol[ended] = 0
+        key <<= _U(9)
+        key |= symbol
+        ended |= symbol == 0
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    over = ended[order]
+    edge = np.ones(n, bool)
+    edge[1:] = (key[1:] != key[:-1]) | over[1:] | over[:-1]  # a key with a stop is unlike any other, if only by its place
+    del key, over, ended
     first_edge = edge.copy()
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(edge, np.arange(n), 0))
+    places = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(edge, places, 0))
     h = _SEED
     while True:
-        tied = ~(edge & np.append(edge[1:], True))
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(~(edge & np.append(edge[1:], True)))
         if not len(at):
             return order, first_edge
         pos = order[at]
-        pair = rank[pos] * np.int64(n + 1) + rank[np.minimum(pos + h, n - 1)]
+        pair = rank[pos] * np.int64(n + 1) + rank[np.minimum(pos.astype(np.int64) + h, n - 1)]
         again = np.argsort(pair, kind="stable")
         order[at] = pos[again]
         pair = pair[again]
-        split = np.concatenate([[True], pair[1:] != pair[:-1]])
-        edge[at] |= split
-        rank[order[at]] = np.maximum.accumulate(np.where(edge, np.arange(n), 0))[at]
+        edge[at] |= np.concatenate([[True], pair[1:] != pair[:-1]])
+        del pair, again, pos
+        rank[order[at]] = np.maximum.accumulate(np.where(edge, places, 0))[at]
         h *= 2
 
 
@@ -125,13 +129,14 @@ def shared_prefixes(strings: list[np.ndarray], length: int) -> list[tuple[np.nda
     for s, e in zip(strings, ends, strict=True):
         text[e - len(s) : e] = s.astype(np.uint16) + 1
     order, known = suffix_array(text, ends)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     before = order - 1
-    bwt = np.where(before >= 0, text[before], 0)
+    bwt = np.where(before >= 0, text[before], np.uint16(0))
     last_to_first = place[before]
-    changes = np.flatnonzero(np.concatenate([bwt[1:] != bwt[:-1], [True]]))
-    same_until = changes[np.searchsorted(changes, np.arange(n), "left")]
+    del before, place
+    ends_of_runs = np.append(bwt[1:] != bwt[:-1], True)
+    same_until = np.repeat(np.flatnonzero(ends_of_runs).astype(np.int32), np.diff(np.flatnonzero(np.append(True, ends_of_runs))))
     placed = np.append(known, True)  # placed[r]: the common prefix of ranks r - 1 and r is known to be shorter
     lo = np.flatnonzero(known)
     hi = np.append(lo[1:], n) - 1
@@ -142,7 +147,7 @@ def shared_prefixes(strings: list[np.ndarray], length: int) -> list[tuple[np.nda
             break
         plain = same_until[lo] >= hi  # all are preceded by one symbol: one interval, by its ends
         l1, h1 = lo[plain & (bwt[lo] > 0)], hi[plain & (bwt[lo] > 0)]
-        new_lo, new_hi = [last_to_first[l1]], [last_to_first[h1]]
+        new_lo, new_hi = [last_to_first[l1].astype(np.int64)], [last_to_first[h1].astype(np.int64)]
         l2, h2 = lo[~plain], hi[~plain]
         if len(l2):
             size = h2 - l2 + 1
@@ -153,7 +158,7 @@ def shared_prefixes(strings: list[np.ndarray], length: int) -> list[tuple[np.nda
             if len(at):
                 group = owner * 257 + bwt[at].astype(np.int64)
                 o = np.lexsort((last_to_first[at], group))
-                group, target = group[o], last_to_first[at][o]
+                group, target = group[o], last_to_first[at][o].astype(np.int64)
                 begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
                 new_lo.append(target[begin])
                 new_hi.append(target[np.append(begin[1:], len(target)) - 1])
@@ -161,8 +166,8 @@ def shared_prefixes(strings: list[np.ndarray], length: int) -> list[tuple[np.nda
         fresh = ~placed[hi + 1]
         placed[hi[fresh] + 1] = True
         lo, hi = lo[fresh], hi[fresh]
-    klass = np.empty(n, np.int64)
-    klass[order] = np.cumsum(placed[:-1])
+    klass = np.empty(n, np.int32)
+    klass[order] = np.cumsum(placed[:-1], dtype=np.int32)
     return [(np.arange(max(0, len(s) - length + 1)), klass[e - len(s) : e - len(s) + max(0, len(s) - length + 1)]) for s, e in zip(strings, ends, strict=True)]
 
 
