@@ -126,8 +126,8 @@ def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, key: str
     asked = rows.where(is_query(F.col("id"))).select("id", "h", "v").distinct()
     asked_once = asked.groupBy("h", "v").agg(F.min("id").alias("at"))
     blocks = max(1, -(-int(size["n"]) // BLOCK))
-    held = written(_packed(least.repartition(blocks, "h"), width).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    ask_blocks = written(_packed(asked_once.repartition(max(2, blocks // 4), "h"), width), "queries")
+    held = written(_packed(least.coalesce(blocks), width).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    ask_blocks = written(_packed(asked_once.coalesce(max(2, blocks // 4)), width), "queries")
     # every query block meets every block of vectors: an equi-join on the block's number
     ids = F.sequence(F.lit(0), F.lit(int(held.count()) - 1)) if held.count() else F.array().cast("array<int>")
     held = held.withColumn("block", F.row_number().over(Window.orderBy("block")) - 1)
