@@ -2,11 +2,11 @@
 
 Items that share a node are compared by their sketches.  A node first gives a
 most-similar spanning forest of its items; these pairs are confirmed and their
-components found; then only items of different components are compared, first each with
-the likeliest of another component, then all that is left.  So no link that would join
-two components is left out, and a group of m copies costs about m confirmations.
+components found.  Then, within each group of likely pairs, items of different
+components are compared, and what links them is confirmed on the spot.  So no link that
+would join two components is left out, and no more pairs than items are ever given.
 
-Nodes of any size are dealt over cells of about `CELL` items of either side.
+Nodes and groups of any size are dealt over cells of about `CELL` items of either side.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, connected_components, written
+from .common import binary_column, connected_components, sliced, written
 
 #: Items that a cell of a large node holds of either side.
 CELL = 1024
@@ -27,6 +27,8 @@ SHIFTS = 256
 
 #: (sketches a, sketches b, sizes a, sizes b) -> (may be linked, likeness)
 Like = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: (payload a, payload b) -> linked
+Same = Callable[[bytes, bytes], bool]
 
 
 class _Cells:
@@ -119,26 +121,35 @@ def _spanning(t: pa.Table, like: Like) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _across(t: pa.Table, like: Like, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of items of different components in each cell, one of the second side; `most` of each item and component, all if 0."""
+def _across(t: pa.Table, like: Like, same: Same) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed links between components of each cell, one item of them of the second side.
+
+    Items of the second side are compared with all of the first that may be linked and
+    are not yet of one component, likeliest first; a link unites two components, so what
+    is given is a forest over components, however many pairs are alike.
+    """
     cell, g, n, comp, side, sk = _arrays(t, "cell", "g", "n", "comp", "side")
+    payload = t.column("payload")
     starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b = [], []
     for lo, hi in zip(starts[:-1], starts[1:], strict=True):
         one = lo + np.flatnonzero(side[lo:hi] == 0)
+        names, number = np.unique(comp[lo:hi], return_inverse=True)
+        root = np.arange(len(names))  # of each component, kept flat
         for x in lo + np.flatnonzero(side[lo:hi] == 1):
-            ok, same = like(sk[one], sk[x], n[one], n[x])
-            ok &= comp[one] != comp[x]
-            hit, same = one[ok], same[ok]
-            if most and len(hit) > most:
-                order = np.lexsort((g[hit], -same.astype(np.int64), comp[hit]))
-                c = comp[hit][order]
-                first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                rank = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
-                hit = hit[order[rank < most]]
-            a.append(g[hit])
-            b.append(np.full(len(hit), g[x]))
-    return np.concatenate(a), np.concatenate(b)
+            ok, likeness = like(sk[one], sk[x], n[one], n[x])
+            hit = one[ok & (root[number[one - lo]] != root[number[x - lo]])]
+            if not len(hit):
+                continue
+            hit = hit[np.lexsort((g[hit], -likeness[np.searchsorted(one, hit)].astype(np.int64)))]
+            mine = payload[int(x)].as_py()
+            for y in hit.tolist():
+                p, q = root[number[x - lo]], root[number[y - lo]]
+                if p != q and same(mine, payload[y].as_py()):
+                    root[root == max(p, q)] = min(p, q)
+                    a.append(g[x])
+                    b.append(g[y])
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _pairs(cells: DataFrame, columns: list[str], find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -169,11 +180,23 @@ def _cross_cells(found: DataFrame) -> DataFrame:
     return zero.unionByName(one).withColumn("cell", F.xxhash64("node", "i", "j"))
 
 
-def link(members: DataFrame, like: Like, confirm: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, same: Same) -> DataFrame:
+    """The pairs that are links, by their payloads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "pa"):
+            keep = [same(x, y) for x, y in zip(b.column("pa").to_pylist(), b.column("pb").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (full.select(F.col("g").alias(c), F.col("payload").alias(f"p{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
+def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFrame], same: Same) -> DataFrame:
     """(node, component) of the linked items of `members(node, size, g, n, sk)`; size is the node's.
 
-    `confirm(ids)` gets the items of all likely pairs, and gives what turns pairs (a, b)
-    into those that are links.
+    `payloads(ids)` gives (g, payload) of the items (g) that have a likely partner, and
+    `same` tells from two payloads whether their items are linked.
     """
     cells = members.withColumn("parts", F.ceil(F.col("size") / CELL).cast("int"))
     own = cells.withColumn("cell", F.when(F.col("parts") == 1, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("g"), F.col("parts")))))
@@ -182,14 +205,12 @@ def link(members: DataFrame, like: Like, confirm: Callable[[DataFrame], Callable
     lead = lead.select(F.xxhash64("node", "part").alias("cell"), "m.g", "m.n", "m.sk")
     pairs = written(_pairs(own.select("cell", "g", "n", "sk").unionByName(lead), ["g", "n", "sk"], lambda t: _spanning(t, like)), "pairs")
     ids = written(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct(), "ids")
-    check = confirm(ids)
-    edges = written(check(pairs), "edges")
-    compared = members.join(ids, "g", "left_semi")  # an item with no likely partner in any node has none at all
-    for most in (4, 0):
-        comps = connected_components(edges)
-        found = compared.join(comps.withColumnRenamed("node", "g"), "g", "left").withColumn("comp", F.coalesce("component", "g"))
-        pairs = written(_pairs(_cross_cells(found), ["g", "n", "sk", "comp", "side"], lambda t, m=most: _across(t, like, m)), "pairs")
-        if not pairs.limit(1).count():
-            return comps
-        edges = edges.unionByName(written(check(pairs), "edges"))
-    return connected_components(edges)
+    full = written(payloads(ids), "full")
+    edges = written(_confirmed(pairs, full, same), "edges")
+    # an item stands once in its group of likely pairs; what is alike in any node is in one group
+    groups, comps = connected_components(pairs).withColumnRenamed("component", "group"), connected_components(edges)
+    slim = members.select("g", "n", "sk").join(ids, "g", "left_semi").dropDuplicates(["g"])
+    found = slim.join(groups.select(F.col("node").alias("g"), F.col("group").alias("node")), "g").join(comps.withColumnRenamed("node", "g"), "g", "left")
+    found = written(found.withColumn("comp", F.coalesce("component", "g")).drop("component"), "found")
+    more = written(_pairs(_cross_cells(found).join(full, "g"), ["g", "n", "sk", "comp", "side", "payload"], lambda t: _across(t, like, same)), "links")
+    return comps if not more.limit(1).count() else connected_components(edges.unionByName(more))
