@@ -76,13 +76,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # Candidates: wide patterns, each anchored so that a long run is read once.
 _CANDIDATES = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,200}(?![A-Za-z0-9_+/-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")),
     ("phone", re.compile(r"(?<![0-9.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
 _OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}){1,4}")
 
+# Values of any length that a key word and a separator stand before.
+_SEPARATOR = re.compile(r"[:=]")
+_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|api[_\x20-]?key|credential|(?<![a-z])(?:key|auth|bearer))s?[\"']?\x20?$")
+_VALUE = re.compile(r"\x20?[\"']?((?:[^\s\"'`,;<>&]|&(?!\w+=))+)")
+
 # Gazetteers (fixed values).
 _KEY_WORDS = frozenset("password passwd pwd secret token apikey api_key key credential auth bearer access_key private_key".split())
 _PERSON_WORDS = frozenset("call phone tel telephone mobile fax contact cell ssn social security iban account bank konto compte cuenta telefon telefono".split())
@@ -115,8 +120,8 @@ LABELERS: tuple[Callable[[str, str, str, list[str]], int], ...] = (
         or kind == "ssn" and span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00" and span[7:] != "0000"
         or kind in ("phone", "email")
     ) else 0,
-    # checksum or randomness
-    lambda kind, span, before, words: (1 if _iban_ok(span) else -1) if kind == "iban" else (1 if _entropy(span) >= 3.0 and any(c.isdigit() for c in span) else -1) if kind == "secret" else 0,
+    # checksum or randomness; a short span has no more than the logarithm of its length
+    lambda kind, span, before, words: (1 if _iban_ok(span) else -1) if kind == "iban" else (1 if _entropy(span) >= min(3.0, 0.8 * np.log2(len(span))) and any(c.isdigit() for c in span) else -1) if kind == "secret" else 0,
     # gazetteer: known heads of keys, countries of account numbers
     lambda kind, span, before, words: 1 if kind == "secret" and span.startswith(_KEY_HEADS) or kind == "iban" and span[:2] in _IBAN_LANDS else -1 if kind == "iban" else 0,
     # gazetteer of words near by
@@ -130,6 +135,18 @@ LABELERS: tuple[Callable[[str, str, str, list[str]], int], ...] = (
 )
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values that are assigned to a key word; links are none."""
+    free = 0
+    for sep in _SEPARATOR.finditer(text):
+        at = sep.start()
+        if at >= free and _NAMED.search(text[max(0, at - 16) : at]) and (m := _VALUE.match(text, at + 1)):
+            value = m.group(1).rstrip(".:!?)]}")
+            if len(value) >= 4 and "://" not in value:
+                yield m.start(1), m.start(1) + len(value)
+                free = m.end()
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans to be voted on: those of the wide patterns that touch no base span and no earlier candidate."""
     found: list[tuple[int, int, str]] = []
@@ -138,6 +155,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             for m in pattern.finditer(text):
                 if kind != "secret" or (_DIGIT.search(m.group()) and re.search(r"[A-Za-z]", m.group())):
                     found.append((*m.span(), kind))
+        found += [(a, b, "secret") for a, b in _assigned(text) if _DIGIT.search(text, a, b) and re.search(r"[A-Za-z]", text[a:b])]
     low = text if "[" in text or "(" in text else ""
     if "at]" in low or "at)" in low:
         found += [(*m.span(), "email") for m in _OBFUSCATED.finditer(text)]
