@@ -1,7 +1,8 @@
 """Components of similar items that share nodes, without all pairs of a large group.
 
 Items that share a node are compared by their sketches.  A node first gives a
-most-similar spanning forest of its items; these pairs are confirmed and their
+most-similar spanning forest of its items, and where it is split, every part of it meets
+every other for pairs that join what is still apart; these pairs are confirmed and their
 components found.  Then, within each group of likely pairs, items of different
 components are compared, and what links them is confirmed on the spot.  So no link that
 would join two components is left out, and no more pairs than items are ever given.
@@ -121,15 +122,15 @@ def _spanning(t: pa.Table, like: Like) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _across(t: pa.Table, like: Like, same: Same) -> tuple[np.ndarray, np.ndarray]:
-    """Confirmed links between components of each cell, one item of them of the second side.
+def _across(t: pa.Table, like: Like, same: Same | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed links (likely ones without `same`) between components of each cell, one item of them of the second side.
 
     Items of the second side are compared with all of the first that may be linked and
     are not yet of one component, likeliest first; a link unites two components, so what
     is given is a forest over components, however many pairs are alike.
     """
     cell, g, n, comp, side, sk = _arrays(t, "cell", "g", "n", "comp", "side")
-    payload = t.column("payload")
+    payload = t.column("payload") if same else None
     starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
     a, b = [], []
     for lo, hi in zip(starts[:-1], starts[1:], strict=True):
@@ -142,10 +143,10 @@ def _across(t: pa.Table, like: Like, same: Same) -> tuple[np.ndarray, np.ndarray
             if not len(hit):
                 continue
             hit = hit[np.lexsort((g[hit], -likeness[np.searchsorted(one, hit)].astype(np.int64)))]
-            mine = payload[int(x)].as_py()
+            mine = payload[int(x)].as_py() if same else None
             for y in hit.tolist():
                 p, q = root[number[x - lo]], root[number[y - lo]]
-                if p != q and same(mine, payload[y].as_py()):
+                if p != q and (same is None or same(mine, payload[y].as_py())):
                     root[root == max(p, q)] = min(p, q)
                     a.append(g[x])
                     b.append(g[y])
@@ -204,6 +205,11 @@ def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFra
     lead = split.select("node", "m", F.explode(F.expr("sequence(0L, CAST(m.parts AS BIGINT) - 1)")).alias("part"))
     lead = lead.select(F.xxhash64("node", "part").alias("cell"), "m.g", "m.n", "m.sk")
     pairs = written(_pairs(own.select("cell", "g", "n", "sk").unionByName(lead), ["g", "n", "sk"], lambda t: _spanning(t, like)), "pairs")
+    hot = members.where(F.col("size") > CELL).select("node", "g", "n", "sk")
+    if hot.limit(1).count():  # the parts of a split node meet by node: in hash order two alike items may share no cell in any node
+        parts = connected_components(pairs).select(F.col("node").alias("g"), F.col("component").alias("comp"))
+        apart = written(hot.join(parts, "g", "left").withColumn("comp", F.coalesce("comp", "g")), "apart")
+        pairs = written(pairs.unionByName(_pairs(_cross_cells(apart), ["g", "n", "sk", "comp", "side"], lambda t: _across(t, like))), "pairs")
     ids = written(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct(), "ids")
     full = written(payloads(ids), "full")
     edges = written(_confirmed(pairs, full, same), "edges")

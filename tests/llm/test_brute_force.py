@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 from lodewell.llm import bpe, common, entries, langid, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
 
@@ -278,6 +279,23 @@ def test_near_components(spark, monkeypatch, cell, small):
     assert [got[i].n_shingles for i in range(len(made))] == list(map(len, sets))
 
 
+def test_parts_of_a_split_node_meet(spark, monkeypatch):
+    """Unrelated pairs that share one node and no lead: each pair is linked, whatever cells its items are in."""
+    from lodewell.llm import linking
+
+    monkeypatch.setattr(linking, "CELL", 4)
+    monkeypatch.setattr(lines, "_keys", lambda n: [0])
+    one = lambda sets, *_: sets.select(F.lit(1).cast("long").alias("node"), "g", F.lit(sets.count()).cast("long").alias("size"))
+    monkeypatch.setattr(nearjoin, "_leaves", one)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = [[word() for _ in range(150)] for _ in range(20)]
+    made = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join([t[1], t[0], *t[2:]])) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r.doc_id for r in lines.removals(d).collect()} == set(range(100, 120))
+    assert {r.doc_id: r.component_id for r in nearjoin.near_components(d).collect()} == {i: i % 100 for i, _ in made}
+
+
 def test_components_both_ways(spark, monkeypatch):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(500, 560)] + [(900, 900 + i) for i in range(1, 40)]
