@@ -84,7 +84,7 @@ def teachback_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claim_extract(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 600).alias("body"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
     return R.extracted(d, "doc_id", ["body"], _FALLBACK).select("doc_id", F.col("position").cast("long").alias("position"), F.md5(F.col("claim").cast("binary")).alias("digest"))
 
 
@@ -92,7 +92,7 @@ def _scored_claims(spark: SparkSession, sf: str) -> DataFrame:
     """Answers by assistants as claims; earlier turns of the conversation are the selected evidence, users' turns the other."""
     c = table(spark, sf, "conversations")
     claims = R.extracted(c.where("role = 'assistant'").select(F.col("conv_id"), F.col("text").alias("body")).groupBy("conv_id").agg(F.min("body").alias("body")), "conv_id", ["body"], _FALLBACK)
-    pool = c.select("conv_id", F.when(F.col("role") == "user", "u").otherwise("s").alias("grp"), F.lit("s").alias("sel"), F.substring("text", 1, 200).alias("text"), "turn")
+    pool = c.select("conv_id", F.when(F.col("role") == "user", "u").otherwise("s").alias("grp"), F.lit("s").alias("sel"), "text", "turn")
     return R.scored(claims, R.premises(pool, "conv_id", "grp", "sel", "text", "turn"), "conv_id")
 
 

@@ -1,5 +1,6 @@
 """Operators against closed-form values, published worked examples and edge cases."""
 
+import hashlib
 import json
 import math
 
@@ -197,3 +198,16 @@ def test_quota_sample_fills_up(spark):
     rows = spark.range(100).withColumn("s", F.when(F.col("id") < 3, "rare").otherwise("common"))
     got = sampling.quotas(rows, "id", F.col("s"), {"rare": 5, "common": 4}, 12).collect()
     assert len(got) == 12 and sum(r.stratum == "rare" for r in got) == 3
+
+
+def test_claims_and_premises_are_of_whole_texts(spark, tmp_path):
+    from lodewell.plans import guards
+
+    fill = " ".join(f"Filler sentence number {i} stands here." for i in range(40))
+    spark.createDataFrame([(1, fill + " The last claim is here.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = guards.claim_extract(spark, str(tmp_path)).collect()
+    assert len(got) == 41 and hashlib.md5(b"The last claim is here.").hexdigest() in {r.digest for r in got}
+    turns = [(1, 0, "user", fill + " Zebras graze quietly."), (1, 1, "assistant", "Zebras graze quietly.")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = guards._scored_claims(spark, str(tmp_path)).first()
+    assert r.e_other == 1.0
