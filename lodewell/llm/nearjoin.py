@@ -150,7 +150,7 @@ def _leaves(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
 def _like(threshold: float, sk_a: np.ndarray, sk_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(may be similar enough, equal sketch bytes); four standard errors below the threshold still pass."""
     same = (sk_a == sk_b).sum(-1)
-    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     return (same >= least * COORDINATES) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9), same
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -279,6 +280,16 @@ def test_near_components(spark, monkeypatch, cell, small):
     assert [got[i].n_shingles for i in range(len(made))] == list(map(len, sets))
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.8])
+def test_sketches_miss_less_than_leaves(threshold):
+    """The chance that a pair at the threshold falls below the sketch's cut-off is within the stated recall."""
+    agree = np.arange(nearjoin.COORDINATES)[:, None] > np.arange(nearjoin.COORDINATES)  # row k agrees in k bytes
+    n = np.full(len(agree), 100)
+    ok, same = nearjoin._like(threshold, agree.astype(np.uint8), np.ones_like(agree, np.uint8), n, n)
+    lost = [int(k) for k in same[~ok]]
+    assert sum(math.comb(nearjoin.COORDINATES, k) * threshold**k * (1 - threshold) ** (nearjoin.COORDINATES - k) for k in lost) < 1 - nearjoin.RECALL
+
+
 def test_parts_of_a_split_node_meet(spark, monkeypatch):
     """Unrelated pairs that share one node and no lead: each pair is linked, whatever cells its items are in."""
     from lodewell.llm import linking
