@@ -3,9 +3,10 @@
 Items that share a node are compared by their sketches.  A node first gives a
 most-similar spanning forest of its items, and where it is split, every part of it meets
 every other for pairs that join what is still apart; these pairs are confirmed and their
-components found.  Then, within each group of likely pairs, items of different
-components are compared, and what links them is confirmed on the spot.  So no link that
-would join two components is left out, and no more pairs than items are ever given.
+components found.  Then, within each group of likely pairs that fell apart (or each node
+of its items), items of different components are compared, and what links them is
+confirmed on the spot.  So no link that would join two components is left out, and no
+more pairs than items are ever given.
 
 Nodes and groups of any size are dealt over cells of about `CELL` items of either side.
 """
@@ -193,11 +194,13 @@ def _confirmed(pairs: DataFrame, full: DataFrame, same: Same) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFrame], same: Same) -> DataFrame:
+def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFrame], same: Same, by_node: bool = False) -> DataFrame:
     """(node, component) of the linked items of `members(node, size, g, n, sk)`; size is the node's.
 
     `payloads(ids)` gives (g, payload) of the items (g) that have a likely partner, and
-    `same` tells from two payloads whether their items are linked.
+    `same` tells from two payloads whether their items are linked.  What the spanning
+    forests leave apart is compared again within groups of likely pairs, an item once, or
+    `by_node` within each shared node, where groups are chained into large ones by chance.
     """
     cells = members.withColumn("parts", F.ceil(F.col("size") / CELL).cast("int"))
     own = cells.withColumn("cell", F.when(F.col("parts") == 1, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("g"), F.col("parts")))))
@@ -213,10 +216,16 @@ def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFra
     ids = written(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct(), "ids")
     full = written(payloads(ids), "full")
     edges = written(_confirmed(pairs, full, same), "edges")
-    # an item stands once in its group of likely pairs; what is alike in any node is in one group
-    groups, comps = connected_components(pairs).withColumnRenamed("component", "group"), connected_components(edges)
-    slim = members.select("g", "n", "sk").join(ids, "g", "left_semi").dropDuplicates(["g"])
-    found = slim.join(groups.select(F.col("node").alias("g"), F.col("group").alias("node")), "g").join(comps.withColumnRenamed("node", "g"), "g", "left")
-    found = written(found.withColumn("comp", F.coalesce("component", "g")).drop("component"), "found")
+    # only groups of likely pairs that fell apart are looked at again; what is alike in any node is in one group
+    comps = connected_components(edges)
+    named = connected_components(pairs).select(F.col("node").alias("g"), F.col("component").alias("group")).join(comps.select(F.col("node").alias("g"), "component"), "g", "left")
+    named = written(named.select("g", "group", F.coalesce("component", "g").alias("comp")), "named")
+    several = named.groupBy("group").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("group")
+    open_ = named.join(several, "group", "left_semi")
+    if by_node:
+        found = members.select("node", "g", "n", "sk").join(open_.select("g", "comp"), "g")
+    else:
+        found = members.select("g", "n", "sk").join(open_.select("g", F.col("group").alias("node"), "comp"), "g").dropDuplicates(["g"])
+    found = written(found, "found")
     more = written(_pairs(_cross_cells(found).join(full, "g"), ["g", "n", "sk", "comp", "side", "payload"], lambda t: _across(t, like, same)), "links")
     return comps if not more.limit(1).count() else connected_components(edges.unionByName(more))

@@ -79,7 +79,7 @@ def shingles_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, in
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, g, mh): set size, hash of the whole set, minwise hashes; n = 0 and null where there is no word."""
+    """(doc_id, row, n, g, mh): set size, hash of the whole set, minwise hashes; n = 0 and null where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
@@ -98,11 +98,11 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             for i, row in zip(some, values, strict=True):
                 mh[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(whole, mask=counts == 0), pa.array(mh, pa.binary())],
-                names=["doc_id", "n", "g", "mh"],
+                [b.column("doc_id"), b.column("row"), pa.array(counts.astype(np.int64)), pa.array(whole, mask=counts == 0), pa.array(mh, pa.binary())],
+                names=["doc_id", "row", "n", "g", "mh"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, g long, mh binary")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n long, g long, mh binary")
 
 
 def _chosen(node: np.ndarray) -> list[np.ndarray]:
@@ -148,7 +148,7 @@ def _leaves(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
 
 
 def _like(threshold: float, sk_a: np.ndarray, sk_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(may be similar enough, equal sketch bytes); four standard errors below the threshold still pass."""
+    """(may be similar enough, equal sketch bytes); five standard errors below the threshold still pass."""
     same = (sk_a == sk_b).sum(-1)
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     return (same >= least * COORDINATES) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9), same
@@ -176,40 +176,50 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [np.sort(found[e - c : e].view(np.int64)).tobytes() for e, c in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(sets, pa.binary())], names=["g", "payload"])
 
-    texts = only_these(docs, wanted, "doc_id").select("g", "text")
+    texts = only_these(docs, wanted, "row").select("g", "text")
     return texts.mapInArrow(run, "g long, payload binary").dropDuplicates(["g"])
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85, recall: float = RECALL) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
-
-    Links: 100 |A & B| >= percent |A | B| on sets of distinct `size`-word shingles.  A
-    text that is null or without a word has no set and no link; equal texts always share
-    one.  component_id is the least doc_id reachable, kept marks it.  Rows with a null
-    key have no name to be linked by: they come back with a null component, kept.
-    Repeated rows come back each.  An empty table gives no rows; other columns are not read.
-    """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _components(docs: DataFrame, size: int, percent: int, recall: float) -> DataFrame:
+    """(doc_id, row, n, least) of docs(doc_id, row, text): least is the least (doc_id, row) reachable, null without a key or a word."""
     threshold = percent / 100
     rows = written(_signatures(docs, size), "signatures")
-    sets = rows.where("g IS NOT NULL AND doc_id IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mh").alias("mh"))
+    sets = rows.where("g IS NOT NULL AND doc_id IS NOT NULL").groupBy("g").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mh").alias("mh"))
     sets = written(sets, "sets")
     leaves = _leaves(sets, threshold, recall)
     slim = _sketches(sets)
     members = written(leaves.join(slim, "g"), "leaves")
 
     def payloads(ids: DataFrame) -> DataFrame:
-        return _sets(docs, written(sets.select("g", "doc_id").join(ids, "g", "left_semi"), "wanted"), size)
+        return _sets(docs, written(sets.select("g", F.col("at.row").alias("row")).join(ids, "g", "left_semi"), "wanted"), size)
 
     comps = link(members, partial(_like, threshold), payloads, partial(_same, percent))
-
-    named = sets.select("g", "doc_id", "copies").join(comps.withColumnRenamed("node", "g"), "g", "left").where("copies > 1 OR component IS NOT NULL")
+    named = sets.select("g", "at", "copies").join(comps.withColumnRenamed("node", "g"), "g", "left").where("copies > 1 OR component IS NOT NULL")
     named = named.withColumn("component", F.coalesce("component", "g"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(least, "component").select("g", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "g").join(of_set, "g", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = named.groupBy("component").agg(F.min("at").alias("least"))
+    of_set = named.join(least, "component").select("g", "least")
+    return rows.select("doc_id", "row", "n", "g").join(of_set, "g", "left").select("doc_id", "row", "n", "least")
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, row, text); a row is named by key and text, so equal keys may have unlike texts."""
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85, recall: float = RECALL) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row.
+
+    Links: 100 |A & B| >= percent |A | B| on sets of distinct `size`-word shingles.  A
+    text that is null or without a word has no set and no link; equal texts always share
+    one.  component_id is the least doc_id reachable, kept marks it.  Rows with a null
+    key have no name to be linked by: they come back with a null component, kept.
+    Repeated rows come back each, rows of one key and unlike texts are linked each by its
+    own text.  An empty table gives no rows; other columns are not read.
+    """
+    out = _components(_rows(docs, key, text), size, percent, recall)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
@@ -224,7 +234,14 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return sets.select("g", "n", "mh").mapInArrow(run, "g long, n long, sk binary")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with their columns, one of each component: that with the least key."""
-    gone = near_components(docs, key, text, size, percent).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
+    """The documents with their columns, one of each component: the row with the least key.
+
+    Rows with a null key, and texts that are null or without a word, stay.  Rows of equal
+    key and text stay or go together; of unlike texts under one key each is judged by its
+    text.  An empty table gives no rows.
+    """
+    found = _components(_rows(docs, key, text), size, percent, recall)
+    gone = written(found.where("least IS NOT NULL AND (least.doc_id <> doc_id OR least.row <> row)").select(F.col("row").alias("__lw_row")).distinct(), "gone")
+    marked = docs.withColumn("__lw_row", F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")))
+    return only_these(marked, gone.withColumn("__lw_gone", F.lit(True)), "__lw_row", "left").where("__lw_gone IS NULL").select(*docs.columns)

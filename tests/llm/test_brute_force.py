@@ -303,7 +303,7 @@ def test_parts_of_a_split_node_meet(spark, monkeypatch):
     texts = [[word() for _ in range(150)] for _ in range(20)]
     made = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join([t[1], t[0], *t[2:]])) for i, t in enumerate(texts)]
     d = spark.createDataFrame(made, "doc_id long, text string")
-    assert {r.doc_id for r in lines.removals(d).collect()} == set(range(100, 120))
+    assert {r.doc_id for r in lines.dedup_lines(d).where("n_removed > 0").collect()} == set(range(100, 120))
     assert {r.doc_id: r.component_id for r in nearjoin.near_components(d).collect()} == {i: i % 100 for i, _ in made}
 
 
@@ -343,32 +343,44 @@ def test_every_near_simhash_shares_a_key(n):
         assert any(a & m == b & m for m in keys)
 
 
-def test_lines(spark, docs, texts):
+def line_facts(form):
+    """(SimHash, second SimHash, long second SimHash, length) of one normal form."""
+    data = np.frombuffer(b" " + form.encode() + b" ", np.uint8)
+    of = np.zeros(len(data), np.int64)
+    return (*(lines.simhashes(data, of, 1, spec, bits)[0] for spec, bits in ((lines.FIRST, 64), (lines.SECOND, 64), (lines.SECOND, 256))), len(form))
+
+
+@pytest.mark.parametrize("cell", [lines.CELL, 3])
+def test_lines(spark, monkeypatch, texts, cell):
+    """All pairs of lines by plain comparison; small cells split nodes again and again."""
+    monkeypatch.setattr(lines, "CELL", cell)
     made = dict(list(texts.items())[:60])
     long = " ".join(f"word{i}" for i in range(80))
-    made |= {1000: long + "\nSHORT line!", 1001: long.replace("word40", "wurd40") + "\nshort LINE", 1002: "***\n" + long.upper() + "\n***"}
+    made |= {1000: long + "\nSHORT line!", 1001: long.replace("word40", "wurd40") + "\nshort LINE", 1002: "***\n" + long.upper() + "\n***", 1003: "Copyright 2019 Acme Corporation", 1004: "copyright 2018 acme corporation\n" + long.replace("word7 ", "")}
     occurrences, profile = collections.defaultdict(list), {}
     for d, t in made.items():
         p = lines._profiles(pa.array([t]))
-        mine = dict(zip(p["pos"].tolist(), zip(p["sim"].tolist(), p["n"].tolist(), p["words"].tolist(), strict=True), strict=True))
+        mine = dict(zip(p["pos"].tolist(), zip(p["sim"].tolist(), p["sift"].tolist(), p["n"].tolist(), strict=True), strict=True))
         for i, line in enumerate(t.split("\n")):
             form = lines.normal_form(line)
             assert bool(form) == (i in mine)
             if form:
                 occurrences[form].append((d, i))
-                assert profile.setdefault(form, mine[i]) == mine[i]
+                facts = profile.setdefault(form, line_facts(form))
+                assert mine[i] == (int(facts[0][0].view(np.int64)), int(facts[1][0].view(np.int64)), facts[3])
     forms = list(occurrences)
+    apart = lambda x, y: int(np.bitwise_count(x ^ y).sum())
     links = []
     for i, a in enumerate(forms):
         for j in range(i):
             b, x, y = forms[j], profile[a], profile[forms[j]]
-            if min(x[2], y[2]) >= lines.FUZZY_WORDS and ((x[0] ^ y[0]) & (1 << 64) - 1).bit_count() <= lines.RADIUS and lines.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            if apart(x[0], y[0]) <= lines.RADIUS and apart(x[1], y[1]) <= lines.SIFT and apart(x[2], y[2]) <= lines.NEAR and lines.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
                 links.append((i, j))
     groups = collections.defaultdict(list)
     for f, c in zip(forms, components(len(forms), links), strict=True):
         groups[c] += occurrences[f]
     gone = {x for o in groups.values() for x in o if x != min(o)}
-    assert (1001, 0) in gone and (1001, 1) in gone and (1002, 1) in gone
+    assert {(1001, 0), (1001, 1), (1002, 1), (1004, 1)} <= gone
     d = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(3)
     for r in lines.dedup_lines(d).collect():
         pieces = made[r.doc_id].split("\n")
@@ -376,6 +388,31 @@ def test_lines(spark, docs, texts):
         assert (r.n_lines, r.n_removed) == (len(pieces), sum((r.doc_id, i) in gone for i in range(len(pieces))))
 
 
+def test_lines_of_a_hot_node_are_all_found(spark, monkeypatch):
+    """4,000 unlike lines and near copies of 300 of them under one key: every near copy goes."""
+    monkeypatch.setattr(lines, "_keys", lambda n: [0])
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    made = [" ".join(word() for _ in range(40)) for _ in range(4000)]
+    made += [t[:-1] + ("x" if t[-1] != "x" else "y") for t in made[:300]]
+    facts = [line_facts(t) for t in made]
+    near = {4000 + i for i in range(300) if all(int(np.bitwise_count(a ^ b).sum()) <= most for a, b, most in zip(facts[i], facts[4000 + i], (lines.RADIUS, lines.SIFT, lines.NEAR), strict=False))}
+    assert len(near) > 280
+    d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in lines.dedup_lines(d).where("n_removed > 0").collect()} == near
+
+
+def test_rows_of_one_key(spark):
+    """Rows of one key and unlike texts are documents of their own, for lines and for near copies."""
+    common, a, b = ("the same old line stands in both of these rows", "only the first of them holds this one about apples", "and only the second one speaks of pears and plums")
+    d = spark.createDataFrame([(5, f"{common}\n{a}"), (5, f"{b}\n{common}")], "doc_id long, text string")
+    got = sorted(r.text for r in lines.dedup_lines(d).collect())
+    assert sorted(x for t in got for x in t.split("\n")) == sorted([a, b, common])
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "au"]
+    d = spark.createDataFrame([(3, words[0]), (5, words[0]), (5, words[1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in nearjoin.keep_one(d).collect()) == [(3, words[0]), (5, words[1])]
+
+
 def test_language_accuracy(spark, docs):
     got = entries.op7_langid(spark, DATA).collect()
     lang = {r.doc_id: r.lang for r in docs.collect()}
