@@ -8,6 +8,9 @@ indexed: a suffix array, its Burrows-Wheeler transform, and from it breadth-firs
 backward extension: intervals of strings of length 1, 2, 3, ... give the places where
 the common prefix of neighbouring suffixes is 0, 1, 2, ..., up to LENGTH - 1.  Where
 nothing was placed by then, neighbours share LENGTH bytes at least.
+
+Shorter repeats come first: strings of PASSAGE bytes over all texts, and strings of LENGTH
+bytes only in the spans that those cover.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from . import textvec as tv
 from .common import binary_column, only_these, sliced, written
 
 LENGTH = 400
+#: Bytes of a shorter repeated string, some fifty words, that marks a passage.
+PASSAGE = 250
 GRAM = 64
 #: Bytes of runs that are indexed together; a bin beyond MOST has its strings hashed one by one instead.
 BATCH = 1 << 20
@@ -184,9 +189,9 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             data, offs = binary_column(b.column("text"))
             r = runs_of(data, offs, length)
             d = b.column("d").take(pa.array(r.pop("doc")))
-            yield pa.RecordBatch.from_arrays([d, *(pa.array(v) for v in r.values())], names=["d", *r])
+            yield pa.RecordBatch.from_arrays([d, *(pa.array(v, pa.int64() if k in ("bin", "content") else pa.int32()) for k, v in r.items())], names=["d", *r])
 
-    return docs.select("d", "text").mapInArrow(run, "d long, start long, strings long, bin long, content long, twice long")
+    return docs.select("d", "text").mapInArrow(run, "d long, start int, strings int, bin long, content long, twice int")
 
 
 def _indexed(pieces: DataFrame, length: int) -> DataFrame:
@@ -240,7 +245,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = written(_runs(docs, length), "runs")
     distinct = runs.groupBy("bin", "content").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.first("strings").alias("strings"), F.min(F.struct("d", "start")).alias("at"))
     distinct = written(distinct, "distinct")
-    bins = distinct.groupBy("bin").agg(F.count("*").alias("kinds"), F.max("twice").alias("t"), F.sum(F.col("strings") + length - 1).alias("size")).where("kinds > 1 OR t > 0")
+    bins = distinct.groupBy("bin").agg(F.count("*").alias("kinds"), F.max("twice").alias("t"), F.sum(F.col("strings").cast("long") + length - 1).alias("size")).where("kinds > 1 OR t > 0")
     contested = distinct.join(bins.select("bin", "size"), "bin").select("bin", "content", "copies", "strings", "at", "size")
     wanted = contested.groupBy(F.col("at.d").alias("d")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "strings", "bin", "content", "copies", "size")).alias("rows"))
 
@@ -256,21 +261,68 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pieces = written(texts.mapInArrow(cut, "bin long, content long, copies long, size long, bytes binary"), "pieces").dropDuplicates(["bin", "content"])
     found = _indexed(pieces.where(F.col("size") <= MOST), length).unionByName(_hashed(pieces.where(F.col("size") > MOST), length))
     # a run that occurs twice is repeated as a whole, whatever its bin
-    whole = distinct.where("copies > 1").select("bin", "content", F.array(F.lit(0).cast("long"), F.col("strings") - 1).alias("ranges"))
+    whole = distinct.where("copies > 1").select("bin", "content", F.array(F.lit(0).cast("long"), F.col("strings").cast("long") - 1).alias("ranges"))
     verdict = written(found.where(F.size("ranges") > 0).unionByName(whole), "verdict").groupBy("bin", "content").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     cuts = runs.join(verdict, ["bin", "content"]).select("d", F.transform("ranges", lambda x, i: x + F.col("start") + F.when(i % 2 == 1, length).otherwise(0)).alias("cuts"))
-    return cuts.groupBy("d").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    cuts = cuts.groupBy("d").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    return written(cuts.mapInArrow(_merged, "d long, cuts array<bigint>"), "cuts")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, cuts) with cuts that touch made one, in order."""
+    for b in batches:
+        out = []
+        for cuts in b.column("cuts"):
+            c = cuts.values.to_numpy().reshape(-1, 2)
+            c = c[np.argsort(c[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(c[:, 1])
+            new = np.append(True, c[1:, 0] > reach[:-1])
+            out.append(np.stack([c[new, 0], reach[np.append(new[1:], True)]], 1).ravel())
+        yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(out, pa.list_(pa.int64()))], names=["d", "cuts"])
+
+
+def _covered(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """(d, of, base, text): the spans of at least `length` bytes as texts of their own, named by document and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            data, offs = binary_column(b.column("text"))
+            of, base, found = [], [], []
+            for d, at, cuts in zip(b.column("d").to_pylist(), offs[:-1].tolist(), b.column("cuts").to_pylist(), strict=True):
+                for lo, hi in zip(cuts[::2], cuts[1::2], strict=True):
+                    if hi - lo >= length:
+                        of.append(d)
+                        base.append(lo)
+                        found.append(data[at + lo : at + hi].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(base, pa.int64()), pa.array(found, pa.binary())], names=["of", "base", "text"])
+
+    whole = F.expr(f"exists(sequence(1, size(cuts) - 1, 2), i -> cuts[i] - cuts[i - 1] >= {length})")
+    texts = only_these(docs.select("d", "text"), spans.where("size(cuts) > 0").where(whole), "d", array="cuts")
+    return written(texts.mapInArrow(run, "of long, base long, text binary").withColumn("d", F.xxhash64("of", "base")), "covered")
+
 
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, passage: int | None = PASSAGE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, n_passages) of every row.
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row.
+    Bytes covered by a string of `length` bytes that starts anywhere else go.  n_passages
+    counts the maximal spans covered by repeated strings of `passage` bytes; only in these
+    spans can longer strings repeat, so only they are searched for them.  Without a
+    `passage` below `length`, n_passages is n_spans.
 
     Null text is empty; a text shorter than `length` bytes keeps all.  Of equal texts all
     go, as each string of one starts in the others too: repeated rows count as each
     other's copies.  An empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("d", F.xxhash64("doc_id", "text"))
-    table = written(repeated(docs, length), "cuts")
+    if passage is not None and passage < length:
+        short = repeated(docs, passage)
+        parts = _covered(docs, short, length)
+        moved = repeated(parts, length).join(parts.select("d", "of", "base").distinct(), "d").select(F.col("of").alias("d"), F.transform("cuts", lambda x: x + F.col("base")).alias("cuts"))
+        cuts = moved.groupBy("d").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+        table = short.select("d", (F.size("cuts") / 2).cast("long").alias("n_passages")).join(cuts, "d", "left")
+    else:
+        table = repeated(docs, length).withColumn("n_passages", (F.size("cuts") / 2).cast("long"))
+    table = written(table.select("d", "n_passages", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts")), "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
@@ -278,20 +330,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             removed, spans, kept = [], [], []
             for i, cuts in enumerate(b.column("cuts").to_pylist()):
                 raw = data[offs[i] : offs[i + 1]]
-                if not cuts:
-                    removed.append(0)
-                    spans.append(0)
-                    kept.append(raw.tobytes())
-                    continue
-                depth = np.zeros(len(raw) + 1, np.int64)
-                c = np.array(cuts, np.int64).reshape(-1, 2)
-                np.add.at(depth, c[:, 0], 1)
-                np.add.at(depth, c[:, 1], -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                removed.append(int(gone.sum()))
-                spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                kept.append(raw[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offs).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                c = np.array(cuts or [], np.int64).reshape(-1, 2)
+                whole = np.ones(len(raw), bool)
+                for lo, hi in c.tolist():  # apart from each other
+                    whole[lo:hi] = False
+                removed.append(int((c[:, 1] - c[:, 0]).sum()))
+                spans.append(len(c))
+                kept.append(raw[whole].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offs).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), b.column("n_passages")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return only_these(docs, table, "d", "left", "cuts").select("doc_id", "text", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = only_these(docs, table, "d", "left", "cuts").select("doc_id", "text", "cuts", F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long")
