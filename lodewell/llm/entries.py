@@ -35,7 +35,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +134,22 @@ st AS (
   SELECT w.doc_id, w.source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(cov.n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN cov ON cov.doc_id = w.doc_id),
-b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM st),
-h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS f FROM b WHERE source IS NOT NULL GROUP BY 1),
-m AS (SELECT coalesce(sum(f) / sum(n), 0) AS m, coalesce(var_samp(f / n), 0) AS v, coalesce(avg(1 / n), 0) AS inv FROM h),
-p AS (SELECT m, least(1000, greatest(1, m * (1 - m) / greatest(1e-9, v - m * (1 - m) * inv) - 1)) AS s FROM m),
-bad AS (SELECT source FROM h, p WHERE (f + s * m) / (n + s) > 0.9)
+f AS (SELECT *, n_words < 20 AS r0, 100 * n_repeat_words > 30 * n_words AS r1, 10 * n_symbols > n_words AS r2, 20 * n_dup_lines > n_words AS r3,
+  2 * word_chars < 5 * n_words OR word_chars > 12 * n_words AS r4 FROM st),
+b AS (SELECT *, r0 OR r1 AS base_failed FROM f),
+long AS (
+  SELECT doc_id, source, rule, CAST(hit AS INT) AS hit
+  FROM (SELECT doc_id, source, unnest(['few', 'repetition', 'symbols', 'lines', 'lengths', 'base']) AS rule, unnest([r0, r1, r2, r3, r4, base_failed]) AS hit FROM b)
+  WHERE source IS NOT NULL),
+h AS (SELECT source, rule, count(*) AS n, sum(hit) AS f FROM long GROUP BY 1, 2),
+m AS (SELECT rule, sum(f) / sum(n) AS m, coalesce(var_samp(f / n), 0) AS v, avg(1 / n) AS inv FROM h GROUP BY 1),
+p AS (SELECT rule, m, least(1000, greatest(1, m * (1 - m) / greatest(1e-9, v - m * (1 - m) * inv) - 1)) AS s FROM m),
+rate AS (SELECT h.source, h.rule, (f + s * m) / (n + s) AS rate FROM h JOIN p ON p.rule = h.rule),
+bad AS (SELECT source FROM rate WHERE rule = 'base' AND rate > 0.9),
+habit AS (SELECT source, rule FROM rate WHERE rule <> 'base' AND rate > 0.02),
+caught AS (SELECT DISTINCT long.doc_id FROM long JOIN habit ON habit.source = long.source AND habit.rule = long.rule WHERE hit = 1)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  base_failed, NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept, source IS NOT NULL AND source IN (SELECT source FROM bad) AS host_failed
+  base_failed, NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AND doc_id NOT IN (SELECT doc_id FROM caught) AS kept,
+  source IS NOT NULL AND source IN (SELECT source FROM bad) AS host_failed
 FROM b
 """

@@ -1,4 +1,4 @@
-"""Host-level quality rules: document statistics, host failure rates with an empirical beta prior, verdicts joined back."""
+"""Host-level quality rules: failures of each rule by host, rates shrunk by an empirical beta prior, verdicts joined back."""
 
 from __future__ import annotations
 
@@ -61,88 +61,120 @@ def document_statistics(docs: DataFrame, keep: list[str], text: str = "text") ->
     return narrow.mapInArrow(run, schema)
 
 
-def with_base(stats: DataFrame) -> DataFrame:
-    return stats.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+#: The rules a document can fail, in the order of their bits; the first two are the base.
+RULES = {
+    "few": "n_words < 20",
+    "repetition": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "20 * n_dup_lines > n_words",
+    "lengths": "2 * word_chars < 5 * n_words OR word_chars > 12 * n_words",
+}
+BASE = 2
+#: A host whose shrunken rate of base failures exceeds REJECT takes all its documents along; where a rule's
+#: shrunken rate exceeds COMMON, failing it is a habit of the host, and documents of the host that fail it go.
+REJECT, COMMON = 0.9, 0.02
 
 
-def host_verdicts(stats: DataFrame, host: str, reject_rate: float = 0.9) -> DataFrame:
-    """One row per host: documents, failures, shrunken rate and `host_failed`.
+def _fails(stats: dict[str, np.ndarray]) -> np.ndarray:
+    """The rules that each document fails, as bits."""
+    w, chars = stats["n_words"], stats["word_chars"]
+    rules = (w < 20, 100 * stats["n_repeat_words"] > 30 * w, 10 * stats["n_symbols"] > w, 20 * stats["n_dup_lines"] > w, (2 * chars < 5 * w) | (chars > 12 * w))
+    return sum(r.astype(np.int32) << i for i, r in enumerate(rules))
 
-    The beta prior is fitted to all hosts by the method of moments: mean m and variance
-    v of host rates, less the binomial variance expected at their sizes, give a strength
-    s = m(1-m)/v - 1 held within [1, 1000].  A host fails when its posterior mean
-    (failures + s m) / (documents + s) exceeds `reject_rate`: only a host nearly all of
-    whose documents fail takes its remaining documents along.  A null host is no host:
-    such documents are judged by their own rules alone.
+
+def with_fails(stats: DataFrame) -> DataFrame:
+    """`stats` with `fails`, the rules that a document fails as bits, and base_failed."""
+    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values()))
+    return stats.withColumn("fails", F.expr(bits)).withColumn("base_failed", F.expr(f"fails & {(1 << BASE) - 1} > 0"))
+
+
+def host_verdicts(rows: DataFrame, host: str, reject: float = REJECT, common: float = COMMON) -> DataFrame:
+    """One row per host of rows(host, fails): n_docs, host_failed, `habits` (rules as bits) and the shrunken rates.
+
+    For each rule (and the base as a whole) a beta prior is fitted to all hosts by the
+    method of moments: mean m and variance v of host rates, less the binomial variance
+    expected at their sizes, give a strength s = m(1-m)/v - 1 held within [1, 1000].  A
+    host's rate is its posterior mean (failures + s m) / (documents + s).  A null host is
+    no host: such documents are judged by the base rules alone.
     """
-    hosts = stats.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    named = [*RULES, "base"]
+    hit = {name: F.col("fails").bitwiseAND(F.lit(1 << i)) > 0 for i, name in enumerate(RULES)} | {"base": F.col("fails").bitwiseAND(F.lit((1 << BASE) - 1)) > 0}
+    hosts = rows.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), *(F.sum(hit[x].cast("long")).alias(f"n_{x}") for x in named))
     hosts = written(hosts, "hosts")
     fit = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("m"),
-        F.avg(F.col("n_failed") / F.col("n_docs")).alias("m1"),
-        F.coalesce(F.var_samp(F.col("n_failed") / F.col("n_docs")), F.lit(0.0)).alias("v"),
         F.avg(1 / F.col("n_docs")).alias("inv"),
+        *((F.sum(f"n_{x}") / F.sum("n_docs")).alias(f"m_{x}") for x in named),
+        *(F.coalesce(F.var_samp(F.col(f"n_{x}") / F.col("n_docs")), F.lit(0.0)).alias(f"v_{x}") for x in named),
     ).first()
-    m = float(fit["m"] or 0.0)
-    spread = m * (1 - m)
-    v = max(1e-9, float(fit["v"] or 0.0) - spread * float(fit["inv"] or 0.0))
-    s = min(1000.0, max(1.0, spread / v - 1))
-    rate = (F.col("n_failed") + F.lit(s * m)) / (F.col("n_docs") + F.lit(s))
-    return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") > reject_rate)
+    for x in named:
+        m = float(fit[f"m_{x}"] or 0.0)
+        v = max(1e-9, float(fit[f"v_{x}"] or 0.0) - m * (1 - m) * float(fit["inv"] or 0.0))
+        strength = min(1000.0, max(1.0, m * (1 - m) / v - 1))
+        hosts = hosts.withColumn(f"rate_{x}", (F.col(f"n_{x}") + F.lit(strength * m)) / (F.col("n_docs") + F.lit(strength)))
+    habits = sum((F.when(F.col(f"rate_{x}") > common, 1 << i).otherwise(0) for i, x in enumerate(RULES)), F.lit(0))
+    return hosts.withColumn("host_failed", F.col("rate_base") > reject).withColumn("habits", habits)
 
 
-#: A table of at most this many failing hosts may be broadcast (names of hosts: a few MB).
+#: A table of at most this many hosts may be broadcast (names of hosts: a few MB).
 BROADCAST_HOSTS = 20_000
 #: Parts that each host's documents are dealt over in a shuffled join.
 SALTS = 64
 
 
-def join_verdicts(rows: DataFrame, verdicts: DataFrame, host: str, key: str = "doc_id", out: str = "host_failed") -> DataFrame:
-    """`rows` with `out`, whether their host failed.  Only failing hosts are joined.
+def join_verdicts(rows: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
+    """`rows` with `__lw_failed`, whether their host failed, and `__lw_habits`.  Only hosts with a verdict are joined.
 
     Their number is counted first: up to `BROADCAST_HOSTS` they are broadcast, beyond it
     they are shuffled with every host's rows dealt over `SALTS` parts, as one host may
     hold a third of all rows.
     """
-    bad = verdicts.where("host_failed").select(F.col(host).alias("__host"))
+    bad = verdicts.where("host_failed OR habits > 0").select(F.col(host).alias("__lw_host"), F.col("host_failed").alias("__lw_failed"), F.col("habits").alias("__lw_habits"))
+    same = F.col(host) == F.col("__lw_host")
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        joined = rows.join(F.broadcast(bad), F.col(host) == F.col("__host"), "left")
+        joined = rows.join(F.broadcast(bad), same, "left")
     else:
-        bad = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = rows.withColumn("__s", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int"))
-        joined = salted.join(bad, (F.col(host) == F.col("__host")) & (F.col("__s") == F.col("__salt")), "left").drop("__s", "__salt")
-    return joined.withColumn(out, F.col("__host").isNotNull()).drop("__host")
+        bad = bad.withColumn("__lw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("__lw_s", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        joined = salted.join(bad, same & (F.col("__lw_s") == F.col("__lw_salt")), "left").drop("__lw_s", "__lw_salt")
+    return joined.withColumn("__lw_failed", F.coalesce("__lw_failed", F.lit(False))).withColumn("__lw_habits", F.coalesce("__lw_habits", F.lit(0))).drop("__lw_host")
+
 
+def _kept(fails: str) -> str:
+    return f"{fails} & {(1 << BASE) - 1} = 0 AND NOT __lw_failed AND {fails} & __lw_habits = 0"
 
-def judge(docs: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", reject_rate: float = 0.9) -> DataFrame:
-    """One row per document: key, statistics, base_failed, host_failed, kept.
 
-    Null or empty text has zero words and so fails the base rules; repeated rows are
-    judged one by one; an empty table gives no rows; other columns are not read.
+def judge(docs: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", reject: float = REJECT, common: float = COMMON) -> DataFrame:
+    """One row per document: key, statistics, fails, base_failed, host_failed, kept.
+
+    A document goes if it fails a base rule, if its host failed, or if it fails a rule
+    that its host fails as a habit.  Null or empty text has zero words and so fails the
+    base; very long texts are read whole; repeated rows are judged one by one; an empty
+    table gives no rows; other columns are not read.
     """
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(host).alias("__source"), F.col(text).alias("text"))
-    stats = written(with_base(document_statistics(narrow, ["doc_id", "__source"])), "stats")
-    judged = join_verdicts(stats, host_verdicts(stats, "__source", reject_rate), "__source")
-    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("__source")
+    stats = written(with_fails(document_statistics(narrow, ["doc_id", "__source"])), "stats")
+    judged = join_verdicts(stats, host_verdicts(stats, "__source", reject, common), "__source")
+    return judged.withColumn("kept", F.expr(_kept("fails"))).withColumnRenamed("__lw_failed", "host_failed").drop("__source", "__lw_habits")
 
 
-def keep_good(docs: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", reject_rate: float = 0.9) -> DataFrame:
-    """The documents that pass, with their own columns; no text is shuffled.
+def keep_good(docs: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", reject: float = REJECT, common: float = COMMON) -> DataFrame:
+    """The documents that `judge` keeps, with their own columns.
 
-    Statistics are first reduced to host totals; then each document's own rules are
-    evaluated beside it and the host verdicts are joined.
+    Texts are read once: every document is written beside the rules it fails, hosts are
+    aggregated from these bits, and their verdicts are joined; no text is shuffled.
+    Nulls, long texts, repeats and empty tables as in `judge`.
     """
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(host).alias("__source"), F.col(text).alias("text"))
-    stats = written(with_base(document_statistics(narrow, ["doc_id", "__source"])), "stats")
-    verdicts = host_verdicts(stats, "__source", reject_rate)
     columns = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, text):
-            f = statistics_of(b.column(text))
-            ok = (f["n_words"] >= 20) & (100 * f["n_repeat_words"] <= 30 * f["n_words"])
-            yield b.filter(pa.array(ok))
-
-    good = docs.mapInArrow(run, docs.schema)
-    verdicts = verdicts.select(F.col("__source").alias(host), "host_failed")
-    return join_verdicts(good, verdicts, host, key, "__host_failed").where(~F.col("__host_failed")).select(*columns)
+    named = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, at[text]):
+            fails = _fails(statistics_of(b.column(at[text])))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fails, pa.int32())], names=[*b.schema.names, "fails"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema) + ", fails int"
+    rows = written(named.mapInArrow(flagged, schema), "flagged")
+    good = join_verdicts(rows.where(F.expr(f"fails & {(1 << BASE) - 1} = 0")), host_verdicts(rows, at[host], reject, common), at[host]).where(_kept("fails"))
+    return good.select(*[F.col(at[c]).alias(c) for c in columns])
