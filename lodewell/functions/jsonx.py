@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,38 +22,27 @@ def unfenced(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
 
 
+#: What matters for nesting: whole strings (an open one runs to the end) and braces.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z|\\\Z)|[{}]', re.DOTALL)
+_STEP = {"{": 1, "}": -1}
+
+
 @F.pandas_udf(StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     """The first complete object, braces inside strings not counted; null if none closes.
 
-    Nesting can't be told by a regular expression, hence Arrow batches.
+    Nesting can't be told by a regular expression, hence Arrow batches: an object ends at
+    the first token where the running sum of its braces is back at zero.
     """
 
-    def scan(t: str | None) -> str | None:
-        if not t:
-            return None
-        begin, depth, quoted, escaped = -1, 0, False, False
-        for i, ch in enumerate(t):
-            if quoted:
-                if escaped:
-                    escaped = False
-                elif ch == "\\":
-                    escaped = True
-                elif ch == '"':
-                    quoted = False
-            elif ch == '"' and depth:
-                quoted = True
-            elif ch == "{":
-                if not depth:
-                    begin = i
-                depth += 1
-            elif ch == "}" and depth:
-                depth -= 1
-                if not depth:
-                    return t[begin : i + 1]
-        return None
-
-    return texts.map(scan)
+    def found(t: str | None) -> str | None:
+        rest = (t or "").partition("{")
+        text = rest[1] + rest[2]
+        tokens = list(_TOKEN.finditer(text))
+        depth = accumulate(_STEP.get(m.group(), 0) for m in tokens)
+        return next((text[: m.end()] for m, d in zip(tokens, depth, strict=True) if d == 0), None)
+
+    return texts.map(found)
 
 
 def parsed(c: Column, schema: str) -> Column:

@@ -31,21 +31,53 @@ def claims(c: Column) -> Column:
 def pack_greedily(pieces: Column, most: int, least: int = 0, joint: str = " ") -> Column:
     """Neighbouring pieces joined while the result has at most `most` characters.
 
-    A piece that is longer by itself is cut into blocks of `most`; results under `least`
+    A piece that is longer by itself ends what is open and is cut into trimmed blocks of
+    `most`, which stand alone: the next piece starts afresh.  Results under `least`
     characters are dropped.  One fold over the array, so one row stays one row.
     """
-    blocks = F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int"))), lambda i: F.substring(p, i * most + 1, F.lit(most)))))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, p: Column) -> Column:
         joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit(joint), p))
-        fits = F.length(joined) <= most
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(fits, joined).otherwise(p).alias("open"))
-
-    packed = F.aggregate(F.filter(blocks, lambda p: p != ""), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+        closed = F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.trim(F.substring(p, i * most + 1, F.lit(most))))
+        return (
+            F.when(F.length(joined) <= most, F.struct(acc["done"].alias("done"), joined.alias("open")))
+            .when(F.length(p) <= most, F.struct(closed.alias("done"), p.alias("open")))
+            .otherwise(F.struct(F.concat(closed, F.filter(blocks, lambda x: x != "")).alias("done"), F.lit("").alias("open")))
+        )
+
+    packed = F.aggregate(F.filter(pieces, lambda p: p != ""), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
     return F.filter(packed, lambda x: F.length(x) >= least)
 
 
+def half_even(c: Column, digits: int = 0) -> Column:
+    """Rounded to `digits` places, halves to the even neighbour."""
+    return F.bround(c, digits)
+
+
+def starts_with_any(c: Column, heads: Sequence[str]) -> Column:
+    """Whether the text begins with one of the heads; null counts as no."""
+    found = F.lit(False)
+    for h in heads:
+        found = found | F.startswith(c, F.lit(h))
+    return F.coalesce(found, F.lit(False))
+
+
+def distinct_heads(items: Column, n: int = 80, most: int = 2) -> Column:
+    """The first `most` texts that differ in their first n characters."""
+    heads = F.transform(items, lambda x: F.substring(x, 1, n))
+    firsts = F.filter(items, lambda x, i: F.array_position(heads, F.substring(x, 1, n)) == i.cast("long") + 1)
+    return F.slice(firsts, 1, most)
+
+
+def evidence_block(rank: Column, doc: Column, section: Column, text: Column) -> Column:
+    """One passage under a header that names its rank, document and section (null: unknown)."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    head = F.concat(F.lit("[Passage "), F.coalesce(rank, F.lit(1)).cast("int").cast("string"), F.lit(" | doc="), blank(doc), F.lit(" | section="), F.coalesce(section, F.lit("unknown")), F.lit("]\n"))
+    return F.concat(head, blank(text))
+
+
 def shorten(c: Column, n: int, mark: str = "...") -> Column:
     """At most n characters, then the mark."""
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n), F.lit(mark)))

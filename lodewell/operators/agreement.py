@@ -97,9 +97,31 @@ def macro_f1(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
     return c.select("label", F.col("true").alias("support"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
 
 
-def crosswalk(c: Column) -> Column:
-    """Words of the human rubric to 1..5; others are null."""
+# Fixed values of the human rubric: the level of each word, that of fields where yes is bad, and the
+# fields (True: inverted) whose mean gives each judged dimension.
+LEVELS = {"yes": 5, "partial": 3, "no": 1, "none": 5, "mild": 3, "severe": 1, "high": 5, "medium": 3, "low": 1, "maybe": 3}
+INVERTED_LEVELS = {"yes": 1, "partial": 3, "maybe": 3, "no": 5}
+DIMENSIONS = {
+    "factuality": {"topic_relevance": False, "eligibility_overstatement": False},
+    "groundedness": {"unsupported_explanation": False, "fallback_used_correctly": False},
+    "abstain_appropriateness": {"missing_facts_reasonable": False, "unresolved_requirements_reasonable": False},
+    "safety": {"needs_domain_expert_review": True, "overall_usable": False},
+    "patient_utility": {"patient_facing_clarity": False, "teachback_targeted": False, "overall_usable": False},
+}
+
+
+def crosswalk(c: Column, inverted: bool = False) -> Column:
+    """A word of the human rubric as 1..5; others are null."""
     from ..functions.text import recode
 
-    # fixed values: the level of each rubric word
-    return recode(F.lower(F.trim(c)), {"yes": 5, "none": 5, "high": 5, "partial": 3, "mild": 3, "medium": 3, "maybe": 3, "no": 1, "severe": 1, "low": 1})
+    return recode(F.lower(F.trim(c)), INVERTED_LEVELS if inverted else LEVELS)
+
+
+def judged_dimensions(sheet: DataFrame) -> dict[str, Column]:
+    """Each dimension as the mean level of its fields that the sheet has and the rater filled; null without any."""
+    found = {}
+    for name, fields in DIMENSIONS.items():
+        levels = [crosswalk(F.col(f), inverted).cast("double") for f, inverted in fields.items() if f in sheet.columns]
+        given = F.array_compact(F.array(*levels)) if levels else F.array().cast("array<double>")
+        found[name] = F.try_divide(F.aggregate(given, F.lit(0.0), lambda a, x: a + x), F.size(given).cast("double"))
+    return found

@@ -59,3 +59,21 @@ def folds(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     from ..functions.text import draw
 
     return df.withColumn("fold", F.pmod(draw(F.col(key)), F.lit(k)).cast("int"))
+
+
+def cross_validated(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, c: float = 1.0) -> DataFrame:
+    """(fold, n, brier) of each fold whose training rows and own rows hold both classes; others are skipped."""
+    rows = folds(df, key, k)
+    sizes = {r["fold"]: (r["n"], r["y"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.col(label)).alias("y")).collect()}
+    n, y = sum(a for a, _ in sizes.values()), sum(b for _, b in sizes.values())
+    out = df.sparkSession.createDataFrame([], "fold int, n long, brier double")
+    for fold, (m, z) in sorted(sizes.items()):
+        if 0 < z < m and 0 < y - z < n - m:
+            test = logistic(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), features, label, [key, label], c)
+            out = out.unionByName(brier(test, F.col("p"), F.col(label)).select(F.lit(fold).alias("fold"), "n", "brier"))
+    return out
+
+
+def fold_summary(scores: DataFrame, value: str = "brier") -> DataFrame:
+    """Folds, mean and population deviation."""
+    return scores.agg(F.count("*").alias("folds"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("deviation"))

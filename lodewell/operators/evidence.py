@@ -92,3 +92,29 @@ def priority(c: Column, order: Sequence[str], other: int = 9) -> Column:
     """Place in a list of names; what isn't in it comes last."""
     at = F.array_position(F.array(*[F.lit(s) for s in order]), c)
     return F.when(at > 0, at - 1).otherwise(F.lit(other).cast("long"))
+
+
+def strata(signals: DataFrame, below: float = 1.5, deployed: float = 1.35, least: int = 2) -> DataFrame:
+    """Two flags of each case with a contested pool: adversarial (dominance under `below`), accepted as deployed."""
+    pool = F.col("n_groups") >= least
+    return signals.withColumns({"is_adversarial": ((F.col("dominance") < below) & pool).cast("int"), "is_deployed_accept": ((F.col("dominance") >= deployed) & pool).cast("int")})
+
+
+def baseline_evidence(rows: DataFrame, k: int, one_group: bool = False, case: str = "query_id", group: str = "doc_id", rank: str = "rank") -> DataFrame:
+    """The first k rows of each case, of all groups or of the first row's only, ranked anew as `position`; `reference` is that group."""
+    first = F.first(group).over(Window.partitionBy(case).orderBy(F.asc(rank), F.asc(group)))
+    rows = rows.withColumn("reference", first)
+    if one_group:
+        rows = rows.where(F.col(group) == F.col("reference"))
+    return first_rows(rows, [case], [F.asc(rank), F.asc(group)], k)
+
+
+def abstention_cost(cases: DataFrame, pool: DataFrame, case: str = "query_id", regime: str = "status", gold: str = "gold", flag: str = "relevant", member: str = "doc_id") -> DataFrame:
+    """Per regime: cases, those for which something relevant was available (gold in the pool, or the flag), and the share.
+
+    A case's pool is joined by case and gold at once, so only hits are kept.
+    """
+    hits = pool.select(case, F.col(member).alias(gold)).distinct().withColumn("_in", F.lit(True))
+    rows = cases.join(hits, [case, gold], "left").withColumn("_ok", F.coalesce("_in", F.lit(False)) | F.coalesce(F.col(flag), F.lit(False)))
+    out = rows.groupBy(regime).agg(F.count("*").alias("n"), F.count_if("_ok").alias("available"))
+    return out.withColumn("rate", F.round(F.col("available") / F.col("n"), 6))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import with_interval
 from ..functions.text import capitalised, distinct_folded, identifiers, stripped_words
 
 
@@ -104,3 +105,51 @@ def field_diff(before: DataFrame, after: DataFrame, key: str, fields: Sequence[s
 
 def other_if_unknown(c: Column, names: Sequence[str], other: str = "Other") -> Column:
     return F.when(c.isin(*names), c).otherwise(F.lit(other))
+
+
+def leak_flags(answers: DataFrame, vocabulary: DataFrame, case: str, narrow: Column, own: str = "own", text: str = "answer", least: int = 5) -> DataFrame:
+    """(case, narrow, wide) with all documents as pool: wide is narrow or a distinctive token of any other document.
+
+    The answer's own words are looked up in the vocabulary, an equi-join on the token, so
+    no answer meets every document.
+    """
+    token = vocabulary.select(F.col("doc_id").alias("_doc"), F.explode("tokens").alias("_w")).where(F.length("_w") >= least)
+    words = answers.select(case, own, F.explode(F.array_distinct(stripped_words(F.col(text), least, ()))).alias("_w"))
+    foreign = words.join(token, "_w").where(F.col("_doc") != F.col(own)).select(case).distinct().withColumn("_hit", F.lit(True))
+    rows = answers.select(case, (narrow > 0).alias("narrow")).join(foreign, case, "left")
+    return rows.select(case, "narrow", (F.col("narrow") | F.coalesce("_hit", F.lit(False))).alias("wide"))
+
+
+def leak_summary(flags: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Per group: n, and for each flag the rate with the exact 95 % interval, to four places."""
+    out = flags.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"_{c}") for c in columns])
+    for c in columns:
+        out = with_interval(out, f"_{c}", "n").withColumns({f"{c}_rate": F.round(F.col(f"_{c}") / F.col("n"), 4), f"{c}_lo": F.round("lo", 4), f"{c}_hi": F.round("hi", 4)}).drop("lo", "hi", f"_{c}")
+    return out
+
+
+def taxonomy(label: Column, leak: Column, allowed: Sequence[str], default: str = "T1") -> Column:
+    """The label where it is an allowed one; `none` without a leak, else the default."""
+    known = F.upper(F.trim(label))
+    return F.when(F.coalesce(leak, F.lit(0)) == 0, F.lit("none")).when(known.isin(*allowed), known).otherwise(F.lit(default))
+
+
+def consensus(a: Column, b: Column) -> Column:
+    """struct(either, both, agree) of two judges' flags of 0 and 1; null where a judge is missing."""
+    return F.struct(F.greatest(a, b).alias("either"), F.least(a, b).alias("both"), (a == b).cast("int").alias("agree"))
+
+
+def abstention_record(case: Column, reason: Column, fallback: str, fields: Sequence[str]) -> Column:
+    """The record of a case that is not answered: every field the fallback, no supports, the reason."""
+    return F.struct(case.alias("case_id"), F.lit("abstained").alias("status"), reason.alias("reason"), *[F.lit(fallback).alias(f) for f in fields], F.array().cast("array<int>").alias("supports"))
+
+
+def redaction_audit(claims: DataFrame, dropped: Column, flag: str) -> DataFrame:
+    """Claims by flag: how many, how many dropped, the share."""
+    out = claims.groupBy(flag).agg(F.count("*").alias("claims"), F.count_if(dropped).alias("dropped"))
+    return out.withColumn("rate", F.round(F.col("dropped") / F.col("claims"), 6))
+
+
+def uniform(bundle: Column, variants: Sequence[str], field: str) -> Column:
+    """An array of struct(variant, value) out of a struct of variants; variants without the record are left out."""
+    return F.filter(F.array(*[F.struct(F.lit(v).alias("variant"), bundle[v][field].alias("value")) for v in variants]), lambda x: x["value"].isNotNull())

@@ -96,3 +96,24 @@ def histogram(df: DataFrame, x: Column, low: float, width: float, bins: int) ->
     """Counts in equal bins, values outside in the end bins, empty bins left out."""
     at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - low) / width).cast("int")))
     return df.select(at.cast("long").alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def any_of(columns: Sequence[str], value: object) -> Column:
+    """Whether any of the columns holds the value; null counts as no."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.col(c) == F.lit(value), F.lit(False))
+    return found
+
+
+def by_rank_or_score(df: DataFrame, rank: str = "rank", score: str = "score") -> list[Column]:
+    """The order that a run has: by its rank column if there is one, else by falling score."""
+    return [F.asc(rank)] if rank in df.columns else [F.desc(score)]
+
+
+def undefined_reasons(df: DataFrame, metrics: dict[str, tuple[Column, str]]) -> DataFrame:
+    """(metric, n, undefined, reason): rows where each metric's value is null or NaN, and why it can be."""
+    bad = lambda c: F.coalesce(F.isnan(c.cast("double")), F.lit(True)) | c.isNull()
+    one = df.agg(F.count("*").alias("n"), *[F.count_if(bad(c)).alias(m) for m, (c, _) in metrics.items()])
+    parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col("n"), F.col(m).alias("undefined"), F.lit(why).alias("reason")) for m, (_, why) in metrics.items()])
+    return one.select(F.explode(parts).alias("r")).select("r.*")

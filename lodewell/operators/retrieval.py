@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..shared import written
 
 
 def ranked(scores: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -22,16 +23,25 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.size(terms(F.col(text))).cast("long").alias("dl"))
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n, dl): documents that hold each term, by one pass; the term '' stands for all of them, dl sums their lengths."""
+    own = docs.select(terms(F.col(text)).alias("t")).select(F.size("t").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
+    return own.groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
 
 
-def inverse_frequencies(post: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(term, idf): ln((N - n + .5) / (n + .5)); a negative one becomes epsilon times the vocabulary's mean."""
-    df = post.groupBy("term").agg(F.count("*").alias("n"))
-    raw = df.join(F.broadcast(n_docs.select(F.col("n_docs"), F.lit(1).alias("_k"))), F.lit(1) == F.col("_k")).select("term", F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"), F.lit(1).alias("_k"))  # one row
-    return raw.join(F.broadcast(mean), F.lit(1) == F.col("_k")).select("term", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+#: Different terms that topics may ask for at most to be sent to every task (a few MB); beyond it postings are shuffled to them.
+BROADCAST_TERMS = 200_000
+
+
+def asked_terms(vocab: DataFrame, topics: DataFrame, topic: str = "query_id", epsilon: float = 0.25) -> tuple[DataFrame, float]:
+    """((query_id, term, qtf, idf), mean length): idf is ln((N - n + .5) / (n + .5)), a negative one epsilon times the vocabulary's mean."""
+    n_docs, total = vocab.where("term = ''").select("n", "dl").first() or (0, 0)
+    raw = F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    words = vocab.where("term <> ''")
+    mean = words.agg(F.avg(raw)).first()[0] or 0.0
+    asked = topics.select(F.col(topic).alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    idf = words.select("term", F.when(raw < 0, F.lit(epsilon * mean)).otherwise(raw).alias("idf"))
+    return asked.join(idf, "term"), (total or 0) / n_docs if n_docs else 0.0
 
 
 def bm25(docs: DataFrame, topics: DataFrame, k: int | None = None, key: str = "doc_id", text: str = "text", topic: str = "query_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -39,16 +49,21 @@ def bm25(docs: DataFrame, topics: DataFrame, k: int | None = None, key: str = "d
 
     A term that a topic repeats counts as often.  Documents without a shared term, which
     would score 0, aren't listed.  Ties go to the smaller document id.
+
+    One pass over the texts counts the vocabulary; a second one gives the postings of
+    asked terms only, with their document's length, so nothing else is shuffled.
     """
-    post = postings(docs, key, text)
-    stats = lengths(docs, key, text).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    asked = topics.select(F.col(topic).alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    idf = inverse_frequencies(post, stats, epsilon)
-    dl = lengths(docs, key, text)
-    hits = asked.join(idf, "term").join(post, "term").join(dl, "doc_id").join(F.broadcast(stats.select("avgdl", F.lit(1).alias("_k"))), F.lit(1) == F.col("_k"))
+    asked, mean_length = asked_terms(written(vocabulary(docs, text), "vocabulary"), topics, topic, epsilon)
+    asked = written(asked, "asked")
+    weights = asked.groupBy("term").agg(F.collect_list(F.struct("query_id", (F.col("qtf") * F.col("idf")).alias("w"))).alias("asks"))
+    few = asked.count() <= BROADCAST_TERMS
+    weights = F.broadcast(weights) if few else weights
+    tokens = docs.select(F.col(key).alias("doc_id"), terms(F.col(text)).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    post = tokens.join(weights.select("term"), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+    part = F.col("ask.w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(mean_length)))
+    hits = post.join(weights, "term").select("doc_id", "tf", "dl", F.explode("asks").alias("ask"))
+    scores = hits.groupBy(F.col("ask.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
@@ -103,6 +118,32 @@ def reranked(candidates: DataFrame, topics: DataFrame, docs: DataFrame, scorer:
     """Candidates by the scorer of (topic text, document text), ties by their first rank; a missing document is empty text."""
     t = topics.select("query_id", F.col("text").alias("_q"))
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_d"))
-    rows = candidates.select("query_id", "doc_id", F.col("rank").alias("first_rank")).join(t, "query_id").join(d, "doc_id", "left")
+    rows = d.join(candidates.select("query_id", "doc_id", F.col("rank").alias("first_rank")), "doc_id", "right").join(t, "query_id")
     scores = rows.select("query_id", "doc_id", "first_rank", F.round(scorer(F.col("_q"), F.coalesce("_d", F.lit(""))), 6).alias("score"))
     return ranked(scores, ["query_id"], [F.desc("score"), F.asc("first_rank"), F.asc("doc_id")], k)
+
+
+def concatenated(passages: DataFrame, key: str = "doc_id", order: str = "i", text: str = "passage_text") -> DataFrame:
+    """(key, text): each document's passages in order, joined by spaces."""
+    rows = passages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_p"))
+    return rows.select(key, F.array_join(F.transform("_p", lambda x: x[text]), " ").alias("text"))
+
+
+def passage_search(run: DataFrame, passages: DataFrame, topics: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_scorer, docs: int = 20, k: int = 8, key: str = "doc_id", text: str = "passage_text") -> DataFrame:
+    """The k best passages of the topic's first `docs` documents: by the scorer, then the document's score, then passage id.
+
+    Two stages: only passages of documents that the run holds are scored.
+    """
+    top = run.where(F.col("rank") <= docs).select("query_id", F.col(key), F.col("score").alias("doc_score"), F.col("rank").alias("doc_rank"))
+    rows = passages.join(top, key).join(topics.select("query_id", F.col("text").alias("_q")), "query_id")
+    scored = rows.select("query_id", key, "passage_id", "doc_rank", "doc_score", F.round(scorer(F.col("_q"), F.col(text)), 6).alias("score"))
+    return ranked(scored, ["query_id"], [F.desc("score"), F.desc("doc_score"), F.asc("passage_id")], k)
+
+
+def compared(summaries: dict[str, DataFrame], metrics: Sequence[str]) -> DataFrame:
+    """One-row summaries as one table: method, then the metrics rounded to four places."""
+    rows = [s.select(F.lit(name).alias("method"), *[F.round(m, 4).alias(m) for m in metrics]) for name, s in summaries.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

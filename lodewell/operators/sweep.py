@@ -20,20 +20,37 @@ def grid(spark: SparkSession, rho: Sequence[float], tau: Sequence[float], mu: Se
 def evaluate(signals: DataFrame, settings: DataFrame, relevant: Column, generic: Column) -> DataFrame:
     """Per setting: accepted, precision, recall, F1, unsafe accepts, share of generic cases that abstain.
 
-    Every setting meets every case (the grid is a list written out by the caller, and is
-    the side that is sent); counts are combined before the only shuffle, so it moves one
-    row per setting and task.
+    A case passes a gate at the first so many of its thresholds, in order, so a case is
+    told by four such numbers and two flags.  Cases are counted by these, which is the only
+    pass over them and its only shuffle; the settings, a list written out by the caller,
+    meet the counts, whose number depends on the thresholds alone.
     """
-    s = signals.withColumn("_rel", relevant.cast("int")).withColumn("_gen", generic.cast("int"))
-    rows = s.withColumn("_k", F.lit(1)).join(F.broadcast(settings.withColumn("_k", F.lit(1))), "_k")
-    ok = ((F.col("dominance") >= F.col("rho")) & (F.col("share") >= F.col("tau")) & (F.col("raw_max") >= F.col("mu")) & (F.col("best_rank") <= F.col("kappa")) & (F.col("_gen") == 0)).cast("int")
-    c = rows.withColumn("_ok", ok).groupBy("config", "rho", "tau", "mu", "kappa").agg(
+    rows = settings.collect()
+    rho, tau, mu = (sorted({r[c] for r in rows}) for c in ("rho", "tau", "mu"))
+    kappa = sorted({r["kappa"] for r in rows}, reverse=True)
+    passed = lambda tests: sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))
+    cell = signals.select(
+        passed(F.col("dominance") >= x for x in rho).alias("_r"),
+        passed(F.col("share") >= x for x in tau).alias("_t"),
+        passed(F.col("raw_max") >= x for x in mu).alias("_m"),
+        passed(F.col("best_rank") <= x for x in kappa).alias("_k"),
+        relevant.cast("int").alias("_rel"),
+        generic.cast("int").alias("_gen"),
+    )
+    counts = cell.groupBy("_r", "_t", "_m", "_k", "_rel", "_gen").agg(F.count("*").alias("_n"))
+    need = settings.sparkSession.createDataFrame(
+        [(r["config"], r["rho"], r["tau"], r["mu"], r["kappa"], rho.index(r["rho"]) + 1, tau.index(r["tau"]) + 1, mu.index(r["mu"]) + 1, kappa.index(r["kappa"]) + 1) for r in rows],
+        "config long, rho double, tau double, mu double, kappa int, _nr int, _nt int, _nm int, _nk int",
+    )
+    met = F.broadcast(need).crossJoin(counts)  # a grid by at most (thresholds + 1) to the fourth times four cells
+    ok = ((F.col("_r") >= F.col("_nr")) & (F.col("_t") >= F.col("_nt")) & (F.col("_m") >= F.col("_nm")) & (F.col("_k") >= F.col("_nk")) & (F.col("_gen") == 0)).cast("int") * F.col("_n")
+    c = met.withColumn("_ok", ok).groupBy("config", "rho", "tau", "mu", "kappa").agg(
         F.sum("_ok").alias("accepted"),
         F.sum(F.col("_ok") * F.col("_rel")).alias("tp"),
-        F.sum("_rel").alias("positives"),
+        F.sum(F.col("_n") * F.col("_rel")).alias("positives"),
         F.sum(F.col("_ok") * (1 - F.col("_rel"))).alias("unsafe"),
-        F.sum("_gen").alias("generic"),
-        F.sum(F.col("_gen") * (1 - F.col("_ok"))).alias("generic_abstained"),
+        F.sum(F.col("_n") * F.col("_gen")).alias("generic"),
+        F.sum(F.col("_gen") * (F.col("_n") - F.col("_ok"))).alias("generic_abstained"),
     )
     p, r = ratio(F.col("tp"), F.col("accepted")), ratio(F.col("tp"), F.col("positives"))
     c = c.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(ratio(2 * p * r, p + r), 6), "unsafety": F.round(ratio(F.col("unsafe"), F.col("accepted")), 6)})

@@ -33,6 +33,6 @@ raw AS (SELECT term, ln((st.n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS raw
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 topics AS (""" + TOPICS + """),
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM topics) GROUP BY 1, 2),
-sc AS (SELECT q.query_id, post.doc_id, round(sum(q.qtf * idf.idf * post.tf * 2.5 / (post.tf + 1.5 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))), 9) AS score
+sc AS (SELECT q.query_id, post.doc_id, round(sum(q.qtf * idf.idf * post.tf * 2.5 / (post.tf + 1.5 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))), 6) AS score
   FROM q JOIN idf USING (term) JOIN post USING (term) JOIN dl ON dl.doc_id = post.doc_id, st GROUP BY 1, 2),
 bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""

@@ -81,7 +81,7 @@ def gate_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, sf).where("query_id % 10 = 1").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "part", "doc_id", "cross")))
+    rows = _rows(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "part", "doc_id", "cross")))
     pool = E.candidate_pool(rows, _signals(spark, sf).select("query_id", "selected"))
     return pool.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.col("position").cast("long").alias("position"))
 
@@ -138,6 +138,16 @@ def generic_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 _SQ = r"trim(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
 _SENT = r"string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_JOINED = "CASE WHEN acc.open = '' THEN q.open ELSE acc.open || ' ' || q.open END"
+_CLOSED = "CASE WHEN acc.open = '' THEN acc.done ELSE list_append(acc.done, acc.open) END"
+_CHUNKS = f"""
+pieces AS (SELECT doc_id, list_filter({_SENT.format(x=_SQ)}, lambda x: x <> '') AS s FROM documents),
+folded AS (SELECT doc_id, list_reduce(list_prepend({{'done': CAST([] AS VARCHAR[]), 'open': ''}}, list_transform(s, lambda x: {{'done': CAST([] AS VARCHAR[]), 'open': x}})),
+  lambda acc, q: CASE WHEN length({_JOINED}) <= 1200 THEN {{'done': acc.done, 'open': {_JOINED}}}
+    WHEN length(q.open) <= 1200 THEN {{'done': {_CLOSED}, 'open': q.open}}
+    ELSE {{'done': list_concat({_CLOSED}, list_filter(list_transform(range(0, length(q.open), 1200), lambda i: trim(substr(q.open, i + 1, 1200))), lambda x: x <> '')), 'open': ''}} END) AS f FROM pieces),
+packed AS (SELECT doc_id, list_filter(CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END, lambda x: length(x) >= 80) AS p FROM folded),
+chunks AS (SELECT doc_id, unnest(p) AS passage_text, unnest(range(len(p))) AS i, doc_id || '::text::' || unnest(range(len(p))) AS passage_id FROM packed)"""
 _ROWS = "rows AS (SELECT l_orderkey AS query_id, l_suppkey % 3 AS doc_id, 5 - 100 * l_discount AS cross_, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey % 3, 5 - 100 * l_discount) AS rank FROM lineitem)"
 _SCORES = _ROWS + """,
 sh AS (SELECT *, cross_ - min(cross_) OVER (PARTITION BY query_id) + 1e-6 AS shift FROM rows),
@@ -164,8 +174,8 @@ sw AS (SELECT *, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHE
 QUERIES = {
     "corpus_build": (corpus_build, f"WITH c AS (SELECT doc_id, lang, 'TITLE: ' || ' ' || 'SOURCE: ' || source || ' TEXT: ' || {_SQ} AS t FROM documents) SELECT doc_id, lang, length(trim(t)) AS n, md5(trim(t)) AS digest FROM c WHERE length(trim(t)) > 50"),
     "sentence_split": (sentence_split, "WITH s AS (SELECT doc_id, " + _SENT.format(x="text") + " AS s FROM documents) SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM s"),
-    "chunk_passages": (chunk_passages, None),
-    "passage_stats": (passage_stats, None),
+    "chunk_passages": (chunk_passages, "WITH " + _CHUNKS + " SELECT passage_id, doc_id, length(passage_text) AS n_chars, md5(passage_text) AS digest FROM chunks"),
+    "passage_stats": (passage_stats, "WITH " + _CHUNKS + " SELECT count(*) AS n_passages, count(DISTINCT doc_id) AS n_docs, round(avg(length(passage_text)), 6) AS mean_chars, round(median(length(passage_text)), 6) AS median_chars FROM chunks"),
     "group_score": (group_score, "WITH " + _SCORES + " SELECT query_id, doc_id, n_passages, best_rank, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("sum_rrf", "sum_cross", "max_cross", "raw_max_cross", "group_score")) + " FROM sco"),
     "selector_signals": (selector_signals, "WITH " + _SIGNALS + " SELECT query_id, selected, round(share, 4) AS share, round(raw_max, 4) AS raw_max, best_rank, n_groups, CASE WHEN n_groups > 1 THEN round(dominance, 3) END AS dominance FROM sig"),
     "single_group_gate": (single_group_gate, "WITH " + _ROWS + """,
@@ -174,7 +184,7 @@ w AS (SELECT *, weight / sum(weight) OVER (PARTITION BY query_id) AS share, coun
 SELECT CASE WHEN (n < 3 OR share < 0.55) AND n_groups > 1 THEN 'abstain' ELSE 'accept' END AS status, n_groups, least(n, 6) AS n_kept, count(*) AS cases, round(sum(round(share, 6)), 3) AS shares FROM w WHERE rn = 1 GROUP BY 1, 2, 3"""),
     "gate_decision": (gate_decision, "WITH " + _CASES + " SELECT CASE WHEN f = 'none' THEN 'accepted' ELSE 'abstained' END AS status, f AS failed_gate, count(*) AS cases, CAST(sum(CAST(relevant AS INT)) AS BIGINT) AS relevant FROM (SELECT *, CASE " + " ".join(f"WHEN NOT ({v}) THEN '{k}'" for k, v in _GATES.items()) + " ELSE 'none' END AS f FROM cas) GROUP BY 1, 2"),
     "candidate_pool": (candidate_pool, "WITH " + _SIGNALS + """,
-o AS (SELECT r.query_id, r.doc_id, min(r.rank) AS rank FROM rows r JOIN sig USING (query_id) WHERE r.query_id % 10 = 1 AND r.doc_id <> sig.selected GROUP BY 1, 2),
+o AS (SELECT r.query_id, r.doc_id, min(r.rank) AS rank FROM rows r JOIN sig USING (query_id) WHERE r.doc_id <> sig.selected GROUP BY 1, 2),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS position FROM o) SELECT * FROM p WHERE position <= 4"""),
     "topk_per_group_priority": (topk_per_group_priority, """WITH o AS (SELECT o_custkey, o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 9 END AS BIGINT) AS place FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY place, o_orderkey) AS position FROM o) SELECT * FROM r WHERE position <= 2"""),

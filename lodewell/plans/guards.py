@@ -17,7 +17,7 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     own = F.concat(F.lit("DOC"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
     nxt = F.concat(F.lit("DOC"), F.lpad((F.col("doc_id") + 1).cast("string"), 8, "0"))
-    return d.select("doc_id", "source", own.alias("own"), F.concat_ws(" ", F.substring("text", 1, 400), F.lower(own), F.when(F.col("doc_id") % 5 == 0, nxt)).alias("answer"))
+    return d.select("doc_id", "source", own.alias("own"), F.concat_ws(" ", "text", F.lower(own), F.when(F.col("doc_id") % 5 == 0, nxt)).alias("answer"))
 
 
 def narrow_leak(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,21 +30,18 @@ def narrow_leak_summary(spark: SparkSession, sf: str) -> DataFrame:
     return a.groupBy("source").agg(F.count("*").alias("n"), F.count_if("leak").alias("leaks"), F.round(F.avg(F.col("leak").cast("double")), 6).alias("rate"))
 
 
-def _heads(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("text"))
-
-
 def distinctive_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    v = G.distinctive_terms(_heads(spark, sf), cap=5)
+    v = G.distinctive_terms(table(spark, sf, "documents"), cap=5)
     return v.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 
 def wide_leak(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers are benchmark passages; a pool is five documents by arithmetic."""
+    """Answers are benchmark passages; a pool is five of all documents by arithmetic."""
+    n = table(spark, sf, "documents").count()
     b = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("answer"))
-    pool = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.pmod(F.col("item_id") * 7 + i * 13, F.lit(100)).cast("long"))
-    a = b.select("item_id", "answer", F.pmod(F.col("item_id") * 7, F.lit(100)).alias("own"), pool.alias("pool"))
-    return G.wide_leaks(a, G.distinctive_terms(_heads(spark, sf)), "item_id")
+    pool = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.pmod(F.col("item_id") * 7919 + i * 1301, F.lit(n)).cast("long"))
+    a = b.select("item_id", "answer", F.pmod(F.col("item_id") * 7919, F.lit(n)).alias("own"), pool.alias("pool"))
+    return G.wide_leaks(a, G.distinctive_terms(table(spark, sf, "documents")), "item_id")
 
 
 def _cited(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,9 +155,9 @@ def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return S.to_do(work, e, ["user_id"], _failed())
 
 
-_ANS = "a AS (SELECT doc_id, source, 'DOC' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS own, substr(text, 1, 400) || ' ' || lower('DOC' || lpad(CAST(doc_id AS VARCHAR), 8, '0')) || CASE WHEN doc_id % 5 = 0 THEN ' DOC' || lpad(CAST(doc_id + 1 AS VARCHAR), 8, '0') ELSE '' END AS answer FROM documents)"
+_ANS = "a AS (SELECT doc_id, source, 'DOC' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS own, text || ' ' || lower('DOC' || lpad(CAST(doc_id AS VARCHAR), 8, '0')) || CASE WHEN doc_id % 5 = 0 THEN ' DOC' || lpad(CAST(doc_id + 1 AS VARCHAR), 8, '0') ELSE '' END AS answer FROM documents)"
 _NARROW = r"len(list_filter(list_distinct(list_transform(regexp_extract_all(answer, '(?i)DOC\d{8}'), lambda x: upper(x))), lambda x: x <> own))"
-_WORDS = r"w AS (SELECT DISTINCT doc_id, unnest(list_filter(list_transform(string_split_regex(lower(substr(text, 1, 300)), '\s+'), lambda w: regexp_replace(w, '^[.,;:()]+|[.,;:()]+$', '', 'g')), lambda w: regexp_full_match(w, '\p{L}{6,}'))) AS w FROM documents), o AS (SELECT w, min(doc_id) AS doc_id FROM w GROUP BY 1 HAVING count(*) = 1)"
+_WORDS = r"w AS (SELECT DISTINCT doc_id, unnest(list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda w: regexp_replace(w, '^[.,;:()]+|[.,;:()]+$', '', 'g')), lambda w: regexp_full_match(w, '\p{L}{6,}'))) AS w FROM documents), o AS (SELECT w, min(doc_id) AS doc_id FROM w GROUP BY 1 HAVING count(*) = 1)"
 _CITED = f"""c AS (SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN '' WHEN l_orderkey % 7 = 0 THEN '{_FALLBACK}' WHEN l_orderkey % 3 = 0 THEN 'The risk is stated.' ELSE 'The visit takes a day.' END AS claim,
  CASE WHEN l_orderkey % 13 = 0 THEN CAST([] AS INT[]) ELSE list_sort(list_distinct(list(l_linenumber))) END AS supports FROM lineitem GROUP BY 1)"""
 _ERR = lambda s: f"list_filter([CASE WHEN claim = '' THEN 'missing claim' END, CASE WHEN claim NOT IN ('', '{_FALLBACK}') AND len({s}) = 0 THEN 'no supports' END, CASE WHEN claim NOT IN ('', '{_FALLBACK}') AND len(list_filter({s}, lambda x: x > 4)) > 0 THEN 'unknown support' END, CASE WHEN claim NOT IN ('', '{_FALLBACK}') AND NOT contains(lower(claim), 'risk') THEN 'no field keyword' END], lambda x: x IS NOT NULL)"
@@ -170,13 +167,14 @@ QUERIES = {
     "narrow_leak": (narrow_leak, f"WITH {_ANS} SELECT doc_id, {_NARROW} AS narrow, len(list_filter(list_distinct(regexp_extract_all(answer, 'DOC\\d{{8}}')), lambda x: x <> own)) AS exact_case FROM a"),
     "narrow_leak_summary": (narrow_leak_summary, f"WITH {_ANS} SELECT source, count(*) AS n, count(*) FILTER ({_NARROW} > 0) AS leaks, round(avg(CAST({_NARROW} > 0 AS INT)), 6) AS rate FROM a GROUP BY 1"),
     "distinctive_vocab": (distinctive_vocab, f"WITH {_WORDS} SELECT doc_id, array_to_string(list_slice(list(w ORDER BY w), 1, 5), '|') AS tokens FROM o GROUP BY 1"),
-    "wide_leak": (wide_leak, f"WITH {_WORDS}, b AS (SELECT CAST(item_id AS BIGINT) AS item_id, lower(text) AS answer, item_id * 7 % 100 AS own FROM benchmark), p AS (SELECT b.*, (item_id * 7 + i * 13) % 100 AS doc FROM b, (SELECT unnest(range(5)) AS i)) SELECT b.item_id, CAST(coalesce(max(CAST(contains(p.answer, o.w) AS INT)), 0) AS BIGINT) AS wide FROM b LEFT JOIN p ON p.item_id = b.item_id AND p.doc <> p.own LEFT JOIN o ON o.doc_id = p.doc GROUP BY 1"),
+    "wide_leak": (wide_leak, f"WITH {_WORDS}, b AS (SELECT CAST(item_id AS BIGINT) AS item_id, lower(text) AS answer, item_id * 7919 % (SELECT count(*) FROM documents) AS own FROM benchmark), p AS (SELECT b.*, (item_id * 7919 + i * 1301) % (SELECT count(*) FROM documents) AS doc FROM b, (SELECT unnest(range(5)) AS i)) SELECT b.item_id, CAST(coalesce(max(CAST(contains(p.answer, o.w) AS INT)), 0) AS BIGINT) AS wide FROM b LEFT JOIN p ON p.item_id = b.item_id AND p.doc <> p.own LEFT JOIN o ON o.doc_id = p.doc GROUP BY 1"),
     "citation_validate": (citation_validate, f"WITH {_CITED} SELECT l_orderkey, array_to_string({_ERR('supports')}, ';') AS errors FROM c"),
     "citation_postprocess": (citation_postprocess, f"WITH {_CITED}, k AS (SELECT *, list_filter(supports, lambda x: x <= 4) AS kept FROM c), e AS (SELECT *, {_ERR('kept')} AS err FROM k) SELECT l_orderkey, CASE WHEN len(err) > 0 THEN '{_FALLBACK}' ELSE claim END AS claim, CASE WHEN len(err) > 0 THEN '' ELSE array_to_string(kept, ',') END AS supports, CASE WHEN len(err) > 0 THEN err[1] WHEN len(kept) < len(supports) THEN 'dropped supports' ELSE '' END AS change FROM e"),
     "hard_gate": (hard_gate, f"WITH {_CITED} SELECT l_orderkey, CASE WHEN len(list_filter(supports, lambda x: x > 4)) > 0 THEN '{_FALLBACK}' ELSE claim END AS claim, len(supports) > 0 AND len(list_filter(supports, lambda x: x > 4)) = 0 AS in_range FROM c"),
     "unclear_list": (unclear_list, "WITH n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) SELECT n_regionkey, string_agg(upper(substr(n_name, 1, 1)) || substr(lower(n_name), 2), ' ; ' ORDER BY i) || ' ; Other' AS items FROM n GROUP BY 1"),
     "teachback_rules": (teachback_rules, "SELECT p_partkey, CASE WHEN contains(t, 'steel') THEN 'Which ' || t || ' do you mean?' WHEN contains(t, 'brass') THEN 'Is it brass?' WHEN contains(t, 'tin') THEN 'How much ' || t || ' is there?' ELSE 'What is ' || t || '?' END AS question FROM (SELECT p_partkey, lower(p_type) AS t FROM part)"),
-    "claim_extract": (claim_extract, None),
+    "claim_extract": (claim_extract, f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS c FROM documents),
+p AS (SELECT doc_id, unnest(c) AS claim, unnest(range(len(c))) AS position FROM s) SELECT doc_id, position, md5(claim) AS digest FROM p WHERE claim <> '{_FALLBACK}'"""),
     "claim_redact": (claim_redact, None),
     "redact_calibrate": (redact_calibrate, None),
     "flatten_nested": (flatten_nested, "SELECT o_orderkey, o_orderstatus AS status, o_orderpriority || ' ; ' || o_orderstatus AS tags FROM orders"),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..streaming import logs
 from .base import table
 
@@ -25,8 +26,7 @@ def event_session(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """The events read as a stream, one row per id, drained to Parquet in the shared folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/lodewell-streams"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, sf, "events")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
     stream = logs.first_seen(logs.log_stream(spark, f"{sf}/events.parquet*", ddl), ["event_id"], "ts", "400 days")

@@ -6,12 +6,15 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str = "local[8]", app: str = "lodewell", **conf: str) -> SparkSession:
-    """Adaptive execution on, UTC, shuffle partitions left to adaptive coalescing; `conf` overrides any of it."""
+    """Adaptive execution on, UTC; `conf` overrides any of it.
+
+    Shuffle partitions are left to the cluster's own setting: adaptive execution merges
+    small ones but never makes more, so a low number here would bind at any size.
+    """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
     } | conf
     builder = SparkSession.builder.master(master).appName(app)

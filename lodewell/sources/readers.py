@@ -108,6 +108,11 @@ def checksums(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> Da
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """The first so many rows that the scan gives; it stops once it has them."""
+    return df.limit(rows)
+
+
 def sniffed(df: DataFrame, names: Sequence[str]) -> str | None:
     """The first column called one of the names, whatever their case."""
     by_low = {c.lower(): c for c in df.columns}

@@ -53,6 +53,19 @@ def latex_rows(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFr
     return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
 
 
+def markdown_rows(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
+    """A text column `line` with the cells of a Markdown table's row."""
+    kinds = dict(df.dtypes)
+    cells = [F.format_string(f"%.{digits}f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def outputs(df: DataFrame, path: str, selections: dict[str, Column]) -> None:
+    """A JSONL folder `output=name` for each selection of rows, all from one scan."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in selections.items()]))
+    df.withColumn("output", F.explode(names)).write.mode("overwrite").partitionBy("output").json(path)
+
+
 def summary(values: dict, path: str, spark) -> None:
     """A small dictionary as one JSON file."""
     spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
