@@ -48,8 +48,8 @@ def logistic(train: DataFrame, test: DataFrame, features: Sequence[str], label:
 
     row = train.agg(F.count("*").alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
     scaled = lambda df: df.withColumns({f"_{f}": (F.col(f) - row[f"m_{f}"]) / (row[f"s_{f}"] or 1.0) for f in features})
-    put = VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="_x")
-    fit = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (c * row["n"]), standardization=False, maxIter=200, tol=1e-9).fit(put.transform(scaled(train)))
+    put = VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="_features")
+    fit = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (c * row["n"]), standardization=False, maxIter=200, tol=1e-9).fit(put.transform(scaled(train)))
     out = fit.transform(put.transform(scaled(test)))
     return out.select(*keep, F.round(vector_to_array("probability")[1], 4).alias("p"))
 
