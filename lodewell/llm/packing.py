@@ -34,7 +34,9 @@ def _byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Callable[[str], list[int]]:
-    """text -> ids as the `tokenizers` library gives for the file, special strings being ordinary text.
+    """text -> ids as the `tokenizers` library gives for the file with add_special_tokens=False.
+
+    None is added, but a special string that stands in the text is its own id.
 
     Where the file is a plain byte-level BPE whose merges are in the order of their ids,
     ids are ranks, and the same ids come several times faster from a rank encoder.
@@ -48,7 +50,7 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
     plain = (
         pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE"
         and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        and all(t["special"] for t in spec.get("added_tokens", []))
+        and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
     )
     if plain:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -62,9 +64,9 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
 
         ranks = {bytes(letters[c] for c in t): i for t, i in ordinary.items()}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec.get("added_tokens", [])})
+        return lambda text: own.encode(text, allowed_special="all")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 

@@ -97,7 +97,8 @@ def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    texts = texts | {5000: "hello <|endoftext|> world<|endoftext|><|endoftext|> x", 5001: "<|endoftext|>", 5002: "<|endoftext|"}
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(i, texts[i]) for i in (5000, 5001, 5002)], "doc_id long, text string"))
     ids = {d: [*tok.encode(t, add_special_tokens=False).ids, 1] for d, t in texts.items()}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in packing.pack(docs.repartition(3), P.path("byte_bpe_50k.json")).collect():
