@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +168,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     for s, e, kind in found:
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if s >= free and not any(b[0] < e and s < b[1] for b in taken[i : i + 8]):
+        if s >= free and not any(s < b[1] for b in takewhile(lambda b: b[0] < e, islice(taken, i, None))):  # noqa: B023
             out.append((s, e, kind))
             free = e
     return out
@@ -284,6 +285,10 @@ def find(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`find` with the classifier learnt from the same documents; without candidates it adds nothing.
+
+    Nulls, empty and long texts, repeats, an empty table and other columns as in `find`.
+    """
     return find(docs, learn(docs, text), key, text)
 
 
@@ -298,7 +303,11 @@ def redact_text(text: str, weights: np.ndarray) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", weights: np.ndarray | None = None) -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets; other columns as they were, null text stays null."""
+    """The documents with every span replaced by its kind in angle brackets; other columns as they were, null text stays null.
+
+    Of spans that overlap, one mark stands for all.  Whole texts are read, rows are judged
+    one by one whatever repeats, an empty table gives no rows.
+    """
     weights = learn(docs, text) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
