@@ -23,28 +23,51 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose host fails, go."""
+    """Documents that fail the rules, or whose host fails, go.
+
+    A null or empty text has no words, so it fails and goes; a null host is no host.
+    Long texts are read whole, equal rows are judged alike, an empty table stays empty.
+    """
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that another occurrence stands for go, and with them documents that have nothing else."""
-    left = lines.dedup_lines(docs, counts=("__n_lines", "__n_removed")).where("NOT (__n_removed > 0 AND trim(text) = '')")
+    """Lines that another occurrence stands for go, and with them documents that have nothing else.
+
+    Null and empty texts and rows with a null key stay as they are; of equal lines (ties)
+    that of the least (key, row, position) stays; rows of equal key and text lose the same
+    lines, rows of one key and unlike texts are documents of their own.  Long texts are read
+    whole, an empty table stays empty.
+    """
+    left = lines.dedup_lines(docs, counts=("__lw_lines", "__lw_removed")).where("NOT (__lw_removed > 0 AND trim(text) = '')")
     return _measured(left, docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the least id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the least id stays.
+
+    Rows with a null key or a text without a word stay; repeated rows stay or go together,
+    rows of one key and unlike texts are judged each by its text.  Long texts are read
+    whole, an empty table stays empty.
+    """
     return nearjoin.keep_one(docs, size=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets become their kind in angle brackets."""
+    """Personal data and secrets become their kind in angle brackets.
+
+    Null texts stay null, empty ones empty; the classifier learns from all rows given, so
+    equal rows are treated alike; long texts are read whole, an empty table stays empty.
+    """
     return _measured(pii.redact(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences, one row per piece, with its ids."""
+    """Training sequences, one row per piece, with its ids.
+
+    A null or empty text is the end mark alone; long texts are cut over sequences, repeated
+    rows are packed each, an empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -58,7 +81,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL expresses neither the classifier's spans nor BPE ids; tests compare the stages with brute force.
+#: SQL expresses neither the classifier's spans nor BPE ids; a test compares each stage, on the one before it, with brute force.
 ORACLE_SQL = None
 
 

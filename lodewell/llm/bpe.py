@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,13 +16,43 @@ from pyspark.sql import functions as F
 
 from .common import sliced
 
-#: Splits ASCII texts as the general pattern does, in the faster of the two engines.
+#: The general pattern of byte-level vocabularies (a fixed value), and the same for ASCII texts in the faster of the two engines.
+_GENERAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 _NONE = 1 << 60
 #: Distinct pre-tokens whose ids a worker keeps; when full, it starts anew.
 CACHE = 400_000
 
 
+#: A code point that no Unicode version assigns so far.
+_UNASSIGNED = 0x378
+
+
+@lru_cache(maxsize=1)
+def _recent() -> re.Pattern:
+    """Letters, digits and spaces of the split's Unicode tables that the interpreter's older tables don't have."""
+    known = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    return re.compile("[" + "".join(c for c in regex.findall(r"[\p{L}\p{N}\s]", known) if unicodedata.category(c) == "Cn") + "]")
+
+
+@lru_cache(maxsize=8)
+def _unknown(path: str, pattern: str) -> dict[int, int]:
+    """Of these, the code points that the rank library splits otherwise, as a translation to an unassigned one.
+
+    Its tables are of another Unicode version, so it is asked: each point stands beside
+    letters, digits and spaces in a short text that is encoded both ways.
+    """
+    import tiktoken
+
+    library = tiktoken.Encoding("asked", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
+    split, ranks, found = regex.compile(pattern).findall, ranks_of(path), {}
+    for c in _recent().pattern[1:-1]:
+        text = f"a{c} {c}1{c}{c}\n{c} b{c}'s {c}"
+        if library.encode_ordinary(text) != [i for piece in split(text) for i in merge(piece.encode(), ranks)]:
+            found[ord(c)] = _UNASSIGNED
+    return found
+
+
 @lru_cache(maxsize=8)
 def ranks_of(path: str) -> dict[bytes, int]:
     """The ranks of a tiktoken file (installed beside the workers' libraries, so a local path)."""
@@ -98,8 +129,10 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = ranks_of(path)
-
+        self.path, self.pattern = path, pattern
+        self.ascii = _ASCII.findall if pattern == _GENERAL else None
         self.split = regex.compile(pattern).findall
+        self.places = regex.compile(pattern).finditer
         self.ids: dict[str, bytes] = {}
         top = max(self.ranks.values()) + 1
         lengths = np.zeros(top, np.int64)
@@ -111,7 +144,13 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(t for _, t in by_rank), np.uint8)
 
     def pieces(self, text: str) -> list[str]:
-        return _ASCII.findall(text) if text.isascii() else self.split(text)
+        """The text's pre-tokens, as the rank library splits it."""
+        if text.isascii():
+            return (self.ascii or self.split)(text)
+        if _recent().search(text) is None:
+            return self.split(text)
+        stand_in = text.translate(_unknown(self.path, self.pattern))  # one code point for each
+        return [text[m.start() : m.end()] for m in self.places(stand_in)]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers."""

@@ -11,11 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers as P
+import tiktoken
 from pyspark.sql import functions as F
 
 from lodewell.llm import bpe, common, entries, langid, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
 
 DATA = "/root/testdata/sf0.001"
+MULTI = P.path("byte_bpe_multi_50k.tiktoken")
 
 
 @pytest.fixture(scope="module")
@@ -230,8 +232,6 @@ def test_short_secrets_are_learned(spark):
 def test_bpe(docs, texts):
     import base64
 
-    import tiktoken
-
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for r in bpe.encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect():
@@ -246,6 +246,52 @@ def test_bpe(docs, texts):
     assert bpe.merge(whole.encode(), ranks) == enc.encode_ordinary(whole)
 
 
+def test_recent_letters_split_as_in_the_library():
+    """Code points that the two engines' Unicode versions tell apart, in all places of a text."""
+    library = tiktoken.Encoding("m", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(MULTI), special_tokens={})
+    recent = bpe._recent().pattern[1:-1]
+    assert recent
+    c = bpe.codec(MULTI, P.PATTERN)
+    for x in [*recent[:: max(1, len(recent) // 400)], *recent[:50], *recent[-50:], "ʼ", "²", "٣", "\u3000", "\x85", "ß", "\U0001f600"]:
+        for text in (f"ab{x}cd {x}{x} 12{x}3 {x}", f"{x}", f" {x}\n{x}  {x}é", f"'s{x}'s {x}'ll"):
+            assert c.encode(text).tolist() == library.encode_ordinary(text)
+
+
+def test_language_vectors_by_hand(spark):
+    """Letters' vectors rotated, bound into trigrams, bundled and compared, in plain loops."""
+    a, b, c = langid._letters().astype(int)
+    table = langid._symbols()
+
+    def plain(text):
+        s, out = [], np.zeros(langid.WIDTH, int)
+        for ch in f" {text.lower()} ":
+            x = int(table[ord(ch)])
+            if x or not s or s[-1]:
+                s.append(x)
+        for i in range(len(s) - 2):
+            out += a[s[i]] * b[s[i + 1]] * c[s[i + 2]]
+        return out, any(s)
+
+    texts = ["The quick brown fox, it ran.", "Der schnelle Fuchs läuft über den Weg", "", "12 34 !!", "a", "Ñandú y   caña; el zorro\ncorre", "The dog ran. The fox ran"]
+    vectors, has = langid.vectors_of(texts)
+    for t, v, h in zip(texts, vectors, has, strict=True):
+        want, letters = plain(t)
+        assert (v == want).all() and h == letters
+    langs = ["en", "de", "en", None, "en", "es", "en"]
+    d = spark.createDataFrame(list(zip(range(7), texts, langs, strict=True)), "doc_id long, text string, lang string").repartition(3)
+    prototypes = langid.learn(d)
+    sums = {}
+    for t, lang in zip(texts, langs, strict=True):
+        if lang:
+            sums[lang] = sums.get(lang, 0) + plain(t)[0]
+    assert prototypes.keys() == sums.keys() and all((prototypes[k] == sums[k]).all() for k in sums)
+    for r in langid.predict(d, prototypes, ["doc_id"]).collect():
+        v, letters = plain(texts[r.doc_id])
+        cosine = {k: float(v @ p / (np.linalg.norm(v) * np.linalg.norm(p) or 1)) for k, p in sums.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert (r.lang_pred, round(r.score, 4)) == ((best, round((1 + cosine[best]) / 2, 4)) if letters else ("und", 0.0))
+
+
 @pytest.mark.parametrize("leaf", [1, 3, 32])
 def test_edited_counts(monkeypatch, leaf):
     monkeypatch.setattr(tokencounts, "LEAF", leaf)
@@ -399,13 +445,8 @@ def line_facts(form):
     return (*(lines.simhashes(data, of, 1, spec, bits)[0] for spec, bits in ((lines.FIRST, 64), (lines.SECOND, 64), (lines.SECOND, 256))), len(form))
 
 
-@pytest.mark.parametrize("cell", [lines.CELL, 3])
-def test_lines(spark, monkeypatch, texts, cell):
-    """All pairs of lines by plain comparison; small cells split nodes again and again."""
-    monkeypatch.setattr(lines, "CELL", cell)
-    made = dict(list(texts.items())[:60])
-    long = " ".join(f"word{i}" for i in range(80))
-    made |= {1000: long + "\nSHORT line!", 1001: long.replace("word40", "wurd40") + "\nshort LINE", 1002: "***\n" + long.upper() + "\n***", 1003: "Copyright 2019 Acme Corporation", 1004: "copyright 2018 acme corporation\n" + long.replace("word7 ", "")}
+def lines_that_go(made):
+    """(document, position) of the lines of `made` that another occurrence stands for, by comparing all pairs."""
     occurrences, profile = collections.defaultdict(list), {}
     for d, t in made.items():
         p = lines._profiles(pa.array([t]))
@@ -429,6 +470,17 @@ def test_lines(spark, monkeypatch, texts, cell):
     for f, c in zip(forms, components(len(forms), links), strict=True):
         groups[c] += occurrences[f]
     gone = {x for o in groups.values() for x in o if x != min(o)}
+    return gone
+
+
+@pytest.mark.parametrize("cell", [lines.CELL, 3])
+def test_lines(spark, monkeypatch, texts, cell):
+    """All pairs of lines by plain comparison; small cells split nodes again and again."""
+    monkeypatch.setattr(lines, "CELL", cell)
+    made = dict(list(texts.items())[:60])
+    long = " ".join(f"word{i}" for i in range(80))
+    made |= {1000: long + "\nSHORT line!", 1001: long.replace("word40", "wurd40") + "\nshort LINE", 1002: "***\n" + long.upper() + "\n***", 1003: "Copyright 2019 Acme Corporation", 1004: "copyright 2018 acme corporation\n" + long.replace("word7 ", "")}
+    gone = lines_that_go(made)
     assert {(1001, 0), (1001, 1), (1002, 1), (1004, 1)} <= gone
     d = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(3)
     for r in lines.dedup_lines(d).collect():
@@ -476,6 +528,81 @@ def test_prototypes_do_not_depend_on_partitions(docs):
     assert a.keys() == b.keys() and all((a[k] == b[k]).all() for k in a)
 
 
+def kept_by_rules(rows):
+    """Ids of documents (id, text, host) that the quality rules keep, by plain loops."""
+    fails = {}
+    for d, t, _ in rows:
+        words = [w for w in re.split("[\\x20\\x09-\\x0D]+", t or "") if w]
+        grams = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        again = {i + j for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for j in range(8)}
+        real = [x for x in (t or "").split("\n") if re.search("[^\\x20\\x09-\\x0D]", x)]
+        n, chars = len(words), sum(map(len, words))
+        fails[d] = (n < 20, 100 * len(again) > 30 * n, 10 * len(re.findall(r"[#*$%&|<>]", t or "")) > n, 20 * (len(real) - len(set(real))) > n, 2 * chars < 5 * n or chars > 12 * n)
+    hosts = collections.defaultdict(list)
+    for d, _, h in rows:
+        if h is not None:
+            hosts[h].append((*fails[d], fails[d][0] or fails[d][1]))
+    rate = {}
+    for r in range(6):
+        n, f = (np.array([fn(x[r] for x in v) for v in hosts.values()], float) for fn in (lambda y: len(list(y)), sum))
+        m = f.sum() / n.sum()
+        v = max(1e-9, (np.var(f / n, ddof=1) if len(n) > 1 else 0) - m * (1 - m) * (1 / n).mean())
+        s = min(1000, max(1, m * (1 - m) / v - 1))
+        rate |= {(h, r): (a + s * m) / (b + s) for h, a, b in zip(hosts, f, n, strict=True)}
+    bad = lambda d, h: any(fails[d][:2]) or h is not None and (rate[h, 5] > quality.REJECT or any(x and rate[h, r] > quality.COMMON for r, x in enumerate(fails[d])))
+    return {d for d, _, h in rows if not bad(d, h)}
+
+
+def test_pipeline_by_stages(spark, docs, monkeypatch):
+    """Each stage, on what the one before it left, gives what plain code gives."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    now = docs.where("doc_id < 120")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name):
+        before = {r.doc_id: r.text for r in now.collect()}
+        hosts = {r.doc_id: r.source for r in now.collect()}
+        return before, hosts, common.written(stages[name](spark, now, ""), "stage")
+
+    before, hosts, now = step("quality rules")
+    assert {r.doc_id for r in now.collect()} == kept_by_rules([(d, t, hosts[d]) for d, t in before.items()])
+    before, _, now = step("line dedup")
+    gone = lines_that_go(before)
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in before.items()}
+    want = {d: t for d, t in want.items() if t.strip(" ") or t == before[d]}
+    assert {r.doc_id: r.text for r in now.collect()} == want and all(r.n_chars == len(r.text) for r in now.collect())
+    before, _, now = step("near dedup")
+    sets = {}
+    for d, t in before.items():
+        w = [x for x in re.split("[\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)) if x]
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    ids = sorted(before)
+    links = [(i, j) for i in range(len(ids)) for j in range(i) if sets[ids[i]] and 100 * len(sets[ids[i]] & sets[ids[j]]) >= 80 * len(sets[ids[i]] | sets[ids[j]])]
+    comp = components(len(ids), links)
+    assert {r.doc_id for r in now.collect()} == {d for i, d in enumerate(ids) if comp.index(comp[i]) == i}
+    weights = pii.learn(now)
+    before, _, now = step("personal data")
+    after = {r.doc_id: r.text for r in now.collect()}
+    for d, t in before.items():
+        spans = sorted({(s, e, k) for k, s, e in ((k, s, e) for s, e, k in pii.base_spans(t) + pii.added_spans(t, pii.base_spans(t), weights))}, key=lambda x: (x[0], -x[1]))
+        out, at = "", 0
+        for s, e, k in spans:
+            out += t[at:s] + f"<{k.upper()}>" if s >= at else ""
+            at = max(at, e)
+        assert after[d] == out + t[at:]
+    before, _, now = step("packing")
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    pieces = collections.defaultdict(list)
+    for r in now.collect():
+        pieces[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert pieces.keys() == before.keys()
+    for d, t in before.items():
+        assert [i for _, x in sorted(pieces[d]) for i in x] == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("name", list(entries.oracle_sql()))
 def test_oracles(spark, name):
     import duckdb
