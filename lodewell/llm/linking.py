@@ -223,7 +223,8 @@ def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFra
     several = named.groupBy("group").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("group")
     open_ = named.join(several, "group", "left_semi")
     if by_node:
-        found = members.select("node", "g", "n", "sk").join(open_.select("g", "comp"), "g")
+        # items of one node but of two groups are not alike: any likely pair of a node joined their groups
+        found = members.select("node", "g", "n", "sk").join(open_.select("g", "group", "comp"), "g").withColumn("node", F.xxhash64("node", "group")).drop("group")
     else:
         found = members.select("g", "n", "sk").join(open_.select("g", F.col("group").alias("node"), "comp"), "g").dropDuplicates(["g"])
     found = written(found, "found")
