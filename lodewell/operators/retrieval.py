@@ -60,6 +60,7 @@ def bm25(docs: DataFrame, topics: DataFrame, k: int | None = None, key: str = "d
     weights = F.broadcast(weights) if few else weights
     tokens = docs.select(F.col(key).alias("doc_id"), terms(F.col(text)).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     post = tokens.join(weights.select("term"), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    post = post.repartition("doc_id")  # so a document's scores are summed where its postings are, with no shuffle of the far more hits
     tf = F.col("tf").cast("double")
     part = F.col("ask.w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(mean_length)))
     hits = post.join(weights, "term").select("doc_id", "tf", "dl", F.explode("asks").alias("ask"))
