@@ -29,7 +29,8 @@ LENGTH = 400
 #: Bytes of a shorter repeated string, some fifty words, that marks a passage.
 PASSAGE = 250
 GRAM = 64
-#: Bytes of runs that are indexed together; a bin beyond MOST has its strings hashed one by one instead.
+#: Bytes of runs that are indexed together; a bin beyond MOST is split by a second minimizer, and what of it
+#: is still beyond has its strings hashed one by one instead.
 BATCH = 1 << 20
 MOST = 8 << 20
 
@@ -48,8 +49,8 @@ def _slide(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of strings of `length` bytes within one document that have one minimizer.
+def runs_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM, seed: int = 0) -> dict[str, np.ndarray]:
+    """Runs of strings of `length` bytes within one document that have one minimizer, by the order that `seed` gives.
 
     doc (row), start, strings (their number), bin, content (hash of the run's bytes), and
     whether the minimizer occurs in it twice, as it does where a string recurs in its run.
@@ -61,6 +62,8 @@ def runs_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     spans = tv.Spans(data)
     at = np.arange(n - gram + 1)
     grams = spans.hash(at, at + gram)
+    if seed:
+        grams = tv.mix(grams ^ _U(seed))
     w = length - gram + 1
     least = _slide(grams, w)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(least)]
@@ -240,6 +243,37 @@ def _hashed(pieces: DataFrame, length: int) -> DataFrame:
     return places.select("bin", "content", F.flatten(F.transform("places", lambda x: F.array(x, x))).alias("ranges"))
 
 
+def _split(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for bins too large to index at once: their runs are cut by another minimizer, and its bins settled in turn.
+
+    Equal strings share both minimizers.  A string list that one minimizer can't part (all
+    hold one passage) is mostly parted by another; what stays too large is hashed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "bytes"):
+            for bin_, content, copies, raw in zip(*(b.column(c).to_pylist() for c in ("bin", "content", "copies", "bytes")), strict=True):
+                data = np.frombuffer(raw, np.uint8)
+                r = runs_of(data, np.array([0, len(data)]), length, seed=0x5DEECE66D)
+                n = len(r["start"])
+                inner = tv.mix(r["bin"].view(_U) ^ tv.mix(np.full(n, bin_, np.int64).view(_U))).view(np.int64)
+                parts = [raw[a : a + k + length - 1] for a, k in zip(r["start"].tolist(), r["strings"].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"bin": np.full(n, bin_), "content": np.full(n, content), "off": r["start"], "strings": r["strings"], "bin2": inner, "content2": r["content"], "twice": r["twice"], "copies": np.full(n, copies), "bytes": pa.array(parts, pa.binary())})
+
+    kinds = "bin long, content long, off long, strings long, bin2 long, content2 long, twice long, copies long, bytes binary"
+    rows = written(pieces.select("bin", "content", "copies", "bytes").mapInArrow(run, kinds), "split")
+    distinct = rows.groupBy("bin2", "content2").agg(F.sum("copies").alias("copies"), F.max("twice").alias("twice"), F.first("strings").alias("strings"), F.first("bytes").alias("bytes"))
+    distinct = written(distinct, "inner")
+    bins = distinct.groupBy("bin2").agg(F.count("*").alias("kinds"), F.max("twice").alias("t"), F.sum(F.length("bytes")).alias("size")).where("kinds > 1 OR t > 0")
+    contested = distinct.join(bins.select("bin2", "size"), "bin2").select(F.col("bin2").alias("bin"), F.col("content2").alias("content"), "copies", "bytes", "size")
+    found = _indexed(contested.where(F.col("size") <= MOST), length).unionByName(_hashed(contested.where(F.col("size") > MOST), length))
+    whole = distinct.where("copies > 1").select(F.col("bin2").alias("bin"), F.col("content2").alias("content"), F.array(F.lit(0).cast("long"), F.col("strings") - 1).alias("ranges"))
+    verdict = found.where(F.size("ranges") > 0).unionByName(whole).groupBy("bin", "content").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    inner = rows.select("bin", "content", "off", "bin2", "content2").join(verdict.withColumnsRenamed({"bin": "bin2", "content": "content2"}), ["bin2", "content2"])
+    moved = inner.select("bin", "content", F.transform("ranges", lambda x: x + F.col("off")).alias("ranges"))
+    return moved.groupBy("bin", "content").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+
+
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, cuts) of documents (d, text): [first, end) pairs of bytes covered by a string of `length` bytes that starts elsewhere too."""
     runs = written(_runs(docs, length), "runs")
@@ -259,7 +293,10 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     texts = only_these(docs, written(wanted, "wanted"), "d", array="rows").select("text", "rows")
     pieces = written(texts.mapInArrow(cut, "bin long, content long, copies long, size long, bytes binary"), "pieces").dropDuplicates(["bin", "content"])
-    found = _indexed(pieces.where(F.col("size") <= MOST), length).unionByName(_hashed(pieces.where(F.col("size") > MOST), length))
+    found = _indexed(pieces.where(F.col("size") <= MOST), length)
+    large = pieces.where(F.col("size") > MOST)
+    if large.limit(1).count():
+        found = found.unionByName(_split(large, length))
     # a run that occurs twice is repeated as a whole, whatever its bin
     whole = distinct.where("copies > 1").select("bin", "content", F.array(F.lit(0).cast("long"), F.col("strings").cast("long") - 1).alias("ranges"))
     verdict = written(found.where(F.size("ranges") > 0).unionByName(whole), "verdict").groupBy("bin", "content").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))

@@ -136,9 +136,9 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [suffix.MOST, 0])
+@pytest.mark.parametrize("most", [suffix.MOST, 0, 2500])
 def test_suffix(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix, "MOST", most)  # 0: strings of every contested bin are hashed
+    monkeypatch.setattr(suffix, "MOST", most)  # 2500: many bins are split by a second minimizer; 0: strings of every contested bin are hashed
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 9)))
     passages = [" ".join(word() for _ in range(n)) for n in (60, 90, 130, 400)]
