@@ -49,6 +49,19 @@ def scored(claim_rows: DataFrame, evidence: DataFrame, case: str, scorer: Scorer
     return both.withColumns({"e_own": entailed(F.coalesce("own", empty), F.col("claim"), scorer), "e_other": entailed(F.coalesce("other", empty), F.col("claim"), scorer)}).drop("own", "other")
 
 
+def scored_by_model(claim_rows: DataFrame, evidence: DataFrame, case: str, scorer: Scorer) -> DataFrame:
+    """As `scored`, for scorers that are batch models: every chunk meets its case's claims as a row of its own.
+
+    Claims without chunks score 0.  The maxima are taken by claim, so a case with many
+    chunks is spread like any other rows.
+    """
+    side = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("side"), x.alias("chunk")))
+    rows = claim_rows.join(evidence, case, "left").withColumn("_c", F.explode_outer(F.concat(side("own"), side("other")))).drop("own", "other")
+    rows = rows.withColumn("_s", F.when(F.col("_c").isNotNull(), scorer(F.col("_c.chunk"), F.col("claim"))))
+    best = lambda s: F.coalesce(F.max(F.when(F.col("_c.side") == s, F.col("_s"))), F.lit(0.0)).alias(f"e_{s}")
+    return rows.groupBy(*claim_rows.columns).agg(best("own"), best("other"))
+
+
 def dropped(threshold: float | Column, margin: float = 0.0) -> Column:
     t = F.lit(threshold) if isinstance(threshold, float) else threshold
     return (F.col("e_other") >= t) & (F.col("e_other") > F.col("e_own") + margin)

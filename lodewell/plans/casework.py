@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agreement as A, evidence as E, guard as G, reports as P, retrieval as R
+from ..functions.scoring import batch_scorer
+from ..operators import agreement as A, evidence as E, guard as G, reports as P, retrieval as R, sweep
 from .base import BM25, table, topics
-from .evidence import _CASES, _CHUNKS, _ROWS, _SIGNALS, _cases, _passages, _rows, _signals
+from .evidence import _CASES, _CHUNKS, _ROWS, _SIGNALS, _SWEEP, _cases, _passages, _rows, _sweep
 from .guards import _ANS, _NARROW, _WORDS, _answers
+from .retrieval import QUERIES as _RETRIEVAL
 
 
 def passage_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +50,46 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "part", "doc_id", "cross")))
 
 
+def _shared_terms(queries, texts):
+    """The share of each query's distinct terms that its text has; stands for a model."""
+    words = [(set(re.findall("[a-z0-9]+", q.lower())), set(re.findall("[a-z0-9]+", t.lower()))) for q, t in zip(queries, texts, strict=True)]
+    return [len(q & t) / len(q) if q else 0.0 for q, t in words]
+
+
+def rerank_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Reranking by a model that takes batches."""
+    run = R.bm25(table(spark, sf, "documents"), topics(spark, sf), 50)
+    out = R.reranked(run, topics(spark, sf), table(spark, sf, "documents"), batch_scorer(lambda: _shared_terms), k=10)
+    return out.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def highest_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """The highest rate of late answers over groups."""
+    rates = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("rate"))
+    return rates.agg(F.round(F.max("rate"), 6).alias("rate"))
+
+
+def default_config(spark: SparkSession, sf: str) -> DataFrame:
+    """The sweep's row of the default setting beside that of the best."""
+    s = _sweep(spark, sf)
+    best = sweep.best_row(s, F.desc("f1"), F.asc("config")).select(F.lit("best").alias("which"), "config", "f1")
+    return best.unionByName(s.where("rho = 1.35 AND tau = 0.28 AND mu = 0.0 AND kappa = 2").select(F.lit("default").alias("which"), "config", "f1"))
+
+
+def three_raters(spark: SparkSession, sf: str) -> DataFrame:
+    """Three raters' scores by arithmetic, joined on the case; how often all three agree."""
+    o = table(spark, sf, "orders")
+    rater = lambda k, n: o.where(F.col("o_orderkey") % n != 0).select("o_orderkey", (F.col("o_orderkey") % k % 3).alias(f"r{k}"))
+    j = rater(5, 7).join(rater(4, 11), "o_orderkey").join(rater(3, 13), "o_orderkey")
+    return j.agg(F.count("*").alias("n"), F.count_if((F.col("r5") == F.col("r4")) & (F.col("r4") == F.col("r3"))).alias("agree"))
+
+
+def map_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON map of any keys as rows."""
+    e = table(spark, sf, "events").select("event_id", F.from_json("props", "map<string, string>").alias("m"))
+    return e.select("event_id", F.explode("m").alias("key", "value"))
+
+
 def baseline_evidence(spark: SparkSession, sf: str) -> DataFrame:
     rows = _numbered(spark, sf)
     both = [E.baseline_evidence(rows, 3, one).select(F.lit(name).alias("baseline"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.col("position").cast("long").alias("position"), "reference") for name, one in (("all groups", False), ("first group", True))]
@@ -152,6 +196,7 @@ def rubric_crosswalk(spark: SparkSession, sf: str) -> DataFrame:
 
 _LEVEL = "CASE {c} % {k} % 5 WHEN 0 THEN {a} WHEN 1 THEN 3 WHEN 2 THEN {b} WHEN 3 THEN 3 END"
 _TOP = "top AS (SELECT query_id, doc_id, score AS doc_score FROM bm WHERE rank <= {k})"
+_RERANK = _RETRIEVAL["rerank_topk"][1]
 _TERMS = "list_distinct(regexp_extract_all(lower(t.text), '[a-z0-9]+'))"
 _COMPARED = " UNION ALL ".join("(WITH " + BM25.replace("(1 - 0.75 + 0.75 *", f"(1 - {b} + {b} *") + f" SELECT 'length {b}' AS method, CAST(count(*) AS DOUBLE) AS found, round(avg(score), 4) AS score FROM bm WHERE rank <= 10)" for b in (0.75, 0.4))
 _PICKED = _ROWS + ", f AS (SELECT *, first_value(doc_id) OVER (PARTITION BY query_id ORDER BY rank) AS reference FROM rows)"
@@ -170,6 +215,11 @@ s AS (SELECT bm.query_id, bm.doc_id, bm.rank AS fr, round(len(list_intersect({_T
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fr, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10"""),
     "method_comparison": (method_comparison, _COMPARED),
+    "rerank_by_model": (rerank_by_model, _RERANK),
+    "highest_rate": (highest_rate, "SELECT round(max(r), 6) AS rate FROM (SELECT avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS r FROM orders GROUP BY o_orderpriority)"),
+    "default_config": (default_config, "WITH " + _SWEEP + " (SELECT 'best' AS which, config, f1 FROM sw ORDER BY f1 DESC, config LIMIT 1) UNION ALL SELECT 'default', config, f1 FROM sw WHERE rho = 1.35 AND tau = 0.28 AND mu = 0 AND kappa = 2"),
+    "three_raters": (three_raters, "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 5 % 3 = o_orderkey % 4 % 3 AND o_orderkey % 4 % 3 = o_orderkey % 3 % 3) AS agree FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0"),
+    "map_entries": (map_entries, "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events"),
     "evidence_blocks": (evidence_blocks, "WITH " + _CHUNKS + " SELECT doc_id, count(*) AS n, md5(string_agg('[Passage ' || (i + 1) || ' | doc=' || doc_id || ' | section=text]' || chr(10) || passage_text, chr(10) || chr(10) ORDER BY i)) AS digest FROM chunks GROUP BY 1"),
     "baseline_evidence": (baseline_evidence, "WITH " + _PICKED + """,
 b AS (SELECT 'all groups' AS baseline, query_id, doc_id, rank, reference FROM f UNION ALL SELECT 'first group', query_id, doc_id, rank, reference FROM f WHERE doc_id = reference),

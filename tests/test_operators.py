@@ -237,3 +237,14 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     cluster = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: nothing))
     with pytest.raises(RuntimeError):
         shared_dir(cluster)
+
+
+def test_scores_by_model_are_those_by_column(spark):
+    from lodewell.functions.scoring import batch_scorer
+    from lodewell.plans.casework import _shared_terms
+
+    claims = spark.createDataFrame([(1, 0, "a b c"), (1, 1, "x"), (2, 0, "q r")], "case_id int, position int, claim string")
+    pool = spark.createDataFrame([(1, ["a b", "c d e"], ["x y"]), (3, [], None)], "case_id int, own array<string>, other array<string>")
+    plain = {tuple(r) for r in R.scored(claims, pool, "case_id").collect()}
+    model = batch_scorer(lambda: lambda premises, hypotheses: _shared_terms(hypotheses, premises))
+    assert {tuple(r) for r in R.scored_by_model(claims, pool, "case_id", model).collect()} == plain
