@@ -112,8 +112,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "__text"):
-            v, has = vectors_of(texts_of(b.column("__text")))
+        for b in sliced(batches, "__lw_text"):
+            v, has = vectors_of(texts_of(b.column("__lw_text")))
             if names:
                 cosine = (v @ p.T) / np.maximum(1e-12, np.linalg.norm(v, axis=1))[:, None]
                 best = cosine.argmax(1)
@@ -123,4 +123,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                 score, pred, has = np.zeros(len(v)), ["und"] * len(v), np.zeros(len(v), bool)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__lw_text")).mapInArrow(run, schema)

@@ -50,12 +50,12 @@ def statistics_of(column: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
 
 def document_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """`keep` columns and the statistics of each document, one pass, nothing shuffled."""
-    narrow = docs.select(*keep, F.col(text).alias("__text"))
+    narrow = docs.select(*keep, F.col(text).alias("__lw_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + STATISTICS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "__text"):
-            found = statistics_of(b.column("__text"))
+        for b in sliced(batches, "__lw_text"):
+            found = statistics_of(b.column("__lw_text"))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(v) for v in found.values())], names=[*keep, *found])
 
     return narrow.mapInArrow(run, schema)

@@ -477,6 +477,7 @@ def lines_that_go(made):
 def test_lines(spark, monkeypatch, texts, cell):
     """All pairs of lines by plain comparison; small cells split nodes again and again."""
     monkeypatch.setattr(lines, "CELL", cell)
+    monkeypatch.setattr(lines, "LAST", 4 * cell)
     made = dict(list(texts.items())[:60])
     long = " ".join(f"word{i}" for i in range(80))
     made |= {1000: long + "\nSHORT line!", 1001: long.replace("word40", "wurd40") + "\nshort LINE", 1002: "***\n" + long.upper() + "\n***", 1003: "Copyright 2019 Acme Corporation", 1004: "copyright 2018 acme corporation\n" + long.replace("word7 ", "")}

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lodewell.llm import bpe, langid, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g long, d string, n_removed int, host_failed string, ids string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g long, d string, n_removed int, host_failed string, ids string, __key string, __gone int, __host string, __source string, fails string, row string"
 LONG = " ".join(f"word{i % 977} and{i % 31}" for i in range(20000))
 WORDS = "the quick brown fox jumps over the lazy dog while seven wizards mix a potion of red wine and old honey for guests"
 
 
 def rows():
-    extra = (5, "x", 3, "y", "z")
+    extra = (5, "x", 3, "y", "z", "k", 1, "h", "s", "f", "r")
     texts = [None, "", "   \n\n", "a", WORDS, WORDS, WORDS + " tonight", LONG, "ä€😀 " * 30, "mail me@mail.example.com or +1 (555) 123-4567 now\n" * 3, "x" * 50000]
     out = [(i, t, "en" if i % 2 else None, "s" if i % 3 else None, 7, *extra) for i, t in enumerate(texts)]
     return [*out, out[4], (None, WORDS, None, None, None, *extra)]
@@ -118,3 +118,21 @@ def test_und(docs):
     assert got[4].lang_pred == "und"
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.learn(docs), ["doc_id"]).collect()}
     assert got[0] == ("und", 0.0) and got[2] == ("und", 0.0) and got[4][0] == "en"
+
+
+def test_null_edits(spark):
+    edit = "struct<start:bigint,stop:bigint,put:string>"
+    rows = [(1, "some text here", None), (2, "some text here", [None]), (3, "some text here", [(0, 5, None)]), (4, None, [(0, 0, "new")]), (5, "some text here", [])]
+    d = spark.createDataFrame(rows, f"doc_id long, text string, edits array<{edit}>")
+    got = {r.doc_id: (r.n_edits, r.text_after) for r in tokencounts.count_edited(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert got == {1: (0, "some text here"), 2: (0, "some text here"), 3: (1, "text here"), 4: (1, "new"), 5: (0, "some text here")}
+
+
+def test_habits_decide(spark):
+    """A rule that a host's documents fail as a habit rejects them there, not on a host where it is rare, nor without a host."""
+    signs = WORDS + " #" * 4
+    rows = [(i, signs if i % 10 == 0 else WORDS, "often") for i in range(400)] + [(1000 + i, signs if i == 0 else WORDS, "seldom") for i in range(400)] + [(3000, signs, None)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept for r in quality.judge(t).collect()}
+    assert not got[0] and got[1] and got[1000] and got[3000] and sum(not k for k in got.values()) == 40
+    assert {r.doc_id for r in quality.keep_good(t).collect()} == {d for d, k in got.items() if k}
