@@ -29,10 +29,14 @@ _UNASSIGNED = 0x378
 
 
 @lru_cache(maxsize=1)
-def _recent() -> re.Pattern:
-    """Letters, digits and spaces of the split's Unicode tables that the interpreter's older tables don't have."""
+def _recent() -> frozenset[str]:
+    """Letters, digits and spaces of the split's Unicode tables that the interpreter's older tables don't have.
+
+    A set, as a text is asked for them at every encoding: a character class of as many
+    is tried one after another at each place.
+    """
     known = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    return re.compile("[" + "".join(c for c in regex.findall(r"[\p{L}\p{N}\s]", known) if unicodedata.category(c) == "Cn") + "]")
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}\s]", known) if unicodedata.category(c) == "Cn")
 
 
 @lru_cache(maxsize=8)
@@ -46,7 +50,7 @@ def _unknown(path: str, pattern: str) -> dict[int, int]:
 
     library = tiktoken.Encoding("asked", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
     split, ranks, found = regex.compile(pattern).findall, ranks_of(path), {}
-    for c in _recent().pattern[1:-1]:
+    for c in sorted(_recent()):
         text = f"a{c} {c}1{c}{c}\n{c} b{c}'s {c}"
         if library.encode_ordinary(text) != [i for piece in split(text) for i in merge(piece.encode(), ranks)]:
             found[ord(c)] = _UNASSIGNED
@@ -147,7 +151,7 @@ class Codec:
         """The text's pre-tokens, as the rank library splits it."""
         if text.isascii():
             return (self.ascii or self.split)(text)
-        if _recent().search(text) is None:
+        if _recent().isdisjoint(text):
             return self.split(text)
         stand_in = text.translate(_unknown(self.path, self.pattern))  # one code point for each
         return [text[m.start() : m.end()] for m in self.places(stand_in)]

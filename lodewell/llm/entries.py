@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
+from . import bpe, fim, langid, lexical, licenses, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,34 +21,41 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by integer inner product of every vector whose id is divisible by 20."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with one line of each group of near copies left, and how many went."""
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of at most 2048 tokens."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its 400-byte repeats, as a digest."""
     found = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rule counts, and its verdict with its host's."""
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base kinds counted and digested, all spans listed."""
     found = pii.detect(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_found"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of them."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
     prototypes = langid.learn(docs.where("NOT held_out"))
@@ -56,6 +63,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and the bytes they decode to, as digests."""
     import public_tokenizers
 
     found = bpe.encode_decode(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -78,15 +86,32 @@ def op9_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies (three-word shingles, Jaccard 0.85)."""
     return nearjoin.near_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases, and the licenses whose notices a block of it holds."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written for filling in its middle, and rebuilt from that, as digests."""
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_lines, op3_packing, op4_suffix, op5_quality, op6_pii, op7_langid, op8_bpe, op9_tokencounts, op10_nearjoin)}
+    return {f.__name__: f for f in (op1_topk, op2_lines, op3_packing, op4_suffix, op5_quality, op6_pii, op7_langid, op8_bpe, op9_tokencounts, op10_nearjoin, op11_licenses, op12_lexical, op13_fim)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1, "op5_quality": OP5, "op10_nearjoin": OP10}
+    return {"op1_topk": OP1, "op5_quality": OP5, "op10_nearjoin": OP10, "op11_licenses": _op11(), "op12_lexical": OP12, "op13_fim": OP13}
 
 
 OP1 = """
@@ -153,3 +178,67 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n_words AS BIGINT) AS n_words, wor
   source IS NOT NULL AND source IN (SELECT source FROM bad) AS host_failed
 FROM b
 """
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op11() -> str:
+    def words(text: str) -> str:
+        return "[" + ", ".join(f"'{w.decode()}'" for w in licenses.words_of(text.encode())) + "]"
+
+    longest = max(len(licenses.words_of(t.encode())) for t in licenses.TEMPLATES.values())
+    templates = ", ".join(f"('{label}', list_distinct({words(t)}))" for label, t in licenses.TEMPLATES.items())
+    phrases = ", ".join(f"('{label}', {words(p)})" for p, label in licenses.PHRASES.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {LOWER} AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+p(label, phrase) AS (VALUES {phrases}),
+t(label, words) AS (VALUES {templates}),
+b AS (
+  SELECT id, p.label, unnest(list_filter(range(0, len(ws) - len(phrase) + 1), lambda i: ws[i + 1 : i + len(phrase)] = phrase)) AS place
+  FROM w JOIN p ON contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || array_to_string(phrase, ' ') || ' ')),
+base AS (SELECT id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM b GROUP BY 1),
+par AS (SELECT id, unnest(regexp_split_to_array(text, '\n[ \t\r\f\v]*\n')) AS text FROM d),
+pw AS (SELECT id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM par),
+lo AS (SELECT id, ws, unnest(range(0, greatest(1, len(ws) - {longest}), {longest})) AS lo FROM pw),
+blocks AS (SELECT id, list_distinct(ws[lo + 1 : lo + {2 * longest}]) AS words FROM lo),
+met AS (SELECT id, label, len(list_intersect(t.words, blocks.words)) AS c, len(t.words) AS n FROM blocks JOIN t ON len(blocks.words) >= 1),
+found AS (SELECT id, list(DISTINCT label) AS labels, max(c / n) AS share FROM met WHERE 100 * c >= 80 * n GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN base ON base.id = w.id LEFT JOIN found ON found.id = w.id
+"""
+
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+st AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+post AS (SELECT id, doc_id, CAST(n AS BIGINT) AS n, term, count(*) AS tf FROM (SELECT id, doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, st),
+ask AS (SELECT qid, item_id, term, count(*) AS times FROM (SELECT qid, item_id, unnest(ws) AS term FROM q) GROUP BY ALL),
+sc AS (
+  SELECT qid, item_id, id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM ask JOIN w USING (term) JOIN post USING (term), st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+n AS (
+  SELECT doc_id, text, length(text) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM n),
+c AS (SELECT *, substring(text, 1, x) AS p, substring(text, x + 1, y - x) AS m, substring(text, y + 1, n - y) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""

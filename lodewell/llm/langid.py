@@ -78,7 +78,12 @@ def vectors_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Prototype of each non-null language.  A row for each task, language and component is shuffled, whatever the input's size."""
+    """Prototype of each non-null language.  A row for each task, language and component is shuffled, whatever the input's size.
+
+    Null texts and languages teach nothing, nor do texts without a letter; long texts are
+    read whole and weigh as much as they hold; repeated rows count each; an empty table
+    gives no prototypes; other columns, whatever they are called, are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -105,11 +110,16 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
 
     `und` with score 0 where text is null or has no letter, or nothing was learned; ties
     go to the language first in alphabetical order.  Whole texts are read; rows are
-    judged one by one.
+    judged one by one, so repeated rows are judged alike and an empty table gives no rows.
+    Kept columns called lang_pred or score, in capitals or not, give way to the results;
+    columns that aren't kept may have any name.
     """
     names = list(prototypes)
     p = np.stack([v / max(1e-12, np.linalg.norm(v)) for v in prototypes.values()]).astype(np.float32) if names else None
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
+    kept = docs.select(*keep)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string", "score double"])
+    columns = [*kept.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "__lw_text"):
@@ -121,6 +131,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                 pred = [names[i] if ok else "und" for i, ok in zip(best, has, strict=True)]
             else:
                 score, pred, has = np.zeros(len(v)), ["und"] * len(v), np.zeros(len(v), bool)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0))], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0))], names=columns)
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__lw_text")).mapInArrow(run, schema)
+    asked = docs.select(F.col(text).cast("string").alias("__lw_text"), *keep)
+    return asked.mapInArrow(run, schema)

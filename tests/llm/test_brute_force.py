@@ -249,7 +249,7 @@ def test_bpe(docs, texts):
 def test_recent_letters_split_as_in_the_library():
     """Code points that the two engines' Unicode versions tell apart, in all places of a text."""
     library = tiktoken.Encoding("m", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(MULTI), special_tokens={})
-    recent = bpe._recent().pattern[1:-1]
+    recent = sorted(bpe._recent())
     assert recent
     c = bpe.codec(MULTI, P.PATTERN)
     for x in [*recent[:: max(1, len(recent) // 400)], *recent[:50], *recent[-50:], "ʼ", "²", "٣", "\u3000", "\x85", "ß", "\U0001f600"]:
@@ -609,7 +609,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = entries.queries()[name](spark, DATA)
     cols = sorted(df.columns)

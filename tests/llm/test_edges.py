@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodewell.llm import bpe, langid, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
+from lodewell.llm import bpe, fim, langid, lexical, licenses, lines, nearjoin, packing, pii, quality, suffix, tokencounts, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g long, d string, n_removed int, host_failed string, ids string, __key string, __gone int, __host string, __source string, fails string, row string"
 LONG = " ".join(f"word{i % 977} and{i % 31}" for i in range(20000))
@@ -44,6 +44,9 @@ OPERATORS = {
     "langid": lambda d: langid.predict(d, langid.learn(d), ["doc_id", "g"]),
     "bpe": lambda d: bpe.encode_decode(d, MULTI, P.PATTERN),
     "counts": lambda d: tokencounts.count_edited(d.withColumn("edits", F.expr(EDITS)), P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+    "langid clash": lambda d: langid.predict(d.withColumn("score", F.lit("s")).withColumn("Lang_Pred", F.lit(1)), langid.learn(d), ["doc_id", "score", "Lang_Pred", "lang"]),
+    "licenses": licenses.scan,
+    "fim": fim.fill_in_middle,
     "near": nearjoin.near_components,
     "near keep": nearjoin.keep_one,
 }
@@ -120,6 +123,19 @@ def test_und(docs):
     assert got[0] == ("und", 0.0) and got[2] == ("und", 0.0) and got[4][0] == "en"
 
 
+def test_kept_columns_give_way(docs):
+    d = docs.withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit(1))
+    got = langid.predict(d, langid.learn(d), ["doc_id", "score", "lang_pred"])
+    assert got.dtypes == [("doc_id", "bigint"), ("lang_pred", "string"), ("score", "double")]
+    assert {r.lang_pred for r in got.collect()} <= {"und", "en"}
+
+
+def test_search_edges(docs, none):
+    items = docs.select(F.col("doc_id").alias("item_id"), "text", "ids")
+    assert lexical.search(docs, items.where("item_id = 4")).where("rank = 1 AND doc_id = 4").count() == 2  # the row is there twice
+    assert lexical.search(none, items).collect() == [] and lexical.search(docs, items.limit(0)).collect() == []
+
+
 def test_null_edits(spark):
     edit = "struct<start:bigint,stop:bigint,put:string>"
     rows = [(1, "some text here", None), (2, "some text here", [None]), (3, "some text here", [(0, 5, None)]), (4, None, [(0, 0, "new")]), (5, "some text here", [])]
