@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import with_interval
 from ..functions.text import capitalised, distinct_folded, identifiers, stripped_words
+from .substrings import held_tokens
 
 
 def narrow_leaks(text: Column, own: Column, pattern: str, keep_case: bool = False, without_spaces: bool = False) -> Column:
@@ -17,10 +18,17 @@ def narrow_leaks(text: Column, own: Column, pattern: str, keep_case: bool = Fals
     return F.size(F.array_except(identifiers(text, pattern, keep_case, without_spaces), F.array(mine))).cast("long")
 
 
-def distinctive_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", cap: int | None = None, least: int = 6, stop: Sequence[str] = ()) -> DataFrame:
-    """(key, tokens): words that only this document's text has, sorted; the first `cap` if given."""
+def distinctive_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", cap: int | None = None, least: int = 6, stop: Sequence[str] = (), of: DataFrame | None = None) -> DataFrame:
+    """(key, tokens): words that only this document's text has, sorted; the first `cap` if given.
+
+    A word whose least and greatest key are one is in one document; both are combined
+    before the shuffle, so a frequent word costs a row a task.  `of(key)` names the
+    documents that are asked for; words are still counted over all.
+    """
     words = docs.select(key, F.explode(stripped_words(F.col(text), least, stop)).alias("w"))
-    once = words.groupBy("w").agg(F.min(key).alias(key), F.countDistinct(key).alias("df")).where("df = 1")
+    once = words.groupBy("w").agg(F.min(key).alias(key), F.max(key).alias("_last")).where(F.col(key) == F.col("_last")).select(key, "w")
+    if of is not None:
+        once = once.join(of.select(key).distinct(), key, "left_semi")
     tokens = F.array_sort(F.collect_set("w"))
     return once.groupBy(key).agg((tokens if cap is None else F.slice(tokens, 1, cap)).alias("tokens"))
 
@@ -108,14 +116,18 @@ def other_if_unknown(c: Column, names: Sequence[str], other: str = "Other") -> C
 
 
 def leak_flags(answers: DataFrame, vocabulary: DataFrame, case: str, narrow: Column, own: str = "own", text: str = "answer", least: int = 5) -> DataFrame:
-    """(case, narrow, wide) with all documents as pool: wide is narrow or a distinctive token of any other document.
+    """(case, narrow, wide) with all documents as pool: wide is narrow, or some other document's token stands in the answer.
 
-    The answer's own words are looked up in the vocabulary, an equi-join on the token, so
-    no answer meets every document.
+    Tokens are found as substrings of the lower-cased answer, inside longer words too;
+    they have no white space, so each lies within a word.  The answers' distinct words
+    meet the tokens by `held_tokens`; of each word only the least and greatest document
+    of its tokens is kept, which tells whether one of them is another's than one's own.
     """
-    token = vocabulary.select(F.col("doc_id").alias("_doc"), F.explode("tokens").alias("_w")).where(F.length("_w") >= least)
-    words = answers.select(case, own, F.explode(F.array_distinct(stripped_words(F.col(text), least, ()))).alias("_w"))
-    foreign = words.join(token, "_w").where(F.col("_doc") != F.col(own)).select(case).distinct().withColumn("_hit", F.lit(True))
+    token = vocabulary.select(F.col("doc_id").alias("_doc"), F.explode("tokens").alias("token"))
+    words = answers.select(case, own, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("word")).where(F.length("word") >= least)
+    held = held_tokens(words.select("word").distinct(), token.select("token").distinct(), least)
+    of = held.join(token, "token").groupBy("word").agg(F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi"))
+    foreign = words.join(of, "word").where((F.col("_lo") != F.col(own)) | (F.col("_hi") != F.col(own))).select(case).distinct().withColumn("_hit", F.lit(True))
     rows = answers.select(case, (narrow > 0).alias("narrow")).join(foreign, case, "left")
     return rows.select(case, "narrow", (F.col("narrow") | F.coalesce("_hit", F.lit(False))).alias("wide"))
 
@@ -135,7 +147,7 @@ def taxonomy(label: Column, leak: Column, allowed: Sequence[str], default: str =
 
 
 def consensus(a: Column, b: Column) -> Column:
-    """struct(either, both, agree) of two judges' flags of 0 and 1; null where a judge is missing."""
+    """struct(either, both, agree) of two judges' flags of 0 and 1; with one judge missing, the other decides both, and `agree` is null."""
     return F.struct(F.greatest(a, b).alias("either"), F.least(a, b).alias("both"), (a == b).cast("int").alias("agree"))
 
 

@@ -19,14 +19,22 @@ def overlap(premise: Column, hypothesis: Column) -> Column:
     return ratio(F.size(F.array_intersect(h, terms(premise))), F.size(h))
 
 
-def extracted(answers: DataFrame, case: str, fields: Sequence[str], fallback: str, lists: Sequence[str] = ()) -> DataFrame:
-    """(case, field, position, claim): sentences of text fields and items of lists, fallbacks left out."""
+def _keys(case: str | Sequence[str]) -> list[str]:
+    return [case] if isinstance(case, str) else list(case)
+
+
+def extracted(answers: DataFrame, case: str | Sequence[str], fields: Sequence[str], fallback: str, lists: Sequence[str] = ()) -> DataFrame:
+    """(case, field, position, claim): sentences of text fields and items of lists, fallbacks left out.
+
+    A case is told by one column or several, as a conversation and a turn.
+    """
+
     def numbered(field: str, items: Column) -> Column:
         return F.transform(items, lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("position"), F.trim(x).alias("claim")))
 
     parts = [numbered(f, claims(F.coalesce(F.col(f), F.lit("")))) for f in fields]
     parts += [numbered(f, F.coalesce(F.col(f), F.array().cast("array<string>"))) for f in lists]
-    rows = answers.select(case, F.explode(F.concat(*parts)).alias("c")).select(case, "c.*")
+    rows = answers.select(*_keys(case), F.explode(F.concat(*parts)).alias("c")).select(*_keys(case), "c.*")
     return rows.where((F.col("claim") != "") & (F.col("claim") != fallback))
 
 
@@ -67,12 +75,12 @@ def dropped(threshold: float | Column, margin: float = 0.0) -> Column:
     return (F.col("e_other") >= t) & (F.col("e_other") > F.col("e_own") + margin)
 
 
-def rebuilt(claim_rows: DataFrame, case: str, threshold: float, fallback: str, margin: float = 0.0) -> DataFrame:
+def rebuilt(claim_rows: DataFrame, case: str | Sequence[str], threshold: float, fallback: str, margin: float = 0.0) -> DataFrame:
     """(case, field, text, n_dropped): the claims that stay, in order; the fallback if none does."""
     d = dropped(threshold, margin)
-    g = claim_rows.groupBy(case, "field").agg(F.sort_array(F.collect_list(F.when(~d, F.struct("position", "claim")))).alias("k"), F.count_if(d).alias("n_dropped"))
+    g = claim_rows.groupBy(*_keys(case), "field").agg(F.sort_array(F.collect_list(F.when(~d, F.struct("position", "claim")))).alias("k"), F.count_if(d).alias("n_dropped"))
     text = F.array_join(F.transform("k", lambda x: x["claim"]), " ")
-    return g.select(case, "field", F.when(text == "", F.lit(fallback)).otherwise(text).alias("text"), "n_dropped")
+    return g.select(*_keys(case), "field", F.when(text == "", F.lit(fallback)).otherwise(text).alias("text"), "n_dropped")
 
 
 def calibrated(claim_rows: DataFrame, grid: Sequence[float], most: float = 0.10, default: float = 0.5, margin: float = 0.0) -> DataFrame:

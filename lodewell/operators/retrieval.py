@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,51 +26,131 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n, dl): documents that hold each term, by one pass; the term '' stands for all of them, dl sums their lengths."""
-    own = docs.select(terms(F.col(text)).alias("t")).select(F.size("t").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
-    return own.groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
+#: (query, term) pairs that may be sent to every task (a few MB); beyond it postings are shuffled to them.
+BROADCAST_TERMS = 200_000
+#: Hits (a topic's term in a document) from which on contenders are looked for first; fewer are scored outright,
+#: in one pass that costs less than the passes that find bounds.  Either way gives the same rows.
+PRUNE_FROM = 50_000_000
+#: Documents, in multiples of k, whose full scores give a query's first lower bound.
+SEEDS = 4
+#: Scores are rounded to six places, so bounds are slackened by more than that.
+SLACK = 2e-6
 
 
-#: Different terms that topics may ask for at most to be sent to every task (a few MB); beyond it postings are shuffled to them.
-BROADCAST_TERMS = 200_000
+@dataclass(frozen=True)
+class Index:
+    """What scoring needs of each field of the documents, for one set of topics; written out, so it is searched any number of times."""
 
+    asked: DataFrame  # (field, query_id, term, qtf, idf, n): n documents have the term
+    rows: DataFrame  # (field, doc_id, dl, entries): the asked terms of a document's field, and how often it has each
+    lengths: dict[str, float]  # mean terms of a field
+    few: bool  # asked pairs may be broadcast
 
-def asked_terms(vocab: DataFrame, topics: DataFrame, topic: str = "query_id", epsilon: float = 0.25) -> tuple[DataFrame, float]:
-    """((query_id, term, qtf, idf), mean length): idf is ln((N - n + .5) / (n + .5)), a negative one epsilon times the vocabulary's mean."""
-    n_docs, total = vocab.where("term = ''").select("n", "dl").first() or (0, 0)
-    raw = F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    words = vocab.where("term <> ''")
-    mean = words.agg(F.avg(raw)).first()[0] or 0.0
-    asked = topics.select(F.col(topic).alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    idf = words.select("term", F.when(raw < 0, F.lit(epsilon * mean)).otherwise(raw).alias("idf"))
-    return asked.join(idf, "term"), (total or 0) / n_docs if n_docs else 0.0
 
+def _fielded(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
+    """(doc_id, field, t): the terms of each field of each document."""
+    parts = F.array(*[F.struct(F.lit(name).alias("field"), terms(F.col(c)).alias("t")) for name, c in fields.items()])
+    return docs.select(F.col(key).alias("doc_id"), F.explode(parts).alias("f")).select("doc_id", "f.*")
 
-def bm25(docs: DataFrame, topics: DataFrame, k: int | None = None, key: str = "doc_id", text: str = "text", topic: str = "query_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query_id, doc_id, score, rank) of documents that share a term with the topic.
 
-    A term that a topic repeats counts as often.  Documents without a shared term, which
-    would score 0, aren't listed.  Ties go to the smaller document id.
+def index(docs: DataFrame, topics: DataFrame, fields: Mapping[str, str] | None = None, key: str = "doc_id", topic: str = "query_id", epsilon: float = 0.25) -> Index:
+    """The topics' terms with their weight in each field, and the documents' postings of them.
 
-    One pass over the texts counts the vocabulary; a second one gives the postings of
-    asked terms only, with their document's length, so nothing else is shuffled.
+    `fields` maps names to text columns; statistics are a field's own.  idf is
+    ln((N - n + .5) / (n + .5)), a negative one epsilon times the mean of the field's
+    vocabulary.  All fields are read together, twice: for the vocabulary, and for the
+    postings of asked terms only, so nothing else is shuffled or kept.
     """
-    asked, mean_length = asked_terms(written(vocabulary(docs, text), "vocabulary"), topics, topic, epsilon)
-    asked = written(asked, "asked")
-    weights = asked.groupBy("term").agg(F.collect_list(F.struct("query_id", (F.col("qtf") * F.col("idf")).alias("w"))).alias("asks"))
+    texts = _fielded(docs, key, fields or {"text": "text"})
+    counted = texts.select("field", F.size("t").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
+    # the term '' stands for all documents of a field
+    vocab = written(counted.groupBy("field", "term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl")), "vocabulary")
+    sizes = vocab.where("term = ''").select("field", F.col("n").alias("n_docs"), (F.col("dl") / F.col("n")).alias("mean_length"))
+    words = vocab.where("term <> ''").join(F.broadcast(sizes), "field")
+    words = words.withColumn("raw", F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    means = words.groupBy("field").agg(F.avg("raw").alias("mean"))
+    asks = topics.select(F.col(topic).alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    idf = words.join(F.broadcast(means), "field").select("field", "term", "n", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    asked = written(asks.join(idf, "term").select("field", "query_id", "term", "qtf", "idf", "n"), "asked")
     few = asked.count() <= BROADCAST_TERMS
-    weights = F.broadcast(weights) if few else weights
-    tokens = docs.select(F.col(key).alias("doc_id"), terms(F.col(text)).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    post = tokens.join(weights.select("term"), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    post = post.repartition("doc_id")  # so a document's scores are summed where its postings are, with no shuffle of the far more hits
-    tf = F.col("tf").cast("double")
-    part = F.col("ask.w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(mean_length)))
-    hits = post.join(weights, "term").select("doc_id", "tf", "dl", F.explode("asks").alias("ask"))
-    scores = hits.groupBy(F.col("ask.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    sought = asked.select("field", "term").distinct()
+    tokens = texts.select("doc_id", "field", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    found = tokens.join(F.broadcast(sought) if few else sought, ["field", "term"], "left_semi").groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+    rows = found.repartition("doc_id").groupBy("doc_id", "field", "dl").agg(F.collect_list(F.struct("term", F.col("tf").cast("double").alias("tf"))).alias("entries"))
+    return Index(asked, written(rows, "postings"), {r["field"]: r["mean_length"] for r in sizes.collect()}, few)
+
+
+class _Scoring:
+    """One setting of an index's field: the parts of scores, and the bounds that leave documents out."""
+
+    def __init__(self, ix: Index, field: str, k1: float, b: float):
+        mean = ix.lengths.get(field) or 1.0
+        self.norm = lambda dl: k1 * (1 - b + b * dl / F.lit(mean))
+        self.part = lambda tf, dl: tf * (k1 + 1) / (tf + self.norm(dl))
+        self.few = ix.few
+        self.asks = ix.asked.where(F.col("field") == field).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "n")
+        self.rows = ix.rows.where(F.col("field") == field).select("doc_id", "dl", "entries")
+        self.parts = self.rows.select("doc_id", "dl", F.explode("entries").alias("e")).select("doc_id", F.col("e.term").alias("term"), self.part(F.col("e.tf"), F.col("dl")).alias("part"))
+
+    def near(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.few else df
+
+    def hits(self, asks: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of every document with one of the asked terms, summed where a document's postings are."""
+        met = self.parts.repartition("doc_id").join(self.near(asks), "term")
+        return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
+
+    def full(self, pairs: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of the distinct pairs (query_id, doc_id)."""
+        own = self.rows.join(pairs.select("query_id", "doc_id"), "doc_id").select("query_id", "doc_id", "dl", F.explode("entries").alias("e"))
+        met = own.select("query_id", "doc_id", F.col("e.term").alias("term"), self.part(F.col("e.tf"), F.col("dl")).alias("part")).join(self.near(self.asks), ["query_id", "term"])
+        return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
+
+    def pruned(self, k: int) -> tuple[DataFrame, DataFrame]:
+        """(pairs that may reach their query's k best, weights of the terms that had to be met to find them).
+
+        A term adds at most its weight times its greatest part.  The full scores of a
+        few documents with a query's rarest terms give a score that k documents reach.
+        Terms whose bounds together stay below it are left out of the search: a
+        document with no other term can't be among the k best.  Of those found, such
+        stay as reach it with the bounds of the terms left out.
+        """
+        top = self.parts.groupBy("term").agg(F.max("part").alias("top"))
+        asks = written(self.asks.join(top, "term").withColumn("most", F.col("w") * F.col("top")), "bounds")
+        rare = Window.partitionBy("query_id").orderBy("n", "term").rowsBetween(Window.unboundedPreceding, -1)
+        seeds = asks.withColumn("_before", F.coalesce(F.sum("n").over(rare), F.lit(0))).where(F.col("_before") < SEEDS * k)
+        best = ranked(self.hits(seeds.select("query_id", "term", "w")), ["query_id"], [F.desc("score"), F.asc("doc_id")], SEEDS * k)
+        known = ranked(self.full(best), ["query_id"], [F.desc("score")], k)
+        reach = known.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("reach"))
+        low = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        split = asks.join(reach, "query_id", "left").withColumn("_sum", F.sum("most").over(low))
+        split = written(split.withColumn("out", F.coalesce(F.col("_sum") < F.col("reach"), F.lit(False))), "split")
+        need = split.where("NOT out").select("query_id", "term", "w")
+        rest = split.groupBy("query_id").agg(F.coalesce(F.first("reach"), F.lit(0.0)).alias("reach"), F.sum(F.when(F.col("out"), F.col("most")).otherwise(0.0)).alias("rest"))
+        found = self.hits(need).join(self.near(rest), "query_id")
+        return found.where("score + rest >= reach").select("query_id", "doc_id"), need
+
+
+def search(ix: Index, k: int | None = None, field: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank) of documents that share a term with the topic in this field; the k best if given.
+
+    With k and `PRUNE_FROM` hits only contenders are scored in full (`_Scoring.pruned`);
+    the rows are those of the full ranking.  Ties go to the smaller document id.
+    """
+    scoring = _Scoring(ix, field, k1, b)
+    least, hits = scoring.asks.agg(F.min("w"), F.sum("n")).first()
+    # bounds need weights that never lower a score
+    outright = k is None or hits is None or hits < PRUNE_FROM or least < 0
+    scores = scoring.hits(scoring.asks) if outright else scoring.full(scoring.pruned(k)[0])
+    scores = scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
     return ranked(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
+def bm25(docs: DataFrame, topics: DataFrame, k: int | None = None, key: str = "doc_id", text: str = "text", topic: str = "query_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """One search of one field.  A term that a topic repeats counts as often; documents without a shared term aren't listed."""
+    return search(index(docs, topics, {"text": text}, key, topic, epsilon), k, k1=k1, b=b)
+
+
 def fused(runs: Sequence[DataFrame], k: int | None = 1000, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, doc_id, rank) runs."""
     union = runs[0].select("query_id", "doc_id", "rank")
@@ -77,36 +160,55 @@ def fused(runs: Sequence[DataFrame], k: int | None = 1000, constant: int = 60) -
     return ranked(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def normalised(v: Column) -> Column:
-    """The vector at unit length; a zero vector stays."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
-
+#: Query vectors that are searched for in one reading of the vectors (64 doubles each: some 5 MB); more are taken in blocks.
+QUERIES_AT_ONCE = 10_000
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-
-#: Query vectors that may be sent to every task (64 doubles each: some 6 MB).
-BROADCAST_QUERIES = 10_000
+def _unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold numbers only and as many as the first such row, these as unit vectors); a zero vector stays."""
+    rows = [np.array(v, float) if v is not None and None not in v else None for v in vectors.to_pylist()]
+    width = next((len(v) for v in rows if v is not None), 0)
+    kept = [i for i, v in enumerate(rows) if v is not None and len(v) == width and np.isfinite(v).all()]
+    m = np.array([rows[i] for i in kept]).reshape(len(kept), width)
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.array(kept, int), m / np.where(norm > 0, norm, 1.0)
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, doc_id, score, rank): exact inner products of unit vectors, negative ids left out.
 
-    `queries` is a stated set.  Counted first: up to `BROADCAST_QUERIES` go to where the
-    vectors are; more are dealt over blocks, each of which meets every vector once.
+    `queries` is a stated set, searched for in blocks of `QUERIES_AT_ONCE`.  A block goes
+    to where the vectors are; a batch of vectors meets it as a product of two matrices
+    and returns each query's k best of the batch, so what is shuffled is k rows for a
+    query and batch.  Vectors that are null or hold a null or infinite number take no part.
     """
-    v = vectors.where(F.col(key) >= 0).select(F.col(key).alias("doc_id"), normalised(F.col(vector)).alias("v"))
-    q = queries.select(F.col(key).alias("query_id"), normalised(F.col(vector)).alias("q"))
-    n = q.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
-    q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    v = v.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = v.join(F.broadcast(q) if blocks == 1 else q, "_b")
-    scores = pairs.select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-    return ranked(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    spark = vectors.sparkSession
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    rows = vectors.where(F.col(key) >= 0).select(F.col(key).cast("long").alias("doc_id"), F.col(vector).alias("v"))
+    asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("v")).where("query_id IS NOT NULL")
+    out = None
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        kept, q = _unit(part.column("v").combine_chunks())
+        ids = part.column("query_id").to_numpy()[kept]
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, v = _unit(b.column("v"))
+                if not len(at) or not len(ids) or v.shape[1] != q.shape[1]:
+                    continue
+                docs = b.column("doc_id").to_numpy()[at]
+                scores = q @ v.T
+                if len(docs) > k:  # all within rounding of the k-th stay, so that ties are settled over all vectors
+                    least = np.partition(scores, -k, axis=1)[:, -k] - SLACK
+                    x, y = np.nonzero(scores >= least[:, None])
+                else:
+                    x, y = np.divmod(np.arange(scores.size), len(docs))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(docs[y]), pa.array(scores[x, y])], names=["query_id", "doc_id", "score"])
+
+        found = rows.mapInArrow(run, "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionAll(found)
+    return ranked(out.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def overlap_scorer(query: Column, text: Column) -> Column:

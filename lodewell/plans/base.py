@@ -10,10 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def topics(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
-    """(query_id, text): the first words of each benchmark item."""
-    t = table(spark, sf_dir, "benchmark")
-    return t.select(F.col("item_id").cast("long").alias("query_id"), F.substring_index("text", " ", words).alias("text"))
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text): every benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text")
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +20,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("rel"))
 
 
-TOPICS = "SELECT CAST(item_id AS BIGINT) AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS text FROM benchmark"
+TOPICS = "SELECT CAST(item_id AS BIGINT) AS query_id, text FROM benchmark"
 QRELS = "SELECT doc_id, CAST(quality + 1 - toxic AS INT) AS rel FROM labels"
 #: BM25 top k of the topics over documents; text between [] is a parameter.
 BM25 = """

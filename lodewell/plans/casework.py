@@ -30,11 +30,11 @@ def rerank_concatenated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs by the number of documents found and their mean best score."""
+    """Two settings of one index by the number of documents found and their mean best score."""
     found = {}
+    ix = R.index(table(spark, sf, "documents"), topics(spark, sf))
     for name, b in (("length 0.75", 0.75), ("length 0.4", 0.4)):
-        run = R.bm25(table(spark, sf, "documents"), topics(spark, sf), 10, b=b)
-        found[name] = run.agg(F.count("*").cast("double").alias("found"), F.avg("score").alias("score"))
+        found[name] = R.search(ix, 10, b=b).agg(F.count("*").cast("double").alias("found"), F.avg("score").alias("score"))
     return R.compared(found, ["found", "score"])
 
 
@@ -227,7 +227,13 @@ n AS (SELECT *, row_number() OVER (PARTITION BY baseline, query_id ORDER BY rank
     "strata_tags": (strata_tags, "WITH " + _SIGNALS + ", c AS (SELECT round(dominance, 3) AS d, n_groups, query_id % 3 = selected AS relevant FROM sig) SELECT CAST(d < 1.5 AND n_groups >= 2 AS INT) AS is_adversarial, CAST(d >= 1.35 AND n_groups >= 2 AS INT) AS is_deployed_accept, count(*) AS cases, CAST(sum(CAST(relevant AS INT)) AS BIGINT) AS relevant FROM c GROUP BY 1, 2"),
     "abstention_cost": (abstention_cost, "WITH " + _STATUS + ", p AS (SELECT DISTINCT query_id, doc_id FROM rows), a AS (SELECT CASE WHEN f = 'none' THEN 'accepted' ELSE 'abstained' END AS status, dec.query_id % 5 = 0 OR p.doc_id IS NOT NULL AS ok FROM dec LEFT JOIN p ON p.query_id = dec.query_id AND p.doc_id = dec.query_id % 3) SELECT status, count(*) AS n, count(*) FILTER (ok) AS available, round(count(*) FILTER (ok) / count(*), 6) AS rate FROM a GROUP BY 1"),
     "newly_accepted": (newly_accepted, "WITH " + _CASES + " SELECT query_id, selected, dominance FROM cas WHERE NOT dominance >= 1.35 AND share >= 0.28 AND raw_max >= 1.0 AND best_rank <= 2 AND NOT generic"),
-    "leak_all": (leak_all, f"WITH {_ANS}, {_WORDS}, q AS (SELECT doc_id AS c, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 ELSE doc_id END AS mine, {_NARROW} > 0 AS narrow, list_distinct(list_filter(list_transform(string_split_regex(lower(answer), '\\s+'), lambda w: regexp_replace(w, '^[.,;:()]+|[.,;:()]+$', '', 'g')), lambda w: regexp_full_match(w, '\\p{{L}}{{6,}}'))) AS ws FROM a), x AS (SELECT DISTINCT c FROM (SELECT c, mine, unnest(ws) AS w FROM q) k JOIN o ON o.w = k.w AND o.doc_id <> mine) SELECT q.c AS \"case\", narrow, narrow OR x.c IS NOT NULL AS wide FROM q LEFT JOIN x ON x.c = q.c"),
+    "leak_all": (leak_all, f"""WITH {_ANS}, {_WORDS},
+q AS (SELECT doc_id AS c, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 ELSE doc_id END AS mine, {_NARROW} > 0 AS narrow, list_distinct(string_split_regex(lower(answer), '\\s+')) AS ws FROM a),
+k AS (SELECT c, mine, unnest(ws) AS word FROM q), d AS (SELECT DISTINCT word FROM k WHERE length(word) >= 6),
+i AS (SELECT word, unnest(range(1, length(word) - 4)) AS i FROM d), sub AS (SELECT DISTINCT word, substr(word, i, n) AS part FROM (SELECT word, i, unnest(range(6, length(word) - i + 2)) AS n FROM i)),
+h AS (SELECT sub.word, o.doc_id FROM sub JOIN o ON o.w = sub.part),
+x AS (SELECT DISTINCT c FROM k JOIN h ON h.word = k.word AND h.doc_id <> mine)
+SELECT q.c AS "case", narrow, narrow OR x.c IS NOT NULL AS wide FROM q LEFT JOIN x ON x.c = q.c"""),
     "leak_intervals": (leak_intervals, None),
     "judge_consensus": (judge_consensus, """WITH o AS (SELECT CAST(o_orderkey % 3 = 0 AS INT) AS a, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 2 = 0 AS INT) END AS b, 'T' || (o_orderkey % 7) AS l FROM orders),
 c AS (SELECT greatest(a, b) AS either, CASE WHEN b IS NULL THEN a ELSE least(a, b) END AS "both", CAST(a = b AS INT) AS agree, l FROM o)

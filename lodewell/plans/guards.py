@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, text as T
+from ..functions.scoring import batch_scorer
 from ..operators import guard as G, redact as R, sampling as S
 from .base import table
 
@@ -41,7 +44,8 @@ def wide_leak(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("answer"))
     pool = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.pmod(F.col("item_id") * 7919 + i * 1301, F.lit(n)).cast("long"))
     a = b.select("item_id", "answer", F.pmod(F.col("item_id") * 7919, F.lit(n)).alias("own"), pool.alias("pool"))
-    return G.wide_leaks(a, G.distinctive_terms(table(spark, sf, "documents")), "item_id")
+    asked = a.select(F.explode("pool").alias("doc_id"))
+    return G.wide_leaks(a, G.distinctive_terms(table(spark, sf, "documents"), of=asked), "item_id")
 
 
 def _cited(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,21 +89,37 @@ def claim_extract(spark: SparkSession, sf: str) -> DataFrame:
     return R.extracted(d, "doc_id", ["body"], _FALLBACK).select("doc_id", F.col("position").cast("long").alias("position"), F.md5(F.col("claim").cast("binary")).alias("digest"))
 
 
-def _scored_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers by assistants as claims; earlier turns of the conversation are the selected evidence, users' turns the other."""
+def _claims_and_evidence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every assistant turn's sentences as claims; users' turns of its conversation are its own evidence, those of the next one the other."""
     c = table(spark, sf, "conversations")
-    claims = R.extracted(c.where("role = 'assistant'").select(F.col("conv_id"), F.col("text").alias("body")).groupBy("conv_id").agg(F.min("body").alias("body")), "conv_id", ["body"], _FALLBACK)
-    pool = c.select("conv_id", F.when(F.col("role") == "user", "u").otherwise("s").alias("grp"), F.lit("s").alias("sel"), "text", "turn")
-    return R.scored(claims, R.premises(pool, "conv_id", "grp", "sel", "text", "turn"), "conv_id")
+    claims = R.extracted(c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("body")), ["conv_id", "turn"], ["body"], _FALLBACK)
+    said = c.where("role = 'user'")
+    part = lambda shift, grp: said.select((F.col("conv_id") - shift).alias("conv_id"), F.lit(grp).alias("grp"), F.lit("s").alias("sel"), "text", "turn")
+    return claims, R.premises(part(0, "s").unionAll(part(1, "o")), "conv_id", "grp", "sel", "text", "turn", 600)
+
+
+def _redacted(scored: DataFrame) -> DataFrame:
+    r = R.rebuilt(scored, ["conv_id", "turn"], 0.3, _FALLBACK)
+    return r.select("conv_id", "turn", "field", F.md5(F.col("text").cast("binary")).alias("digest"), "n_dropped")
 
 
 def claim_redact(spark: SparkSession, sf: str) -> DataFrame:
-    r = R.rebuilt(_scored_claims(spark, sf), "conv_id", 0.3, _FALLBACK)
-    return r.select("conv_id", "field", F.md5(F.col("text").cast("binary")).alias("digest"), "n_dropped")
+    return _redacted(R.scored(*_claims_and_evidence(spark, sf), "conv_id"))
+
+
+def _terms_shared(premises, claims):
+    """The share of each claim's distinct terms that its premise has; stands for an entailment model."""
+    words = [(set(re.findall("[a-z0-9]+", p.lower())), set(re.findall("[a-z0-9]+", c.lower()))) for p, c in zip(premises, claims, strict=True)]
+    return [len(p & c) / len(c) if c else 0.0 for p, c in words]
+
+
+def claim_redact_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a scorer that takes batches of (premise, claim)."""
+    return _redacted(R.scored_by_model(*_claims_and_evidence(spark, sf), "conv_id", batch_scorer(lambda: _terms_shared)))
 
 
 def redact_calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    return R.calibrated(_scored_claims(spark, sf), [x / 100 for x in range(50, 100, 5)])
+    return R.calibrated(R.scored(*_claims_and_evidence(spark, sf), "conv_id"), [x / 100 for x in range(5, 100, 5)])
 
 
 def flatten_nested(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,6 +183,28 @@ _CITED = f"""c AS (SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN '' WHEN
 _ERR = lambda s: f"list_filter([CASE WHEN claim = '' THEN 'missing claim' END, CASE WHEN claim NOT IN ('', '{_FALLBACK}') AND len({s}) = 0 THEN 'no supports' END, CASE WHEN claim NOT IN ('', '{_FALLBACK}') AND len(list_filter({s}, lambda x: x > 4)) > 0 THEN 'unknown support' END, CASE WHEN claim NOT IN ('', '{_FALLBACK}') AND NOT contains(lower(claim), 'risk') THEN 'no field keyword' END], lambda x: x IS NOT NULL)"
 _HASH = lambda *k: "CAST('0x' || substr(md5(" + " || '-' || ".join(f"CAST({x} AS VARCHAR)" for x in k) + "), 1, 8) AS BIGINT)"
 
+_TERM = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+#: Claims with the best overlap over chunks of at most 600 characters; a chunk's terms are its pieces', as a line break joins them.
+_SCORED_CLAIMS = f"""
+cl AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS c FROM conversations WHERE role = 'assistant'),
+claims AS (SELECT * FROM (SELECT conv_id, turn, unnest(range(len(c))) AS position, unnest(c) AS claim FROM cl) WHERE claim <> '{_FALLBACK}'),
+said AS (SELECT conv_id, 'own' AS side, turn, text FROM conversations WHERE role = 'user' AND text <> '' UNION ALL SELECT conv_id - 1, 'other', turn, text FROM conversations WHERE role = 'user' AND text <> ''),
+pc AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, text) AS i FROM said),
+fold AS (
+  SELECT conv_id, side, i, text, 1 AS chunk, CASE WHEN length(text) > 600 THEN 0 ELSE length(text) END AS open FROM pc WHERE i = 1
+  UNION ALL SELECT p.conv_id, p.side, p.i, p.text, CASE WHEN f.open > 0 AND f.open + 1 + length(p.text) <= 600 THEN f.chunk ELSE f.chunk + 1 END,
+    CASE WHEN f.open > 0 AND f.open + 1 + length(p.text) <= 600 THEN f.open + 1 + length(p.text) WHEN length(p.text) > 600 THEN 0 ELSE length(p.text) END
+  FROM fold f JOIN pc p ON p.conv_id = f.conv_id AND p.side = f.side AND p.i = f.i + 1),
+blocks AS (SELECT conv_id, side, chunk, CASE WHEN length(text) > 600 THEN b ELSE 0 END AS block, CASE WHEN length(text) > 600 THEN substr(text, CAST(b * 600 + 1 AS BIGINT), 600) ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN length(text) > 600 THEN (length(text) + 599) // 600 ELSE 1 END)) AS b FROM fold)),
+chunks AS (SELECT conv_id, side, list_distinct(flatten(list({_TERM.format("text")}))) AS terms FROM blocks GROUP BY conv_id, side, chunk, block),
+sc AS (SELECT c.conv_id, c.turn, c.position, c.claim,
+    coalesce(max(CASE WHEN side = 'own' THEN coalesce(len(list_intersect({_TERM.format("claim")}, terms)) / nullif(len({_TERM.format("claim")}), 0), 0) END), 0) AS e_own,
+    coalesce(max(CASE WHEN side = 'other' THEN coalesce(len(list_intersect({_TERM.format("claim")}, terms)) / nullif(len({_TERM.format("claim")}), 0), 0) END), 0) AS e_other
+  FROM claims c LEFT JOIN chunks k ON k.conv_id = c.conv_id GROUP BY 1, 2, 3, 4)"""
+_REDACT = _SCORED_CLAIMS + f""" SELECT conv_id, turn, 'body' AS field, md5(CASE WHEN count(*) FILTER (NOT (e_other >= 0.3 AND e_other > e_own)) = 0 THEN '{_FALLBACK}' ELSE string_agg(claim, ' ' ORDER BY position) FILTER (NOT (e_other >= 0.3 AND e_other > e_own)) END) AS digest,
+  count(*) FILTER (e_other >= 0.3 AND e_other > e_own) AS n_dropped FROM sc GROUP BY 1, 2"""
+
 QUERIES = {
     "narrow_leak": (narrow_leak, f"WITH {_ANS} SELECT doc_id, {_NARROW} AS narrow, len(list_filter(list_distinct(regexp_extract_all(answer, 'DOC\\d{{8}}')), lambda x: x <> own)) AS exact_case FROM a"),
     "narrow_leak_summary": (narrow_leak_summary, f"WITH {_ANS} SELECT source, count(*) AS n, count(*) FILTER ({_NARROW} > 0) AS leaks, round(avg(CAST({_NARROW} > 0 AS INT)), 6) AS rate FROM a GROUP BY 1"),
@@ -175,8 +217,9 @@ QUERIES = {
     "teachback_rules": (teachback_rules, "SELECT p_partkey, CASE WHEN contains(t, 'steel') THEN 'Which ' || t || ' do you mean?' WHEN contains(t, 'brass') THEN 'Is it brass?' WHEN contains(t, 'tin') THEN 'How much ' || t || ' is there?' ELSE 'What is ' || t || '?' END AS question FROM (SELECT p_partkey, lower(p_type) AS t FROM part)"),
     "claim_extract": (claim_extract, f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS c FROM documents),
 p AS (SELECT doc_id, unnest(c) AS claim, unnest(range(len(c))) AS position FROM s) SELECT doc_id, position, md5(claim) AS digest FROM p WHERE claim <> '{_FALLBACK}'"""),
-    "claim_redact": (claim_redact, None),
-    "redact_calibrate": (redact_calibrate, None),
+    "claim_redact": (claim_redact, "WITH RECURSIVE " + _REDACT),
+    "claim_redact_model": (claim_redact_model, "WITH RECURSIVE " + _REDACT),
+    "redact_calibrate": (redact_calibrate, "WITH RECURSIVE " + _SCORED_CLAIMS + " SELECT coalesce(max(t) FILTER (rate <= 0.10), CAST(0.5 AS DOUBLE)) AS threshold FROM (SELECT t, avg(CASE WHEN e_other >= t AND e_other > e_own THEN 1.0 ELSE 0.0 END) AS rate FROM sc, (SELECT CAST(unnest(range(5, 100, 5)) AS DOUBLE) / 100 AS t) GROUP BY 1)"),
     "flatten_nested": (flatten_nested, "SELECT o_orderkey, o_orderstatus AS status, o_orderpriority || ' ; ' || o_orderstatus AS tags FROM orders"),
     "field_diff": (field_diff, "WITH s AS (SELECT s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier) SELECT s_suppkey, 'nation' AS field, nation AS before, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'x' END AS after FROM s WHERE s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 's_name', s_name, NULL FROM s WHERE s_suppkey % 5 = 0"),
     "canonical_decisions": (canonical_decisions, "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'likely_match' WHEN 1 THEN 'likely_match' ELSE 'cannot_determine' END AS decision FROM part"),

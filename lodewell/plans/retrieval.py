@@ -18,19 +18,13 @@ def _run(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return R.bm25(table(spark, sf, "documents"), topics(spark, sf), k)
 
 
-def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    """Every topic is judged on the same labels: the table of labels by topic is what is asked for."""
-    few = topics(spark, sf).agg(F.collect_list("query_id").alias("ids"))  # one row of topic numbers
-    return qrels(spark, sf).crossJoin(F.broadcast(few)).select(F.explode("ids").alias("query_id"), "doc_id", "rel")
-
-
 def ir_metrics_run(spark: SparkSession, sf: str) -> DataFrame:
     run = _run(spark, sf, 100).join(qrels(spark, sf), "doc_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     return ireval.run_metrics(run, 10)
 
 
 def ir_metrics_qrels(spark: SparkSession, sf: str) -> DataFrame:
-    return ireval.judged_metrics(_run(spark, sf, 100), _judged(spark, sf), 10)
+    return ireval.judged_metrics(_run(spark, sf, 100), qrels(spark, sf), 10)
 
 
 def ir_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,13 +32,14 @@ def ir_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recall_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    return ireval.recall_ceiling(_run(spark, sf, 100), _judged(spark, sf))
+    return ireval.recall_ceiling(_run(spark, sf, 100), qrels(spark, sf), topics(spark, sf))
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    t = topics(spark, sf)
-    out = R.fused([R.bm25(docs, t, 100), R.bm25(docs, t, 100, k1=0.9, b=0.4)], 20)
+    """Whole texts and titles, a text's first line, as two fields of one index."""
+    docs = table(spark, sf, "documents").withColumn("title", F.substring_index("text", "\n", 1))
+    ix = R.index(docs, topics(spark, sf), {"all": "text", "title": "title"})
+    out = R.fused([R.search(ix, 100, "all"), R.search(ix, 100, "title", k1=0.9, b=0.4)], 20)
     return out.select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
@@ -109,7 +104,7 @@ SELECT query_id, round(CASE WHEN i = 0 THEN 0 ELSE d / i END, 6) AS ndcg, round(
 per AS (SELECT t.query_id, avg(CASE WHEN bm.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS recall FROM topics t CROSS JOIN (SELECT * FROM qr WHERE rel > 0) j
   LEFT JOIN bm ON bm.query_id = t.query_id AND bm.doc_id = j.doc_id AND bm.rank <= 100 GROUP BY 1)
 SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall, round(quantile_cont(recall, 0.5), 6) AS median_recall FROM per"""),
-    "rrf_fusion": (rrf_fusion, "WITH two AS (WITH " + BM25 + " SELECT query_id, doc_id, rank FROM bm WHERE rank <= 100), head AS (WITH " + BM25.replace("2.5 / (post.tf + 1.5 * (1 - 0.75 + 0.75 *", "1.9 / (post.tf + 0.9 * (1 - 0.4 + 0.4 *") + """ SELECT query_id, doc_id, rank FROM bm WHERE rank <= 100),
+    "rrf_fusion": (rrf_fusion, "WITH two AS (WITH " + BM25 + " SELECT query_id, doc_id, rank FROM bm WHERE rank <= 100), head AS (WITH " + BM25.replace("documents", "(SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)").replace("2.5 / (post.tf + 1.5 * (1 - 0.75 + 0.75 *", "1.9 / (post.tf + 0.9 * (1 - 0.4 + 0.4 *") + """ SELECT query_id, doc_id, rank FROM bm WHERE rank <= 100),
 fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM two UNION ALL SELECT * FROM head) GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu)
 SELECT query_id, doc_id, score, rank FROM rk WHERE rank <= 20"""),

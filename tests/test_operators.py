@@ -3,12 +3,13 @@
 import hashlib
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodewell.functions import intervals, jsonx, text as T
-from lodewell.operators import agreement as A, calibration as C, corpus, evidence as E, guard as G, ireval, redact as R, retrieval, sampling, sweep
+from lodewell.operators import agreement as A, calibration as C, corpus, evidence as E, guard as G, ireval, redact as R, retrieval, sampling, substrings, sweep
 from lodewell.sources import readers, sinks
 
 
@@ -207,10 +208,13 @@ def test_claims_and_premises_are_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, fill + " The last claim is here.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = guards.claim_extract(spark, str(tmp_path)).collect()
     assert len(got) == 41 and hashlib.md5(b"The last claim is here.").hexdigest() in {r.digest for r in got}
-    turns = [(1, 0, "user", fill + " Zebras graze quietly."), (1, 1, "assistant", "Zebras graze quietly.")]
+    turns = [(1, 0, "user", "Hello."), (1, 1, "assistant", "Zebras graze quietly. Hello."), (1, 2, "assistant", "Zebras graze."), (2, 0, "user", fill + " Zebras graze quietly."), (2, 1, "assistant", "Hello.")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    r = guards._scored_claims(spark, str(tmp_path)).first()
-    assert r.e_other == 1.0
+    scored = R.scored(*guards._claims_and_evidence(spark, str(tmp_path)), "conv_id").collect()
+    got = {(r.conv_id, r.turn, r.claim): (r.e_own, r.e_other) for r in scored}
+    assert got == {(1, 1, "Zebras graze quietly."): (0.0, 1.0), (1, 1, "Hello."): (1.0, 0.0), (1, 2, "Zebras graze."): (0.0, 1.0), (2, 1, "Hello."): (0.0, 0.0)}
+    kept = {(r.conv_id, r.turn): r.n_dropped for r in guards.claim_redact(spark, str(tmp_path)).collect()}
+    assert kept == {(1, 1): 1, (1, 2): 1, (2, 1): 0}
 
 
 def test_folds_of_one_class_are_skipped(spark):
@@ -248,3 +252,88 @@ def test_scores_by_model_are_those_by_column(spark):
     plain = {tuple(r) for r in R.scored(claims, pool, "case_id").collect()}
     model = batch_scorer(lambda: lambda premises, hypotheses: _shared_terms(hypotheses, premises))
     assert {tuple(r) for r in R.scored_by_model(claims, pool, "case_id", model).collect()} == plain
+
+
+def test_tokens_are_found_inside_longer_words(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    tokens = {word(rng.randrange(5, 9)) for _ in range(120)}
+    words = {word(rng.randrange(1, 14)) for _ in range(400)} | {"x" + t + "y" for t in list(tokens)[:20]} | {"é" * 3 + t for t in list(tokens)[:5]} | {"z" * 40}
+    got = {tuple(r) for r in substrings.held_tokens(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    assert got == {(w, t) for w in words for t in tokens if t in w} and len(got) > 30
+
+
+def test_wide_leaks_over_all_documents(spark):
+    """Substrings count, one's own tokens don't, and the narrow rule is enough alone."""
+    vocabulary = spark.createDataFrame([(1, ["aspirin", "warfarin"]), (2, ["heparin"]), (3, ["statin"])], "doc_id long, tokens array<string>")
+    rows = [(1, 1, "took Aspirin", 0), (2, 1, "no PreHeparins here", 0), (3, 2, "aspirine", 0), (4, 2, "heparin and warfar in", 0), (5, 3, "nothing", 1), (6, None, "heparin", 0), (7, 3, "statin (warfarin).", 0), (8, 2, None, 0)]
+    a = spark.createDataFrame(rows, "case int, own long, answer string, n int")
+    got = {r.case: (r.narrow, r.wide) for r in G.leak_flags(a, vocabulary, "case", F.col("n")).collect()}
+    assert {c for c, (_, w) in got.items() if w} == {2, 3, 5, 7} and {c for c, (n, _) in got.items() if n} == {5} and len(got) == 8
+
+
+def test_no_answer_meets_the_whole_vocabulary(spark):
+    plan = lambda df: df._jdf.queryExecution().toString()
+    vocabulary = spark.createDataFrame([(1, ["aspirin"])], "doc_id long, tokens array<string>")
+    a = spark.createDataFrame([(1, 1, "x", 0)], "case int, own long, answer string, n int")
+    assert "NestedLoop" not in plan(G.leak_flags(a, vocabulary, "case", F.col("n"))) and "Cartesian" not in plan(G.leak_flags(a, vocabulary, "case", F.col("n")))
+
+
+def _corpus(spark, rng):
+    rare = [f"rare{i}" for i in range(300)]
+    docs = [(i, " ".join(["the", "of", "and"] * rng.randrange(1, 6) + rng.choices(rare, k=rng.randrange(0, 12)))) for i in range(800)]
+    asked = [(i, " ".join(["the", "of", "and", *rng.choices(rare, k=4)])) for i in range(12)] + [(90, "the of"), (91, "unheard"), (92, ""), (93, "rare1 rare1 the")]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+
+
+def test_pruned_search_gives_the_rows_of_the_full_ranking(spark, monkeypatch):
+    docs, asked = _corpus(spark, random.Random(8))
+    ix = retrieval.index(docs, asked)
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc_id", "score", "rank").collect())
+    for k in (1, 5, 1000):
+        want = rows(retrieval.search(ix).where(F.col("rank") <= k))
+        monkeypatch.setattr(retrieval, "PRUNE_FROM", 0)
+        assert rows(retrieval.search(ix, k)) == want
+        monkeypatch.undo()
+
+
+def test_pruning_scores_a_tenth_of_the_hits(spark):
+    """Words of every document, which most hits come from, are not met at all."""
+    docs, asked = _corpus(spark, random.Random(9))
+    scoring = retrieval._Scoring(retrieval.index(docs, asked.where("query_id < 90")), "text", 1.5, 0.75)
+    pairs, need = scoring.pruned(3)
+    everything = scoring.hits(scoring.asks).count()
+    assert 10 * scoring.hits(need).count() < everything and 10 * pairs.count() < everything
+
+
+def test_fields_have_their_own_statistics(spark):
+    d = spark.createDataFrame([(1, "a b", "b"), (2, "b c", "c c"), (3, "c", None)], "doc_id long, text string, title string")
+    q = spark.createDataFrame([(1, "a c")], "query_id long, text string")
+    ix = retrieval.index(d, q, {"all": "text", "title": "title"})
+    assert ix.lengths == {"all": 5 / 3, "title": 1.0}
+    alone = lambda c: [tuple(r) for r in retrieval.bm25(d, q, text=c).collect()]
+    assert [tuple(r) for r in retrieval.search(ix, field="title").collect()] == alone("title") and [tuple(r) for r in retrieval.search(ix, field="all").collect()] == alone("text")
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(300 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(30)] + [(-1, [1.0] * 6), (400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [0.0] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    unit = {i: [x / (math.sqrt(sum(y * y for y in e)) or 1.0) for x in e] for i, e in rows if e and i >= 0 and None not in e and e[0] == e[0]}
+    want = set()
+    for q in [i for i in unit if i % 50 == 0]:
+        best = sorted((-round(sum(a * b for a, b in zip(unit[q], u, strict=True)), 6), i) for i, u in unit.items())[:7]
+        want |= {(q, i, -s + 0.0, n + 1) for n, (s, i) in enumerate(best)}
+    for block in (10_000, 2):
+        monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", block)
+        got = {tuple(r) for r in retrieval.dense_top(v, v.where("vec_id % 50 = 0"), 7).collect()}
+        assert got == want
+
+
+def test_shared_judgements_equal_copied_ones(spark):
+    run = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 3, 1), (3, 9, 1)], "query_id long, doc_id long, rank int")
+    shared = spark.createDataFrame([(1, 2), (2, 0), (3, 1), (4, 1)], "doc_id long, rel int")
+    copied = shared.withColumn("query_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(ireval.judged_metrics(run, shared, 10)) == rows(ireval.judged_metrics(run, copied, 10))
+    assert rows(ireval.recall_ceiling(run, shared, run)) == rows(ireval.recall_ceiling(run, copied))
