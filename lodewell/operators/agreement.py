@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
+from .positions import running
 
 
 def paired(df: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -60,8 +61,7 @@ def icc_simple(pairs: DataFrame) -> DataFrame:
 def _mean_ranks(values: DataFrame, c: str) -> DataFrame:
     """(value, mean rank of its ties): a running sum over the distinct values' counts."""
     counts = values.groupBy(c).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(c))
-    return counts.select(c, (upto - (F.col("_n") - 1) / 2.0).alias(f"r{c}"))
+    return running(counts, [c], "_n", "_upto").select(c, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"r{c}"))
 
 
 def spearman(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blind_id, draw
+from .positions import positioned
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -26,9 +27,9 @@ def quotas(df: DataFrame, key: str, stratum: Column, sizes: Mapping[str, int], t
 
 
 def blinded(df: DataFrame, key: str, salt: str, n: int = 10) -> DataFrame:
-    """blind_id, and presentation order by another hash; `df` is a bounded packet for people."""
+    """blind_id, and the place in the order of presentation, by another hash."""
     d = df.withColumn("blind_id", blind_id(n, F.lit(salt), F.col(key)))
-    return d.withColumn("order", F.row_number().over(Window.orderBy(draw(F.lit(salt), F.lit("order"), F.col(key)), key)))
+    return positioned(d.withColumn("_d", draw(F.lit(salt), F.lit("order"), F.col(key))), ["_d", key], "order").drop("_d")
 
 
 def alternating(df: DataFrame, stratum: str, key: str) -> DataFrame:

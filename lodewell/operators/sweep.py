@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
+from .positions import running
 
 
 def grid(spark: SparkSession, rho: Sequence[float], tau: Sequence[float], mu: Sequence[float], kappa: Sequence[int]) -> DataFrame:
@@ -62,11 +63,11 @@ def pareto(points: DataFrame, up: str, down: str) -> DataFrame:
 
     By a running maximum over distinct values of `down`: a row stays if its `up` is the
     best at its `down` and above all best at smaller ones.  Only distinct (down, best up)
-    pairs reach the one ordered window.
+    pairs are put in order, by ranges; a range passes on its own best, no more, so a
+    front of any size is found by many tasks.  Ties stay; a null is no value.
     """
-    best = points.groupBy(down).agg(F.max(up).alias("_best"))
-    before = F.max("_best").over(Window.orderBy(down).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
+    best = points.where(F.col(up).isNotNull() & F.col(down).isNotNull()).groupBy(down).agg(F.max(up).alias("_best"))
+    front = running(best, [down], "_best", "_before", "max", own=False).where(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
     return points.join(front.select(down, F.col("_best").alias(up)), [down, up], "left_semi")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import t_two_sided, with_interval
 from ..operators import agreement as A, calibration as C
-from ..operators.resample import bootstrap
+from ..operators.resample import MODULUS, MULTIPLIERS, REACH, bootstrap
 from .base import table
 
 
@@ -68,6 +68,25 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return bootstrap(c, "s_suppkey", ["balance", "nation"])
 
 
+def bootstrap_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """Five ratings of each case, some missing, under the same 5000 draws."""
+    c = table(spark, sf, "customer")
+    rating = lambda m: F.when(F.col("c_custkey") % (m + 7) > 0, ((F.col("c_custkey") * m + F.col("c_nationkey")) % 5 + 1).cast("double")).alias(f"d{m}")
+    return bootstrap(c.select("c_custkey", *[rating(m) for m in range(1, 6)]), "c_custkey", [f"d{m}" for m in range(1, 6)], 5000, 42)
+
+
+def _bootstrap_sql(values: str, columns: tuple[str, ...], draws: int, seed: int) -> str:
+    a, b, c = MULTIPLIERS
+    x = f"(i * {a} + b * {b} + {seed}) % {MODULUS}"
+    rounds = f"SELECT b, i, {x} AS x FROM v, (SELECT unnest(range({draws})) AS b)"
+    for m in (a, b, c):
+        rounds = f"SELECT b, i, (xor(x, x >> 15) * {m}) % {MODULUS} AS x FROM ({rounds})"
+    taken = " + ".join(f"CAST(x >= {r} AS BIGINT)" for r in REACH)
+    means = ", ".join(f"sum(w * {n}) / nullif(sum(CASE WHEN {n} IS NOT NULL THEN w ELSE 0 END), 0) AS {n}" for n in columns)
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS metric, (SELECT count({n}) FROM v) AS n, (SELECT round(avg({n}), 6) FROM v) AS mean, round(quantile_cont({n}, 0.025), 6) AS lo, round(quantile_cont({n}, 0.975), 6) AS hi FROM m" for n in columns)
+    return f"WITH t AS ({values}), v AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM t), d AS (SELECT b, i, {taken} AS w FROM ({rounds})), m AS (SELECT b, {means} FROM d JOIN v ON v.i = d.i GROUP BY b) {rows}"
+
+
 def _scored() -> tuple:
     return F.col("l_discount") * 10, F.col("l_returnflag") == "R"
 
@@ -120,10 +139,8 @@ QUERIES = {
     "krippendorff": (krippendorff, "WITH v AS (SELECT l_orderkey AS u, l_quantity % 5 + 1 AS x FROM lineitem WHERE l_linenumber % 4 > 0), per AS (SELECT u, count(*) AS m, sum(x) AS s, sum(x * x) AS q FROM v GROUP BY 1), t AS (SELECT sum(CASE WHEN m > 1 THEN 2 * m * q - 2 * s * s END) / sum(CASE WHEN m > 1 THEN m * (m - 1) END) AS o, CAST(sum(m) AS BIGINT) AS n, sum(s) AS s, sum(q) AS q FROM per) SELECT n, round(1 - o / ((2 * n * q - 2 * s * s) / (CAST(n AS DOUBLE) * (n - 1))), 6) AS alpha FROM t"),
     "exact_mae": (exact_mae, f"WITH {_P} SELECT count(*) AS n, round(avg(CAST(a = b AS INT)), 6) AS exact, round(avg(abs(a - b)), 6) AS mae, count(*) FILTER (abs(a - b) >= 2) AS far_apart FROM p"),
     "macro_f1": (macro_f1, "WITH p AS (SELECT l_returnflag AS a, CASE l_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'R' ELSE l_returnflag END AS b FROM lineitem), c AS (SELECT label, count(*) FILTER (a = label AND b = label) AS tp, count(*) FILTER (b = label) AS pr, count(*) FILTER (a = label) AS tr FROM p, (SELECT unnest(['A', 'N', 'R']) AS label) GROUP BY 1) SELECT label, tr AS support, round(CASE WHEN pr = 0 THEN 0 ELSE tp / pr END, 6) AS precision, round(CASE WHEN tr = 0 THEN 0 ELSE tp / tr END, 6) AS recall, round(CASE WHEN pr + tr = 0 THEN 0 ELSE 2.0 * tp / (pr + tr) END, 6) AS f1 FROM c"),
-    "bootstrap_ci": (bootstrap_ci, """WITH v AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal AS balance, CASE WHEN s_suppkey % 4 > 0 THEN CAST(s_nationkey AS DOUBLE) END AS nation FROM supplier), n AS (SELECT count(*) AS n FROM v),
- d AS (SELECT b, ((7919 * b + 104729 * i + 13 + i * i * (b + 1)) % (n + b % 5)) % n AS i FROM v, n, (SELECT unnest(range(200)) AS b)), m AS (SELECT b, avg(balance) AS balance, avg(nation) AS nation FROM d JOIN v ON v.i = d.i GROUP BY b)
- SELECT 'balance' AS metric, (SELECT count(balance) FROM v) AS n, (SELECT round(avg(balance), 6) FROM v) AS mean, round(quantile_cont(balance, 0.025), 6) AS lo, round(quantile_cont(balance, 0.975), 6) AS hi FROM m
- UNION ALL SELECT 'nation', (SELECT count(nation) FROM v), (SELECT round(avg(nation), 6) FROM v), round(quantile_cont(nation, 0.025), 6), round(quantile_cont(nation, 0.975), 6) FROM m"""),
+    "bootstrap_ci": (bootstrap_ci, _bootstrap_sql("SELECT s_suppkey AS k, CAST(s_acctbal AS DOUBLE) AS balance, CASE WHEN s_suppkey % 4 > 0 THEN CAST(s_nationkey AS DOUBLE) END AS nation FROM supplier", ("balance", "nation"), 1000, 13)),
+    "bootstrap_vector": (bootstrap_vector, _bootstrap_sql("SELECT c_custkey AS k, " + ", ".join(f"CASE WHEN c_custkey % {m + 7} > 0 THEN CAST((c_custkey * {m} + c_nationkey) % 5 + 1 AS DOUBLE) END AS d{m}" for m in range(1, 6)) + " FROM customer", tuple(f"d{m}" for m in range(1, 6)), 5000, 42)),
     "ece_bins": (ece_bins, "WITH b AS (SELECT " + " + ".join(f"CAST(p >= CAST({e!r} AS DOUBLE) AS INT)" for e in C._EDGES) + " AS bin, p, y FROM (SELECT l_discount * 10 AS p, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem)) SELECT CAST(r.bin AS BIGINT) AS bin, count(b.p) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y, round(abs(avg(p) - avg(y)), 6) AS gap FROM (SELECT unnest(range(10)) AS bin) r LEFT JOIN b ON b.bin = r.bin GROUP BY 1"),
     "ece": (ece, "WITH b AS (SELECT " + " + ".join(f"CAST(p >= CAST({e!r} AS DOUBLE) AS INT)" for e in C._EDGES) + " AS bin, p, y FROM (SELECT l_discount * 10 AS p, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem)), g AS (SELECT count(*) AS n, round(abs(avg(p) - avg(y)), 6) AS gap FROM b GROUP BY bin) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * gap) / sum(n), 5) AS ece FROM g"),
     "brier_skill": (brier_skill, "WITH s AS (SELECT count(*) AS n, avg(pow(l_discount * 10 - CAST(l_returnflag = 'R' AS INT), 2)) AS br, avg(CAST(l_returnflag = 'R' AS INT)) AS m FROM lineitem) SELECT n, round(br, 6) AS brier, round(m * (1 - m), 6) AS naive, round(1 - br / (m * (1 - m)), 6) AS skill FROM s"),

@@ -5,11 +5,12 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodewell.functions import intervals, jsonx, text as T
-from lodewell.operators import agreement as A, calibration as C, corpus, evidence as E, guard as G, ireval, redact as R, retrieval, sampling, substrings, sweep
+from lodewell.operators import agreement as A, calibration as C, corpus, evidence as E, guard as G, ireval, positions, redact as R, resample, retrieval, sampling, substrings, sweep
 from lodewell.sources import readers, sinks
 
 
@@ -337,3 +338,51 @@ def test_shared_judgements_equal_copied_ones(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(ireval.judged_metrics(run, shared, 10)) == rows(ireval.judged_metrics(run, copied, 10))
     assert rows(ireval.recall_ceiling(run, shared, run)) == rows(ireval.recall_ceiling(run, copied))
+
+
+def one_task(df):
+    return "SinglePartition" in df._jdf.queryExecution().toString()
+
+
+def test_positions_and_running_values(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(50), rng.choice([None, 1.5, -2.0, 4.0])) for i in range(500)]
+    d = spark.createDataFrame(rows, "id int, v int, x double").repartition(7)
+    p = positions.positioned(d, [F.desc("v"), "id"])
+    assert not one_task(p)
+    assert [r.id for r in p.orderBy("position").collect()] == [i for i, _, _ in sorted(rows, key=lambda r: (-r[1], r[0]))] and p.agg(F.max("position")).first()[0] == 500
+    up, before = positions.running(d, ["v", "id"], "x", "s"), positions.running(d, ["v", "id"], "x", "m", "max", own=False)
+    assert not one_task(up) and not one_task(before)
+    total, most, want = None, None, {}
+    for i, _, x in sorted(rows, key=lambda r: (r[1], r[0])):
+        m = most
+        if x is not None:
+            total, most = (total or 0) + x, x if most is None else max(most, x)
+        want[i] = (total, m)
+    assert {r.id: r.s for r in up.collect()} == {i: s for i, (s, _) in want.items()} and {r.id: r.m for r in before.collect()} == {i: m for i, (_, m) in want.items()}
+    assert positions.positioned(d.limit(0), ["id"]).count() == 0 and positions.running(d.limit(0), ["id"], "x", "s").count() == 0
+
+
+def test_front_of_a_million_values(spark):
+    """A front that no task holds: every point is on it, but those that others pass."""
+    n = 1_000_000
+    d = spark.range(n).select(F.col("id").alias("down"), F.when(F.col("id") % 100 == 7, F.col("id") - 50).otherwise(F.col("id")).alias("up"), F.lit("x").alias("other"))
+    front = sweep.pareto(d, "up", "down")
+    assert not one_task(front) and front.count() == n - n // 100
+    assert sweep.pareto(d.limit(0), "up", "down").count() == 0
+
+
+def test_draws_take_rows_as_poisson(spark):
+    w = resample.draws_of(np.arange(1, 2001), np.arange(500), 42)
+    share = np.bincount(w.ravel(), minlength=6)[:6] / w.size
+    assert all(abs(s - math.exp(-1) / math.factorial(k)) < 0.002 for k, s in enumerate(share))
+    assert abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01 and abs(np.corrcoef(w[:, :-1].ravel(), w[:, 1:].ravel())[0, 1]) < 0.01
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rows = [(i, float(i % 7), None if i % 5 else float(i)) for i in range(300)]
+    d = spark.createDataFrame(rows, "id int, a double, b double")
+    got = [sorted(map(tuple, resample.bootstrap(d.repartition(n), "id", ["a", "b"], 400).collect())) for n in (1, 9)]
+    assert got[0] == got[1]
+    (m, n, mean, lo, hi), (_, nb, *_rest) = got[0]
+    assert (m, n, nb) == ("a", 300, 60) and lo < mean < hi and abs((hi - lo) / 2 - 1.96 * 2 / math.sqrt(300)) < 0.06
