@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus
 from ..shared import shared_dir
-from ..sources import readers, sinks
-from .base import table
+from ..sources import collections, readers, sinks
+from .base import QRELS, qrels, table
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -71,9 +71,38 @@ def jsonl_strict(spark: SparkSession, sf: str) -> DataFrame:
 def record_directory(spark: SparkSession, sf: str) -> DataFrame:
     """Records by region folder, read with the folder's name as a column."""
     at = _place(spark, "sink")
-    sinks.jsonl(_nations(spark, sf).withColumn("part", F.concat(F.lit("r"), F.col("n_regionkey"))), at, "part")
-    d = readers.path_parts(spark.read.schema(_DDL).option("recursiveFileLookup", True).json(at).select("*", F.col("_metadata.file_path").alias("path_")), "folder", "stem")
-    return d.groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.col("n_nationkey").cast("long")).alias("keys"))
+    collections.register(spark)
+    w = _nations(spark, sf).withColumn("part", F.concat(F.lit("r"), F.col("n_regionkey"))).write.format("record-files")
+    w.option("path", at).option("key", "n_nationkey").option("folders", "part").mode("append").save()
+    d = readers.path_parts(readers.json_directory(spark, at, _DDL), "folder", "stem")
+    return d.groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.col("n_nationkey").cast("long")).alias("keys"), F.sum(F.col("stem").cast("long")).alias("names"))
+
+
+def _collection(spark: SparkSession, sf: str) -> str:
+    """The tables as a retrieval collection in the shared folder."""
+    at = _place(spark, "collection")
+    collections.register(spark)
+    table(spark, sf, "documents").select("doc_id", "text").write.json(f"{at}/docs")
+    table(spark, sf, "benchmark").select(F.concat_ws("\t", F.col("item_id").cast("string"), F.translate("text", "\t\n", "  "))).write.text(f"{at}/queries")
+    qrels(spark, sf).select(F.concat(F.pmod("doc_id", F.lit(40)).cast("string"), F.lit(" 0 "), F.col("doc_id").cast("string"), F.lit(" "), F.col("rel").cast("string"))).write.text(f"{at}/qrels")
+    return at
+
+
+def _read_part(spark: SparkSession, at: str, part: str, columns: str = "") -> DataFrame:
+    return spark.read.format("retrieval").option("path", at).option("part", part).option("columns", columns).load()
+
+
+def collection_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _read_part(spark, _collection(spark, sf), "docs").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def collection_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Judgements of a collection by query, with documents that it holds, of which only the ids are read."""
+    at = _collection(spark, sf)
+    held = _read_part(spark, at, "docs", "doc_id")
+    asked = _read_part(spark, at, "queries")
+    judged = _read_part(spark, at, "qrels").join(held, "doc_id").groupBy("query_id").agg(F.count("*").alias("judged"), F.count_if(F.col("rel") > 0).alias("relevant"))
+    return asked.join(judged, "query_id", "left").select("query_id", F.length("text").cast("long").alias("n_chars"), "judged", "relevant")
 
 
 def append_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,11 +142,12 @@ def several_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def configuration(spark: SparkSession, sf: str) -> DataFrame:
-    """A written configuration, found behind a path that doesn't exist."""
+    """Orders under a bound that a written configuration sets, found behind a path that doesn't exist."""
     at = _place(spark, "config")
-    sinks.summary({"most": 3, "name": "grid"}, at, spark)
+    highest = table(spark, sf, "orders").agg(F.max("o_totalprice").cast("double")).first()[0] or 0.0
+    sinks.summary({"least": round(highest / 2, 2), "name": "half"}, at, spark)
     c = readers.config(spark, readers.first_existing(spark, [at + "-missing", at]))
-    return spark.range(1).select(F.lit(c["most"]).cast("long").alias("most"), F.lit(c["name"]).alias("name"))
+    return table(spark, sf, "orders").where(F.col("o_totalprice") >= c["least"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.lit(c["name"]).alias("name"))
 
 
 def file_checksums(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,13 +179,15 @@ QUERIES = {
     "json_document": (json_document, _N),
     "jsonl_tolerant": (jsonl_tolerant, _N + " WHERE n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AND n_nationkey % 11 <> 0"),
     "jsonl_strict": (jsonl_strict, _N),
-    "record_directory": (record_directory, "SELECT 'part=r' || n_regionkey AS folder, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation GROUP BY 1"),
+    "record_directory": (record_directory, "SELECT 'part=r' || n_regionkey AS folder, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys, CAST(sum(n_nationkey) AS BIGINT) AS names FROM nation GROUP BY 1"),
+    "collection_docs": (collection_docs, "SELECT doc_id, md5(text) AS digest FROM documents"),
+    "collection_judged": (collection_judged, f"WITH qr AS ({QRELS}), j AS (SELECT doc_id % 40 AS query_id, count(*) AS judged, count(*) FILTER (rel > 0) AS relevant FROM qr JOIN documents USING (doc_id) GROUP BY 1) SELECT CAST(item_id AS BIGINT) AS query_id, length(text) AS n_chars, judged, relevant FROM benchmark LEFT JOIN j ON j.query_id = item_id"),
     "append_log": (append_log, _N),
     "log_compaction": (log_compaction, "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type <> 'error') WHERE rn = 1"),
     "manifest_file": (manifest_file, "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CAST(s_nationkey AS BIGINT) AS clarity, CAST(s_nationkey % 5 AS BIGINT) AS safety, 'a;' || s_nationkey AS tags FROM supplier"),
     "report_rows": (report_rows, r"WITH m AS (SELECT l_returnflag AS f, printf('%.2f', round(CAST(avg(l_quantity) AS DOUBLE), 2)) AS q FROM lineitem GROUP BY 1) SELECT 'latex' AS form, f || ' & ' || q || ' \\' AS line FROM m UNION ALL SELECT 'markdown', '| ' || f || ' | ' || q || ' |' FROM m"),
     "several_outputs": (several_outputs, "SELECT 'low' AS output, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation WHERE n_regionkey < 2 UNION ALL SELECT 'even', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation WHERE n_nationkey % 2 = 0"),
-    "configuration": (configuration, "SELECT CAST(3 AS BIGINT) AS most, 'grid' AS name"),
+    "configuration": (configuration, "SELECT o_orderstatus, count(*) AS n, 'half' AS name FROM orders WHERE o_totalprice >= (SELECT round(max(o_totalprice) / 2, 2) FROM orders) GROUP BY 1"),
     "file_checksums": (file_checksums, "WITH t AS (SELECT string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY CAST(n_nationkey AS VARCHAR) || ',' || n_name) AS x FROM nation) SELECT CAST(strlen(x) AS BIGINT) AS size, sha256(x) AS sha256 FROM t"),
     "schema_preview": (schema_preview, None),
     "bounded_scan": (bounded_scan, "SELECT least(25, count(*)) AS n FROM events WHERE event_type <> 'error'"),

@@ -113,6 +113,14 @@ def logreg_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return C.logistic(li.where("l_orderkey % 4 <> 0"), li.where("l_orderkey % 4 = 0"), ["l_quantity", "l_discount"], "y", ["l_orderkey", "l_linenumber"])
 
 
+def fold_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Brier scores of five folds of lineitem, and their mean and deviation as a last row."""
+    li = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), "l_quantity", "l_discount", (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    scores = C.cross_validated(li, ["l_quantity", "l_discount"], "y", "k")
+    total = C.fold_summary(scores).select(F.lit(None).cast("int").alias("fold"), F.col("folds").alias("n"), F.col("mean").alias("brier"), "deviation")
+    return scores.withColumn("deviation", F.lit(None).cast("double")).unionByName(total)
+
+
 def p99(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest-rank percentile of values by kind."""
     return table(spark, sf, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY value)").alias("p99"), F.round(F.avg("value"), 6).alias("mean"))
@@ -146,6 +154,7 @@ QUERIES = {
     "brier_skill": (brier_skill, "WITH s AS (SELECT count(*) AS n, avg(pow(l_discount * 10 - CAST(l_returnflag = 'R' AS INT), 2)) AS br, avg(CAST(l_returnflag = 'R' AS INT)) AS m FROM lineitem) SELECT n, round(br, 6) AS brier, round(m * (1 - m), 6) AS naive, round(1 - br / (m * (1 - m)), 6) AS skill FROM s"),
     "clopper_pearson": (clopper_pearson, None),
     "logreg_calibration": (logreg_calibration, None),
+    "fold_scores": (fold_scores, None),
     "p99": (p99, "SELECT event_type, quantile_disc(value, 0.99) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY 1"),
     "binary_scorings": (_binary_scorings, "WITH l AS (SELECT l_returnflag = 'R' AS t, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_quantity > 25 END AS p, l_orderkey * 31 + l_partkey AS k FROM lineitem), s AS (SELECT 'a' AS scoring, t, coalesce(p, false) AS p FROM l UNION ALL SELECT 'b', t, coalesce(p, true) FROM l UNION ALL SELECT 'c', t, p FROM l UNION ALL SELECT 'd', t, coalesce(p, k % 2 = 0) FROM l) SELECT scoring, count(p) AS n, round(avg(CAST(p IS NOT NULL AS INT)), 6) AS coverage, round(avg(CAST(t = p AS INT)), 6) AS accuracy FROM s GROUP BY 1"),
 }
