@@ -128,9 +128,10 @@ def _across(t: pa.Table, like: Like, same: Same | None = None) -> tuple[np.ndarr
 
     Items of the second side are compared with all of the first that may be linked and
     are not yet of one component, likeliest first; a link unites two components, so what
-    is given is a forest over components, however many pairs are alike.
+    is given is a forest over components, however many pairs are alike.  Two items that
+    both stand on both sides meet twice, in two cells or one, and are compared once.
     """
-    cell, g, n, comp, side, sk = _arrays(t, "cell", "g", "n", "comp", "side")
+    cell, g, n, comp, side, minor, sk = _arrays(t, "cell", "g", "n", "comp", "side", "minor")
     payload = t.column("payload") if same else None
     starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
     a, b = [], []
@@ -140,7 +141,7 @@ def _across(t: pa.Table, like: Like, same: Same | None = None) -> tuple[np.ndarr
         root = np.arange(len(names))  # of each component, kept flat
         for x in lo + np.flatnonzero(side[lo:hi] == 1):
             ok, likeness = like(sk[one], sk[x], n[one], n[x])
-            hit = one[ok & (root[number[one - lo]] != root[number[x - lo]])]
+            hit = one[ok & ((minor[one] == 0) | (g[one] < g[x])) & (root[number[one - lo]] != root[number[x - lo]])]
             if not len(hit):
                 continue
             hit = hit[np.lexsort((g[hit], -likeness[np.searchsorted(one, hit)].astype(np.int64)))]
@@ -174,11 +175,11 @@ def _cross_cells(found: DataFrame) -> DataFrame:
     by_comp = found.groupBy("node", "comp").agg(F.count("*").alias("c"))
     node = by_comp.groupBy("node").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
     node = node.select("node", F.col("top.comp").alias("largest"), F.ceil(F.col("all") / CELL).cast("int").alias("p0"), F.ceil((F.col("all") - F.col("top.c")) / CELL).cast("int").alias("p1"))
-    rows = found.join(node, "node")
+    rows = found.join(node, "node").withColumn("minor", (F.col("comp") != F.col("largest")).cast("int"))
     mine = lambda p: F.pmod(F.xxhash64("g", "node"), F.col(p)).cast("int")
     parts = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
     zero = rows.withColumn("i", mine("p0")).withColumn("j", parts("p1")).withColumn("side", F.lit(0))
-    one = rows.where("comp <> largest").withColumn("j", mine("p1")).withColumn("i", parts("p0")).withColumn("side", F.lit(1))
+    one = rows.where("minor = 1").withColumn("j", mine("p1")).withColumn("i", parts("p0")).withColumn("side", F.lit(1))
     return zero.unionByName(one).withColumn("cell", F.xxhash64("node", "i", "j"))
 
 
@@ -212,7 +213,7 @@ def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFra
     if hot.limit(1).count():  # the parts of a split node meet by node: in hash order two alike items may share no cell in any node
         parts = connected_components(pairs).select(F.col("node").alias("g"), F.col("component").alias("comp"))
         apart = written(hot.join(parts, "g", "left").withColumn("comp", F.coalesce("comp", "g")), "apart")
-        pairs = written(pairs.unionByName(_pairs(_cross_cells(apart), ["g", "n", "sk", "comp", "side"], lambda t: _across(t, like))), "pairs")
+        pairs = written(pairs.unionByName(_pairs(_cross_cells(apart), ["g", "n", "sk", "comp", "side", "minor"], lambda t: _across(t, like))), "pairs")
     ids = written(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct(), "ids")
     full = written(payloads(ids), "full")
     edges = written(_confirmed(pairs, full, same), "edges")
@@ -228,5 +229,5 @@ def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFra
     else:
         found = members.select("g", "n", "sk").join(open_.select("g", F.col("group").alias("node"), "comp"), "g").dropDuplicates(["g"])
     found = written(found, "found")
-    more = written(_pairs(_cross_cells(found).join(full, "g"), ["g", "n", "sk", "comp", "side", "payload"], lambda t: _across(t, like, same)), "links")
+    more = written(_pairs(_cross_cells(found).join(full, "g"), ["g", "n", "sk", "comp", "side", "minor", "payload"], lambda t: _across(t, like, same)), "links")
     return comps if not more.limit(1).count() else connected_components(edges.unionByName(more))

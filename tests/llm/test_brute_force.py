@@ -375,7 +375,7 @@ def test_parts_of_a_split_node_meet(spark, monkeypatch):
     from lodewell.llm import linking
 
     monkeypatch.setattr(linking, "CELL", 4)
-    monkeypatch.setattr(lines, "_keys", lambda n: [0])
+    monkeypatch.setattr(lines._Lines, "blocks", common_block(lines._Lines.blocks))
     one = lambda sets, *_: sets.select(F.lit(1).cast("long").alias("node"), "g", F.lit(sets.count()).cast("long").alias("size"))
     monkeypatch.setattr(nearjoin, "_leaves", one)
     rng = random.Random(5)
@@ -426,6 +426,17 @@ def test_within_is_the_edit_distance():
             assert lines.within(a, b, most) == (d <= most)
 
 
+def common_block(whole):
+    """A `blocks` that gives all lines one more, the same for all."""
+
+    def blocks(self):
+        node, row = whole(self)
+        order = np.argsort(np.append(row, self.one), kind="stable")
+        return np.append(node, np.zeros(len(self.one), np.uint64))[order], np.append(row, self.one)[order]
+
+    return blocks
+
+
 def word_votes(hashes):
     return sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64))
 
@@ -447,11 +458,10 @@ def line_facts(form):
         for p in rich:
             halve(p, depth + 1, least, chars)
 
-    if len(form) >= 0.8 * lines.SHORT:
-        halve(hashes, 0, lines.BLOCK, dict(zip(hashes, sizes, strict=True)))
-    for deal in range(lines.DEALS if len(form) <= lines.SHORT else 0):
-        dealt = [int(textvec.mix(np.array([h ^ deal], np.uint64))[0]) if deal else h for h in hashes]
-        halve(dealt, 0, lines.SHORT_BLOCK, dict(zip(dealt, sizes, strict=True)))
+    for deal, (least, lo, hi) in [(0, x) for x in lines.BLOCKS] + [(i, lines.BLOCKS[0]) for i in range(1, lines.DEALS)]:
+        if lo <= len(form) <= hi:
+            dealt = [int(textvec.mix(np.array([h ^ deal], np.uint64))[0]) if deal else h for h in hashes]
+            halve(dealt, 0, least, dict(zip(dealt, sizes, strict=True)))
     run = lines.simhashes(data, np.zeros(len(data), np.int64), 1, lines.RUNS, 256)[0]
     return word_votes(hashes), run, len(form), blocks
 
@@ -495,8 +505,8 @@ def test_blocks_by_hand():
     for _ in range(300):
         form = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(rng.choice([1, 3, 10, 30, 400])))
         p = lines._Lines(pa.array([form + "\n" + form, None, ""]))
-        node, g = p.blocks()
-        assert set(g.tolist()) == set(p.g.tolist()) and len(p.one) == 1
+        node, row = p.blocks()
+        assert set(row.tolist()) == {0} and len(p.one) == 1 and len(p.g) == 2
         want = {int(textvec.mix(np.array([v], np.uint64) ^ textvec.mix(np.array([d], np.uint64)))[0]) for d, v in line_facts(form)[3]}
         assert set(node.tolist()) == want
 
@@ -556,13 +566,7 @@ def test_lines_of_a_common_block_are_found(spark, monkeypatch):
     """Near copies among 4,000 lines that all have a block in common, with cells of any size: a second block finds them."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
-    whole = lines._Lines.blocks
-
-    def with_common(self):
-        node, g = whole(self)
-        return np.append(node, np.zeros(len(self.one), np.uint64)), np.append(g, self.g[self.one])
-
-    monkeypatch.setattr(lines._Lines, "blocks", with_common)
+    monkeypatch.setattr(lines._Lines, "blocks", common_block(lines._Lines.blocks))
     made = [" ".join(word() for _ in range(40)) for _ in range(4000)]
     made += [t[:-1] + ("x" if t[-1] != "x" else "y") for t in made[:300]]
     d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
@@ -577,9 +581,11 @@ def test_blocks_of_several_lines(spark):
     texts = ["\n".join(" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"], k=rng.randint(1, 8))) for _ in range(20)) for _ in range(60)]
     want = collections.defaultdict(set)
     for t in texts:
-        for node, g in zip(*(x.view(np.int64).tolist() for x in lines._Lines(pa.array([t])).blocks()), strict=True):
-            want[node].add(g)
-    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+        p = lines._Lines(pa.array([t]))
+        node, row = p.blocks()
+        for x, g in zip(node.view(np.int64).tolist(), p.g[row].view(np.int64).tolist(), strict=True):
+            want[x].add(g)
+    d = lines.profiles(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, row long, text string").repartition(7))
     for batch in (10_000, 1, 3):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         got = collections.Counter((r.node, r.g) for r in lines._shared(d).collect())
