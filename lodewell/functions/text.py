@@ -1,11 +1,13 @@
-"""Text functions as Column expressions; all run inside the JVM."""
+"""Text functions as Column expressions; all but `packed_lines` run inside the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def squash(c: Column) -> Column:
@@ -51,6 +53,31 @@ def pack_greedily(pieces: Column, most: int, least: int = 0, joint: str = " ") -
     return F.filter(packed, lambda x: F.length(x) >= least)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _packed(pieces: pd.Series, most: pd.Series) -> pd.Series:
+    def pack(row, n):
+        done, parts, size = [], [], 0
+        for p in () if row is None else (p.strip() for p in row if p is not None):
+            if size and size + len(p) + 1 > n:
+                done.append("\n".join(parts))
+                parts, size = [], 0
+            if p:
+                size += len(p) + (1 if parts else 0)
+                parts.append(p)
+        return [*done, "\n".join(parts)] if parts else done or [""]
+
+    return pd.Series([pack(row, n) for row, n in zip(pieces, most, strict=True)])
+
+
+def packed_lines(pieces: Column, most: int = 1800) -> Column:
+    """Trimmed pieces on lines of their own, joined while the result has at most `most` characters; longer pieces stand alone, uncut.
+
+    Blank and null pieces add nothing; without any (or without a list) there is one empty
+    text.  Linear in the pieces (an Arrow pass): a fold would copy what it has for each.
+    """
+    return _packed(pieces, F.lit(most))
+
+
 def half_even(c: Column, digits: int = 0) -> Column:
     """Rounded to `digits` places, halves to the even neighbour."""
     return F.bround(c, digits)

@@ -117,11 +117,12 @@ def crosswalk(c: Column, inverted: bool = False) -> Column:
     return recode(F.lower(F.trim(c)), INVERTED_LEVELS if inverted else LEVELS)
 
 
-def judged_dimensions(sheet: DataFrame) -> dict[str, Column]:
-    """Each dimension as the mean level of its fields that the sheet has and the rater filled; null without any."""
+def judged_dimensions(sheet: DataFrame, how: str = "mean") -> dict[str, Column]:
+    """Each dimension as the mean, min or max level of its fields that the sheet has and the rater filled; null without any."""
+    over = {"mean": lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a).cast("double")), "min": F.array_min, "max": F.array_max}[how]
     found = {}
     for name, fields in DIMENSIONS.items():
         levels = [crosswalk(F.col(f), inverted).cast("double") for f, inverted in fields.items() if f in sheet.columns]
         given = F.array_compact(F.array(*levels)) if levels else F.array().cast("array<double>")
-        found[name] = F.try_divide(F.aggregate(given, F.lit(0.0), lambda a, x: a + x), F.size(given).cast("double"))
+        found[name] = over(given)
     return found

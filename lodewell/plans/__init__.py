@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-_FAMILIES = ("retrieval", "evidence", "reports", "statistics", "guards", "casework", "files", "streams")
+_FAMILIES = ("retrieval", "evidence", "reports", "statistics", "guards", "casework", "cases", "files", "streams")
 
 
 def all_queries() -> dict[str, tuple[Callable, str | None]]:

@@ -35,3 +35,13 @@ q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regex
 sc AS (SELECT q.query_id, post.doc_id, round(sum(q.qtf * idf.idf * post.tf * 2.5 / (post.tf + 1.5 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))), 6) AS score
   FROM q JOIN idf USING (term) JOIN post USING (term) JOIN dl ON dl.doc_id = post.doc_id, st GROUP BY 1, 2),
 bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
+
+
+def exact_interval(source: str, keys: str, steps: int = 45) -> str:
+    """CTE `ci` (keys, k, n, lo, hi) for WITH RECURSIVE: the exact 95 % interval of k out of n, by halving on binomial tails."""
+    tail = lambda over, at: f"list_sum(list_transform(range({over}), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({at}) + (n - i) * ln(1 - {at}))))"
+    return f"""
+bis AS (SELECT {keys}, k, n, CAST(0 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS d, 0 AS step FROM {source}
+  UNION ALL SELECT {keys}, k, n, CASE WHEN up > 0.025 THEN a ELSE m END, CASE WHEN up > 0.025 THEN m ELSE b END, CASE WHEN low > 0.025 THEN w ELSE c END, CASE WHEN low > 0.025 THEN d ELSE w END, step + 1
+  FROM (SELECT *, {tail("k, n + 1", "m")} AS up, {tail("0, k + 1", "w")} AS low FROM (SELECT *, (a + b) / 2 AS m, (c + d) / 2 AS w FROM bis WHERE step < {steps}))),
+ci AS (SELECT {keys}, k, n, CASE WHEN k = 0 THEN 0 ELSE (a + b) / 2 END AS lo, CASE WHEN k = n THEN 1 ELSE (c + d) / 2 END AS hi FROM bis WHERE step = {steps})"""

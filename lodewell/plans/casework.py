@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scoring import batch_scorer
 from ..operators import agreement as A, evidence as E, guard as G, reports as P, retrieval as R, sweep
-from .base import BM25, table, topics
+from .base import BM25, exact_interval, table, topics
 from .evidence import _CASES, _CHUNKS, _ROWS, _SIGNALS, _SWEEP, _cases, _passages, _rows, _sweep
 from .guards import _ANS, _NARROW, _WORDS, _answers
 from .retrieval import QUERIES as _RETRIEVAL
@@ -234,7 +234,7 @@ i AS (SELECT word, unnest(range(1, length(word) - 4)) AS i FROM d), sub AS (SELE
 h AS (SELECT sub.word, o.doc_id FROM sub JOIN o ON o.w = sub.part),
 x AS (SELECT DISTINCT c FROM k JOIN h ON h.word = k.word AND h.doc_id <> mine)
 SELECT q.c AS "case", narrow, narrow OR x.c IS NOT NULL AS wide FROM q LEFT JOIN x ON x.c = q.c"""),
-    "leak_intervals": (leak_intervals, None),
+    "leak_intervals": (leak_intervals, f"WITH RECURSIVE {_ANS}, g AS (SELECT source, count(*) FILTER ({_NARROW} > 0) AS k, count(*) AS n FROM a GROUP BY 1)," + exact_interval("g", "source") + " SELECT source, n, round(k / n, 4) AS narrow_rate, round(lo, 4) AS narrow_lo, round(hi, 4) AS narrow_hi FROM ci"),
     "judge_consensus": (judge_consensus, """WITH o AS (SELECT CAST(o_orderkey % 3 = 0 AS INT) AS a, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 2 = 0 AS INT) END AS b, 'T' || (o_orderkey % 7) AS l FROM orders),
 c AS (SELECT greatest(a, b) AS either, CASE WHEN b IS NULL THEN a ELSE least(a, b) END AS "both", CAST(a = b AS INT) AS agree, l FROM o)
 SELECT either, "both", agree, CASE WHEN "both" = 0 THEN 'none' WHEN l IN ('T1', 'T2', 'T3', 'T4') THEN l ELSE 'T1' END AS label, count(*) AS n FROM c GROUP BY 1, 2, 3, 4"""),

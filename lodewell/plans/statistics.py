@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import t_two_sided, with_interval
 from ..operators import agreement as A, calibration as C
 from ..operators.resample import MODULUS, MULTIPLIERS, REACH, bootstrap
-from .base import table
+from .base import exact_interval, table
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +152,7 @@ QUERIES = {
     "ece_bins": (ece_bins, "WITH b AS (SELECT " + " + ".join(f"CAST(p >= CAST({e!r} AS DOUBLE) AS INT)" for e in C._EDGES) + " AS bin, p, y FROM (SELECT l_discount * 10 AS p, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem)) SELECT CAST(r.bin AS BIGINT) AS bin, count(b.p) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y, round(abs(avg(p) - avg(y)), 6) AS gap FROM (SELECT unnest(range(10)) AS bin) r LEFT JOIN b ON b.bin = r.bin GROUP BY 1"),
     "ece": (ece, "WITH b AS (SELECT " + " + ".join(f"CAST(p >= CAST({e!r} AS DOUBLE) AS INT)" for e in C._EDGES) + " AS bin, p, y FROM (SELECT l_discount * 10 AS p, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem)), g AS (SELECT count(*) AS n, round(abs(avg(p) - avg(y)), 6) AS gap FROM b GROUP BY bin) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * gap) / sum(n), 5) AS ece FROM g"),
     "brier_skill": (brier_skill, "WITH s AS (SELECT count(*) AS n, avg(pow(l_discount * 10 - CAST(l_returnflag = 'R' AS INT), 2)) AS br, avg(CAST(l_returnflag = 'R' AS INT)) AS m FROM lineitem) SELECT n, round(br, 6) AS brier, round(m * (1 - m), 6) AS naive, round(1 - br / (m * (1 - m)), 6) AS skill FROM s"),
-    "clopper_pearson": (clopper_pearson, None),
+    "clopper_pearson": (clopper_pearson, "WITH RECURSIVE g AS (SELECT l_returnflag, count(*) FILTER (l_quantity > 40) AS k, count(*) AS n FROM lineitem GROUP BY 1)," + exact_interval("g", "l_returnflag") + " SELECT l_returnflag, k, n, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci"),
     "logreg_calibration": (logreg_calibration, None),
     "fold_scores": (fold_scores, None),
     "p99": (p99, "SELECT event_type, quantile_disc(value, 0.99) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY 1"),
