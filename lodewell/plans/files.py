@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus
+from ..operators import corpus, retrieval as R
 from ..shared import shared_dir
-from ..sources import collections, readers, sinks
+from ..sources import collections, readers, sinks, vectors
 from .base import QRELS, qrels, table
+from .retrieval import QUERIES as _RETRIEVAL
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -105,6 +106,31 @@ def collection_judged(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(judged, "query_id", "left").select("query_id", F.length("text").cast("long").alias("n_chars"), "judged", "relevant")
 
 
+def vector_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact dense search over vectors and ids written as NumPy files and read again."""
+    at = _place(spark, "vectors")
+    vectors.register(spark)
+    table(spark, sf, "embeddings").select("vec_id", "embedding").write.format("npy-vectors").mode("append").save(at)
+    e = spark.read.format("npy-vectors").load(at)
+    return R.dense_top(e, e.where("vec_id % 50 = 0"), 20).select("query_id", "doc_id", "score")
+
+
+def vector_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of written vectors, of which no number is read, by their last digit."""
+    at = _place(spark, "vectors")
+    vectors.register(spark)
+    table(spark, sf, "embeddings").write.format("npy-vectors").mode("append").save(at)
+    ids = spark.read.format("npy-vectors").option("columns", "vec_id").load(at)
+    return ids.groupBy((F.col("vec_id") % 10).alias("digit")).agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+
+
+def first_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five nations as one JSON document of records."""
+    at = _place(spark, "sink")
+    sinks.document(_nations(spark, sf).orderBy("n_nationkey").limit(5), at)
+    return _typed(readers.json_document(spark, at, _DDL))
+
+
 def append_log(spark: SparkSession, sf: str) -> DataFrame:
     """An append log resumed once: the second run adds only what the first had not done."""
     at = _place(spark, "log")
@@ -173,6 +199,9 @@ def bounded_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 _N = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
 QUERIES = {
+    "vector_index": (vector_index, _RETRIEVAL["knn_exact"][1]),
+    "vector_ids": (vector_ids, "SELECT vec_id % 10 AS digit, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings GROUP BY 1"),
+    "first_records": (first_records, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation ORDER BY n_nationkey LIMIT 5"),
     "parquet_projected": (parquet_projected, "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1"),
     "csv_inferred": (csv_inferred, _N.replace("n_name,", "n_name || ', \"quoted\"' AS n_name,")),
     "csv_strings": (csv_strings, "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE '' END AS n_regionkey FROM nation"),

@@ -4,12 +4,13 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodewell.operators import calibration as C
 from lodewell.plans import files
-from lodewell.sources import collections, readers
+from lodewell.sources import collections, readers, vectors
 from lodewell.streaming import logs
 
 
@@ -131,3 +132,47 @@ def test_json_of_a_record_file(spark, tmp_path):
     d = spark.createDataFrame([(1, (2, "x"), None)], "id int, s struct<a int, b string>, n double")
     d.write.format("record-files").options(path=f"file://{tmp_path}/r", key="id").mode("append").save()
     assert json.loads((tmp_path / "r" / "1.json").read_text()) == {"id": 1, "s": {"a": 2, "b": "x"}, "n": None}
+
+
+def test_vectors_come_back_from_stretches(spark, tmp_path, monkeypatch):
+    vectors.register(spark)
+    at = f"file://{tmp_path}/v"
+    df = spark.range(23).select((F.col("id") - 3).alias("k"), F.array(F.col("id") / 2, F.lit(-1.0)).cast("array<float>").alias("v"), F.lit("x").alias("note")).repartition(3)
+    df.write.format("npy-vectors").option("key", "k").option("vector", "v").mode("overwrite").save(at)
+    got = {r["vec_id"]: list(r["embedding"]) for r in spark.read.format("npy-vectors").load(at).collect()}
+    assert got == {i - 3: [i / 2, -1.0] for i in range(23)}
+    assert spark.read.format("npy-vectors").option("columns", "vec_id").load(at).agg(F.sum("vec_id")).first()[0] == sum(range(23)) - 69
+    monkeypatch.setattr(vectors, "SPLIT", 24)
+    monkeypatch.setattr(vectors, "BATCH", 2)
+    reader = vectors.VectorReader(vectors.WHOLE, at)
+    parts = reader.partitions()
+    assert all(p.stop - p.start <= 3 for p in parts) and sum(p.stop - p.start for p in parts) == 23
+    assert sorted(i for p in parts for b in reader.read(p) for i in b.column("vec_id").to_pylist()) == list(range(-3, 20))
+
+
+def test_vectors_of_other_tools_and_faults(spark, tmp_path):
+    vectors.register(spark)
+    read = lambda: spark.read.format("npy-vectors").load(f"file://{tmp_path}")
+    np.save(tmp_path / "a.ids.npy", np.arange(4, dtype=np.int32))
+    np.save(tmp_path / "a.vectors.npy", np.ones((4, 3), dtype=np.float64))
+    np.save(tmp_path / "_left.vectors.npy", np.ones((9, 3)))  # a task's that was lost
+    assert [(r["vec_id"], list(r["embedding"])) for r in read().orderBy("vec_id").collect()] == [(i, [1.0] * 3) for i in range(4)]
+    np.save(tmp_path / "a.ids.npy", np.arange(5))
+    with pytest.raises(Exception, match="shape"):
+        read().count()
+
+
+def test_vectors_abort_leaves_nothing(spark, tmp_path):
+    vectors.register(spark)
+    w = vectors.VectorWriter(f"file://{tmp_path}/w", "k", "v")
+    batch = lambda *v: pa.RecordBatch.from_pydict({"k": list(range(len(v))), "v": list(v)}, schema=pa.schema([("k", pa.int64()), ("v", pa.list_(pa.float32()))]))
+    done = w.write(iter([batch([1.0, 2.0], [3.0, 4.0]), batch()]))
+    assert vectors.VectorReader(vectors.WHOLE, f"file://{tmp_path}/w").partitions() == []
+    w.abort([done, None])
+    assert list((tmp_path / "w").iterdir()) == []
+    for bad in ([None], [[1.0], [1.0, 2.0]], [[None]]):
+        with pytest.raises(ValueError):
+            w.write(iter([batch(*bad)]))
+    empty = f"file://{tmp_path}/e"
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.format("npy-vectors").mode("append").save(empty)
+    assert spark.read.format("npy-vectors").load(empty).count() == 0
