@@ -94,7 +94,9 @@ class RetrievalReader(DataSourceReader):
         query, _, doc, rel = text.split()
         return {"query_id": int(query), "doc_id": int(doc), "rel": int(rel)}
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks once where there are no stretches
+            return
         held: list[dict] = []
         for line in self._lines(partition):
             if line.strip():

@@ -80,7 +80,9 @@ class VectorReader(DataSourceReader):
             found += [Rows(stem, at, min(shape[0], at + step)) for at in range(0, shape[0], step)]
         return found
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks once where there are no stretches
+            return
         system, _ = fs.FileSystem.from_uri(self.path)
         for at in range(partition.start, partition.stop, BATCH):
             end = min(partition.stop, at + BATCH)

@@ -176,3 +176,10 @@ def test_vectors_abort_leaves_nothing(spark, tmp_path):
     empty = f"file://{tmp_path}/e"
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.format("npy-vectors").mode("append").save(empty)
     assert spark.read.format("npy-vectors").load(empty).count() == 0
+
+
+def test_empty_parts_of_a_collection(spark, tmp_path):
+    collections.register(spark)
+    (tmp_path / "queries").mkdir()
+    (tmp_path / "queries" / "none.tsv").write_text("")
+    assert spark.read.format("retrieval").option("part", "queries").load(f"file://{tmp_path}").count() == 0
