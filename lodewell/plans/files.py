@@ -170,8 +170,9 @@ def several_outputs(spark: SparkSession, sf: str) -> DataFrame:
 def configuration(spark: SparkSession, sf: str) -> DataFrame:
     """Orders under a bound that a written configuration sets, found behind a path that doesn't exist."""
     at = _place(spark, "config")
-    highest = table(spark, sf, "orders").agg(F.max("o_totalprice").cast("double")).first()[0] or 0.0
-    sinks.summary({"least": round(highest / 2, 2), "name": "half"}, at, spark)
+    half = F.max("o_totalprice").cast("double") / 2
+    least = table(spark, sf, "orders").agg(F.round(half * 100) / 100).first()[0] or 0.0  # hundredths that end in a half go up, as in SQL
+    sinks.summary({"least": least, "name": "half"}, at, spark)
     c = readers.config(spark, readers.first_existing(spark, [at + "-missing", at]))
     return table(spark, sf, "orders").where(F.col("o_totalprice") >= c["least"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.lit(c["name"]).alias("name"))
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -81,6 +82,16 @@ def test_configuration_bounds_orders(spark):
     assert got == {r["o_orderstatus"]: r["count"] for r in o.where(F.col("o_totalprice") >= half).groupBy("o_orderstatus").count().collect()}
 
 
+@pytest.mark.parametrize("highest", [499900.05, 499900.11, 499900.03, -3.05, None])
+def test_configuration_rounds_halves_as_its_sql(spark, tmp_path, highest):
+    """Half of an odd number of cents lies between two bounds; orders at either tell which was taken."""
+    prices = [None] if highest is None else [highest, *(round(highest / 2 + d / 1000, 2) for d in (-15, -5, 5, 15) if highest > 0)]
+    spark.createDataFrame([(i, "O", x) for i, x in enumerate(prices)], "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    query, sql = files.QUERIES["configuration"]
+    want = duckdb.sql(sql.replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
+    assert [(r.o_orderstatus, r.n, r.name) for r in query(spark, str(tmp_path)).collect()] == want
+
+
 def _run(spark, at, rows, **options):
     spark.createDataFrame(rows, "user long, event long, what string, ts timestamp_ntz").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(f"{at}/log")
     stream = logs.log_stream(spark, f"{at}/log", "user long, event long, what string, ts timestamp")
