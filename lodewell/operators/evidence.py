@@ -67,11 +67,17 @@ def decision(signals: DataFrame, masks: Mapping[str, Column]) -> DataFrame:
 
 
 def single_group(rows: DataFrame, case: str = "query_id", group: str = "doc_id", rank: str = "rank", least_n: int = 3, least_share: float = 0.55, keep: int = 6) -> DataFrame:
-    """Per case one group's rows: that with the largest share of 1/rank; abstains if it is weak and not alone."""
-    per = rows.groupBy(case, group).agg(F.sum(1.0 / F.col(rank)).alias("weight"), F.count("*").alias("n"), F.min(rank).alias("best_rank"))
+    """Per case one group's rows: that with the largest share of 1/rank; abstains if it is weak and not alone.
+
+    Weights are added up in order of rank, totals in order of the groups, so that the rows' own order decides nothing.
+    """
+    upto = Window.partitionBy(case, group).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = rows.withColumn("_weight", F.sum(1.0 / F.col(rank)).over(upto))
+    per = added.groupBy(case, group).agg(F.max("_weight").alias("weight"), F.count("*").alias("n"), F.min(rank).alias("best_rank"))
     total = Window.partitionBy(case)
     order = total.orderBy(F.desc("weight"), F.desc("n"), F.asc("best_rank"), F.asc(group))
-    top = per.withColumns({"share": F.col("weight") / F.sum("weight").over(total), "n_groups": F.count("*").over(total), "_rn": F.row_number().over(order)}).where("_rn = 1")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = per.withColumns({"share": F.col("weight") / F.sum("weight").over(whole), "n_groups": F.count("*").over(total), "_rn": F.row_number().over(order)}).where("_rn = 1")
     weak = (F.col("n") < least_n) | (F.col("share") < least_share)
     return top.select(case, F.col(group).alias("selected"), "share", "n", "n_groups", F.when(weak & (F.col("n_groups") > 1), "abstain").otherwise("accept").alias("status"), F.least("n", F.lit(keep)).alias("n_kept"))
 

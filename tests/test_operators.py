@@ -99,6 +99,17 @@ def test_signals_of_single_group_and_empty_pool(spark):
     assert (got[2].dominance, got[2].best_rank, got[2].n_groups, got[2].selected) == (0, 999, 0, None)
 
 
+def test_single_group_is_the_same_in_any_order_of_rows(spark):
+    """1/2 + 1/3 + 1/6 is 1 or a little less, by the order of adding; another group has 1/1."""
+    rows = [(1, 7, 2), (1, 7, 3), (1, 7, 6), (1, 8, 1)]
+    got = []
+    for order in ((0, 1, 2, 3), (2, 1, 0, 3), (3, 2, 0, 1)):
+        df = spark.createDataFrame([rows[i] for i in order], "query_id long, doc_id long, rank int").coalesce(1)
+        got.append([tuple(r) for r in E.single_group(df).collect()])
+    assert got[0] == got[1] == got[2]
+    assert got[0][0][1] == 8 and got[0][0][3:] == (1, 2, "abstain", 1)
+
+
 def test_pareto_keeps_ties(spark):
     pts = spark.createDataFrame([(1, 0.5, 0.1), (2, 0.5, 0.1), (3, 0.4, 0.1), (4, 0.6, 0.2), (5, 0.6, 0.3)], "i int, f1 double, bad double")
     assert sorted(r.i for r in sweep.pareto(pts, "f1", "bad").collect()) == [1, 2, 4]
