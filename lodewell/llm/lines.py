@@ -39,7 +39,7 @@ DEPTH = 12
 SIFT, NEAR = 21, 99
 #: (characters of a run, buckets that its counts are hashed to, weight) of the longer SimHash.
 RUNS = ((8, 512, 1.0),)
-#: Lines of a node up to which all are compared; the lines of a larger one meet by two blocks at once.
+#: Lines of a node up to which one task compares them; those of a larger one are dealt over cells of about so many.
 CELL = 1 << 15
 #: Words, or counts, that are held at a time, a processor's cache full.
 STEP = 1 << 18
@@ -308,15 +308,15 @@ def partnered(node: np.ndarray, sim: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sifted(rows: DataFrame) -> DataFrame:
-    """(node, g) of rows(node, g, n, sim) with a close one in their node."""
+    """(node, g) of rows(cell, node, g, n, sim) with a close one in their cell, a part of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _gathered(batches, "node"):
-            node, sim, n = (t.column(c).to_numpy() for c in ("node", "sim", "n"))
-            at = pa.array(np.flatnonzero(partnered(node, sim, n)))
+        for t in _gathered(batches, "cell"):
+            cell, sim, n = (t.column(c).to_numpy() for c in ("cell", "sim", "n"))
+            at = pa.array(np.flatnonzero(partnered(cell, sim, n)))
             yield from t.select(["node", "g"]).take(at).combine_chunks().to_batches()
 
-    return rows.select("node", "g", "n", "sim").repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, g long")
+    return rows.select("cell", "node", "g", "n", "sim").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "node long, g long")
 
 
 def _large(rows: DataFrame, most: int) -> DataFrame | None:
@@ -325,30 +325,37 @@ def _large(rows: DataFrame, most: int) -> DataFrame | None:
     return large if large.limit(1).count() else None
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows(node, g, n, sim) of large nodes over cells of about CELL rows; any two that can be close share one.
+
+    Only lines of like length can be close, so a node falls into classes of length, of
+    which each meets itself and the next; a class is dealt over as many parts as it
+    takes, and every part meets every other.
+    """
+    # classes are a little wider than the ratio of lengths, so close lines are at most one apart
+    k = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / SIMILARITY) + 1e-3))
+    near = rows.withColumn("k", F.explode(F.array(k, k + 1)))
+    parts = near.groupBy("node", "k").agg(F.ceil(2 * F.count("*") / F.lit(CELL)).cast("int").alias("parts"))
+    near = near.join(parts, ["node", "k"]).withColumn("mine", F.pmod(F.xxhash64("g", "node"), F.col("parts")).cast("int"))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return near.withColumn("cell", F.xxhash64("node", "k", F.least("mine", "other"), F.greatest("mine", "other")))
+
+
 def _candidates(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(node, g) of the lines that have a close one in a node, under each such node.
 
-    A block of very common words may be many lines'.  Lines of such a node meet under it
-    together with each other block that they share with some line, and only where
-    that is as large again (they are alike then, or very many) go on without a sift.
+    A block of very common words may be many lines': the lines of such a node meet in
+    cells of bounded size, all that can be close.
     """
     rows = written(_shared(lines), "shared")
-    out = []
+    facts = distinct.select("g", "n", "sim")
     large = _large(rows, CELL)
-    if large is not None:
-        marked = only_these(rows, large, "node", "left")
-        other = rows.select(F.col("node").alias("other"), "g")
-        twice = marked.where("large").select("node", "g").join(other, "g").where("node <> other")
-        twice = twice.select(F.xxhash64(F.least("node", "other"), F.greatest("node", "other")).alias("node"), "g").distinct()
-        rows = written(marked.where("large IS NULL").select("node", "g").unionByName(twice), "shared")
-        large = _large(rows, CELL)
-        if large is not None:
-            marked = only_these(rows, large, "node", "left")
-            out.append(marked.where("large").select("node", "g"))
-            rows = marked.where("large IS NULL").select("node", "g")
-    found = _sifted(rows.join(distinct.select("g", "n", "sim"), "g"))
-    for x in out:
-        found = found.unionByName(x)
+    if large is None:
+        found = _sifted(rows.join(facts, "g").withColumn("cell", F.col("node")))
+    else:
+        marked = only_these(rows, large, "node", "left").join(facts, "g")
+        found = _sifted(marked.where("large IS NULL").withColumn("cell", F.col("node")))
+        found = found.unionByName(_sifted(_dealt(marked.where("large"))).distinct())
     found = written(found, "sifted")
     # near copies share most of their blocks: of nodes with the same lines one is enough
     same = found.groupBy("node").agg(F.sum(F.xxhash64("g").cast("decimal(38,0)")).alias("s"), F.count("*").alias("c"))

@@ -575,6 +575,29 @@ def test_lines_of_a_common_block_are_found(spark, monkeypatch):
         assert {r.doc_id for r in lines.dedup_lines(d).where("n_removed > 0").collect()} == set(range(4000, 4300))
 
 
+def test_lines_that_share_one_large_block_only_are_found(spark, monkeypatch):
+    """Nodes of any size, among lines of many lengths: no pair needs a second block."""
+    rng = random.Random(12)
+    made = []
+    for g in range(600):
+        sim = made[rng.randrange(g)][2] if g and rng.random() < 0.4 else rng.getrandbits(64) - (1 << 63)
+        for _ in range(rng.choice([0, 5, 21, 22])):
+            sim ^= 1 << rng.randrange(63)
+        made.append((g, rng.choice([1, 4, 5, 8, 10, 12, 15, 80, 100, 125, rng.randint(20, 400)]), sim))
+    node = {g: 7 if g < 500 else 8 for g, _, _ in made}
+    want = set()
+    for g, n, sim in made:
+        for h, m, other in made[:g]:
+            if node[g] == node[h] and ((sim ^ other) & (1 << 64) - 1).bit_count() <= lines.SIFT and min(n, m) >= 0.8 * max(n, m):
+                want |= {(node[g], g), (node[h], h)}
+    assert {x for x, _ in want} == {7, 8} and 100 < len(want) < 500
+    distinct = spark.createDataFrame(made, "g long, n long, sim long")
+    shared = distinct.withColumn("nodes", F.array(F.when(F.col("g") < 500, 7).otherwise(8).cast("long"))).repartition(3)
+    for cell in (lines.CELL, 200, 16):
+        monkeypatch.setattr(lines, "CELL", cell)
+        assert sorted(tuple(r) for r in lines._candidates(shared, distinct).select("node", "g").collect()) == sorted(want)
+
+
 def test_blocks_of_several_lines(spark):
     """Rows of one node that come in many batches, with repeats."""
     rng = random.Random(1)
