@@ -31,6 +31,11 @@ BROADCAST_TERMS = 200_000
 #: Hits (a topic's term in a document) from which on contenders are looked for first; fewer are scored outright,
 #: in one pass that costs less than the passes that find bounds.  Either way gives the same rows.
 PRUNE_FROM = 50_000_000
+#: Hits that one task scores.
+HITS_OF_A_TASK = 2_000_000
+#: The share of hits that terms left by the bounds may have; with more, meeting them and then scoring what they
+#: find in full costs more than scoring all outright.  Either way gives the same rows.
+PRUNE_TO = 0.1
 #: Documents, in multiples of k, whose full scores give a query's first lower bound.
 SEEDS = 4
 #: Scores are rounded to six places, so bounds are slackened by more than that.
@@ -90,14 +95,18 @@ class _Scoring:
         self.few = ix.few
         self.asks = ix.asked.where(F.col("field") == field).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "n")
         self.rows = ix.rows.where(F.col("field") == field).select("doc_id", "dl", "entries")
-        self.parts = self.rows.select("doc_id", "dl", F.explode("entries").alias("e")).select("doc_id", F.col("e.term").alias("term"), self.part(F.col("e.tf"), F.col("dl")).alias("part"))
+        self.least, self.n_hits = self.asks.agg(F.min("w"), F.sum("n")).first()
+        # dealt by hits, not left to adaptive execution, which goes by bytes: few bytes of postings give very many hits
+        tasks = max(1, -(-(self.n_hits or 0) // HITS_OF_A_TASK))
+        rows = self.rows.repartition(tasks, "doc_id")
+        self.parts = rows.select("doc_id", "dl", F.explode("entries").alias("e")).select("doc_id", F.col("e.term").alias("term"), self.part(F.col("e.tf"), F.col("dl")).alias("part"))
 
     def near(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.few else df
 
     def hits(self, asks: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of every document with one of the asked terms, summed where a document's postings are."""
-        met = self.parts.repartition("doc_id").join(self.near(asks), "term")
+        met = self.parts.join(self.near(asks), "term")
         return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
     def full(self, pairs: DataFrame) -> DataFrame:
@@ -106,14 +115,13 @@ class _Scoring:
         met = own.select("query_id", "doc_id", F.col("e.term").alias("term"), self.part(F.col("e.tf"), F.col("dl")).alias("part")).join(self.near(self.asks), ["query_id", "term"])
         return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
-    def pruned(self, k: int) -> tuple[DataFrame, DataFrame]:
-        """(pairs that may reach their query's k best, weights of the terms that had to be met to find them).
+    def bounds(self, k: int) -> DataFrame:
+        """(query_id, term, w, n, most, reach, out): the asked terms, and which of them needn't be met to find the k best.
 
         A term adds at most its weight times its greatest part.  The full scores of a
         few documents with a query's rarest terms give a score that k documents reach.
         Terms whose bounds together stay below it are left out of the search: a
-        document with no other term can't be among the k best.  Of those found, such
-        stay as reach it with the bounds of the terms left out.
+        document with no other term can't be among the k best.
         """
         top = self.parts.groupBy("term").agg(F.max("part").alias("top"))
         asks = written(self.asks.join(top, "term").withColumn("most", F.col("w") * F.col("top")), "bounds")
@@ -124,7 +132,15 @@ class _Scoring:
         reach = known.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("reach"))
         low = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         split = asks.join(reach, "query_id", "left").withColumn("_sum", F.sum("most").over(low))
-        split = written(split.withColumn("out", F.coalesce(F.col("_sum") < F.col("reach"), F.lit(False))), "split")
+        return written(split.withColumn("out", F.coalesce(F.col("_sum") < F.col("reach"), F.lit(False))), "split")
+
+    def pruned(self, k: int, split: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(pairs that may reach their query's k best, weights of the terms that had to be met to find them).
+
+        Of the documents found by the terms that `bounds` leaves, such stay as reach
+        the known score with the bounds of the terms left out.
+        """
+        split = self.bounds(k) if split is None else split
         need = split.where("NOT out").select("query_id", "term", "w")
         rest = split.groupBy("query_id").agg(F.coalesce(F.first("reach"), F.lit(0.0)).alias("reach"), F.sum(F.when(F.col("out"), F.col("most")).otherwise(0.0)).alias("rest"))
         found = self.hits(need).join(self.near(rest), "query_id")
@@ -134,14 +150,17 @@ class _Scoring:
 def search(ix: Index, k: int | None = None, field: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) of documents that share a term with the topic in this field; the k best if given.
 
-    With k and `PRUNE_FROM` hits only contenders are scored in full (`_Scoring.pruned`);
-    the rows are those of the full ranking.  Ties go to the smaller document id.
+    With k and `PRUNE_FROM` hits only contenders are scored in full (`_Scoring.pruned`),
+    unless the bounds leave too many hits (`PRUNE_TO`); the rows are those of the full ranking.  Ties go to the smaller document id.
     """
     scoring = _Scoring(ix, field, k1, b)
-    least, hits = scoring.asks.agg(F.min("w"), F.sum("n")).first()
+    least, hits = scoring.least, scoring.n_hits
     # bounds need weights that never lower a score
     outright = k is None or hits is None or hits < PRUNE_FROM or least < 0
-    scores = scoring.hits(scoring.asks) if outright else scoring.full(scoring.pruned(k)[0])
+    if not outright:
+        split = scoring.bounds(k)
+        outright = (split.where("NOT out").agg(F.sum("n")).first()[0] or 0) > PRUNE_TO * hits
+    scores = scoring.hits(scoring.asks) if outright else scoring.full(scoring.pruned(k, split)[0])
     scores = scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
     return ranked(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 

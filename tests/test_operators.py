@@ -318,6 +318,19 @@ def test_pruning_scores_a_tenth_of_the_hits(spark):
     assert 10 * scoring.hits(need).count() < everything and 10 * pairs.count() < everything
 
 
+def test_search_scores_outright_where_bounds_leave_most_hits(spark, monkeypatch):
+    """A topic of words of like weight: contenders would be nearly all documents; scoring is dealt by hits."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(12) if (i >> j % 6) & 1 or i % 12 == j)) for i in range(64)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(f"w{j}" for j in range(12)))], "query_id long, text string")
+    ix = retrieval.index(docs, asked, epsilon=-0.25)
+    want = [tuple(r) for r in retrieval.search(ix).where("rank <= 5").orderBy("rank").collect()]
+    monkeypatch.setattr(retrieval, "PRUNE_FROM", 0)
+    monkeypatch.setattr(retrieval._Scoring, "full", lambda self, pairs: self.hits(self.asks) if "score" in pairs.columns else 1 / 0)
+    assert [tuple(r) for r in retrieval.search(ix, 5).orderBy("rank").collect()] == want and len(want) == 5
+    monkeypatch.setattr(retrieval, "HITS_OF_A_TASK", 50)
+    assert retrieval._Scoring(ix, "text", 1.5, 0.75).parts.rdd.getNumPartitions() > 1
+
+
 def test_fields_have_their_own_statistics(spark):
     d = spark.createDataFrame([(1, "a b", "b"), (2, "b c", "c c"), (3, "c", None)], "doc_id long, text string, title string")
     q = spark.createDataFrame([(1, "a c")], "query_id long, text string")
