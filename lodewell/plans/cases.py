@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.intervals import clamp
-from ..operators import agreement as A, cases as K, evidence as E, guard as G, retrieval as R
+from ..operators import agreement as A, cases as K, corpus, evidence as E, guard as G, retrieval as R
+from ..shared import written
 from .base import BM25, exact_interval, qrels, table, topics
 from .casework import _STATUS, _TERMS
 from .evidence import _CHUNKS, _SENT, _SQ, ANCHORS, PHRASES, _cases, _passages, _rows
@@ -18,17 +19,22 @@ HEAD, NOTHING = "### Other document", "(no others were found)"
 TEMPLATES = {"direct": "May I take part?", "unsure": "What should I ask first?"}
 
 
-def _sections(spark: SparkSession, sf: str) -> DataFrame:
+def _sections(docs: DataFrame) -> DataFrame:
     """Passages with sections by their place in the document."""
     i = F.col("i")
-    return _passages(spark, sf).withColumn("section", F.when(i == 0, "brief_summary").when(i % 3 == 1, "eligibility").when(i % 3 == 2, "methods").otherwise("primary_outcome"))
+    return corpus.passages(docs, ["text"]).withColumn("section", F.when(i == 0, "brief_summary").when(i % 3 == 1, "eligibility").when(i % 3 == 2, "methods").otherwise("primary_outcome"))
 
 
 def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(selected, candidates, passages): the first document of each topic is selected; even topics have scored passages."""
-    asked, p = topics(spark, sf), _sections(spark, sf)
-    run = R.bm25(table(spark, sf, "documents"), asked, 20)
-    scored = R.passage_search(run.where("query_id % 2 = 0"), p, asked).select("query_id", "doc_id", "passage_id", "score")
+    """(selected, candidates, passages): the first document of each topic is selected; even topics have scored passages.
+
+    Passages are asked for of documents of the run only, so no others are cut into them;
+    what is used several times is written once.
+    """
+    asked, docs = topics(spark, sf), table(spark, sf, "documents")
+    run = written(R.bm25(docs, asked, 20), "run")
+    p = written(_sections(docs.join(run.select("doc_id").distinct(), "doc_id", "left_semi")), "passages")
+    scored = written(R.passage_search(run.where("query_id % 2 = 0"), p, asked).select("query_id", "doc_id", "passage_id", "score"), "scored")
     selected = run.where("rank = 1").select("query_id", F.col("doc_id").alias("selected"))
     return selected, K.candidates(selected, scored.join(p.select("passage_id", "passage_text"), "passage_id"), run, p), p
 
