@@ -128,6 +128,125 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: Nodes of trees that are worked on at a time, a processor's cache full.
+STEP = 1 << 17
+#: Bytes of pre-tokens up to which many are merged at once; longer ones are merged one by one.
+SHORT = 128
+
+
+class Joins:
+    """The rank of a pair of tokens joined, for arrays of pairs: a sorted table of all pairs that make a token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        get = ranks.get
+        found = [(a << 32 | b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None]
+        found.sort()
+        self.keys = np.array([k for k, _ in found] + [-1], np.int64)  # the last is no pair
+        self.ranks = np.array([r for _, r in found] + [_NONE], np.int64)
+        self.bits = max(1, (2 * len(found)).bit_length())
+        # slots of a hash table with linear probing, filled in rounds
+        self.slots = np.full(1 << self.bits, len(found))
+        left, at = np.arange(len(found)), self._slot(self.keys[:-1])
+        self.probes = 0
+        while len(left):
+            free = self.slots[at] == len(found)
+            self.slots[at[free]] = left[free]  # of several that want a slot, the last has it
+            stay = self.slots[at] != left
+            left, at = left[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+        self.bytes = np.array([get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << 32 | b
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        out = self.ranks[at]
+        open_ = np.flatnonzero((self.keys[at] != keys) & (out != _NONE))
+        out[open_] = _NONE
+        for _ in range(1, self.probes):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            at = self.slots[slot[open_]]
+            hit = self.keys[at] == keys[open_]
+            out[open_[hit]] = self.ranks[at[hit]]
+            open_ = open_[~hit & (self.ranks[at] != _NONE)]
+        return out
+
+
+def merge_many(pieces: list[bytes], joins: Joins) -> list[bytes]:
+    """Ids (little-endian unsigned 32-bit) of pre-tokens of 2 to SHORT bytes that are no tokens: `merge` on the trees of many at once."""
+    out: list[bytes] = [b""] * len(pieces)
+    lengths = np.array(list(map(len, pieces)), np.int64)
+    order = np.argsort(lengths, kind="stable")
+    lo = 0
+    while lo < len(order):
+        size = 1 << (int(lengths[order[lo]]) - 1).bit_length()
+        hi = min(int(np.searchsorted(lengths[order], size, "right")), lo + max(1, STEP // (2 * size)))
+        some = order[lo:hi]
+        data, counts = _merged([pieces[i] for i in some], lengths[some], size, joins)
+        ends = (4 * np.cumsum(counts)).tolist()
+        for i, a, b in zip(some.tolist(), [0, *ends], ends, strict=False):
+            out[i] = data[a:b]
+        lo = hi
+    return out
+
+
+def _merged(pieces: list[bytes], n: np.ndarray, size: int, joins: Joins) -> tuple[bytes, np.ndarray]:
+    """(all ids, how many each piece has) of pieces of n bytes, at most `size`, a power of two; each has a row of the arrays."""
+    m, shift = len(pieces), size.bit_length()
+    place = np.arange(size)
+    inside = place < n[:, None]
+    ids = np.full((m, size + 1), -1, np.int64)  # at the start of each live token
+    ids[:, :-1][inside] = joins.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+    tree = np.full((m, 2 * size), _NONE)  # rank * 2**k + position, so that least is leftmost
+    both = np.nonzero(place < n[:, None] - 1)
+    rank = joins(ids[both], ids[both[0], both[1] + 1])
+    tree[both[0], size + both[1]] = np.where(rank == _NONE, _NONE, rank << shift | both[1])
+    for level in reversed([1 << k for k in range(shift - 1)]):
+        tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+    after = np.tile(np.arange(1, size + 2), (m, 1))  # start of the next live token
+    before = np.tile(np.arange(-1, size), (m, 1))
+    live = inside.copy()
+    flat, flat_ids, flat_after, flat_before = tree.reshape(-1), ids.reshape(-1), after.reshape(-1), before.reshape(-1)
+    row = np.arange(m)
+    while True:
+        top = flat[row * (2 * size) + 1]
+        going = top != _NONE
+        row, top = row[going], top[going]
+        if not len(row):
+            break
+        own, ends = row * (size + 1), n[row]
+        i = top & ((1 << shift) - 1)
+        j = flat_after[own + i]
+        k = flat_after[own + j]
+        flat_ids[own + i] = top >> shift
+        flat_after[own + i] = k
+        live[row, j] = False
+        more = np.flatnonzero(k < ends)
+        flat_before[own[more] + k[more]] = i[more]
+        first = np.flatnonzero(i > 0)
+        h = flat_before[own[first] + i[first]]
+        # the leaf that dies, the leaf itself, its live left neighbour
+        leaves = np.concatenate([j, i, h])
+        rows = np.concatenate([row, row, row[first]])
+        a, b = np.concatenate([i[more], h]), np.concatenate([k[more], i[first]])
+        base = np.concatenate([own[more], own[first]])
+        rank = joins(flat_ids[base + a], flat_ids[base + b])
+        values = np.full(len(leaves), _NONE)
+        values[np.concatenate([len(row) + more, np.arange(2 * len(row), len(leaves))])] = np.where(rank == _NONE, _NONE, rank << shift | a)
+        base, x = rows * (2 * size), leaves + size
+        flat[base + x] = values
+        for _ in range(shift - 1):
+            x >>= 1
+            at = base + 2 * x
+            flat[base + x] = np.minimum(flat[at], flat[at + 1])
+    return ids[:, :-1][live].astype("<u4").tobytes(), live.sum(1)
+
+
 class Codec:
     """Encodes texts to ids and back; one for each worker and vocabulary."""
 
@@ -138,6 +257,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.places = regex.compile(pattern).finditer
         self.ids: dict[str, bytes] = {}
+        self.joins = Joins(self.ranks)
         top = max(self.ranks.values()) + 1
         lengths = np.zeros(top, np.int64)
         for token, rank in self.ranks.items():
@@ -158,18 +278,25 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; pre-tokens that are new to the worker are merged together."""
+        texts = [self.pieces(t) for t in texts]
+        if len(self.ids) > CACHE:
+            self.ids.clear()
         ids = self.ids
-        pieces = self.pieces(text)
-        try:
-            return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), "<u4")
-        except KeyError:
-            pass
-        if len(ids) > CACHE:
-            ids.clear()
-        for p in pieces:
-            if p not in ids:
-                ids[p] = np.array(merge(p.encode(), self.ranks), "<u4").tobytes()
-        return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), "<u4")
+        new, rest = set().union(*texts).difference(ids), []
+        for p in new:
+            whole = self.ranks.get(raw := p.encode())
+            if whole is not None:
+                ids[p] = whole.to_bytes(4, "little")
+            elif len(raw) > SHORT:
+                ids[p] = np.array(merge(raw, self.ranks), "<u4").tobytes()
+            else:
+                rest.append((p, raw))
+        ids.update(zip([p for p, _ in rest], merge_many([raw for _, raw in rest], self.joins), strict=True))
+        return [np.frombuffer(b"".join(map(ids.__getitem__, t)), "<u4") for t in texts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of all ids, gathered from the vocabulary's bytes laid end to end."""
@@ -200,7 +327,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in sliced(batches, "text"):
-            ids = [c.encode(t) for t in texts_of(b.column("text"))]
+            ids = c.encode_all(texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],

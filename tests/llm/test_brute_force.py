@@ -246,6 +246,23 @@ def test_bpe(docs, texts):
     assert bpe.merge(whole.encode(), ranks) == enc.encode_ordinary(whole)
 
 
+def test_merging_many_at_once(monkeypatch):
+    """Trees of many pre-tokens side by side give what each has alone and what the library gives, whatever is worked on at a time."""
+    c, rng = bpe.Codec(MULTI, P.PATTERN), random.Random(5)
+    tokens, made = list(c.ranks), {b"a" * bpe.SHORT, b"aab" * 40, b"zq", b"\xff\xfe"}
+    for _ in range(1500):
+        made.add(rng.choice([rng.randbytes(rng.randint(2, 40)), b"".join(rng.choices(tokens, k=rng.randint(1, 9))), bytes(rng.choices(b"abehnrst e", k=rng.randint(2, bpe.SHORT)))]))
+    made = [p for p in made if 2 <= len(p) <= bpe.SHORT and p not in c.ranks]
+    want = [bpe.merge(p, c.ranks) for p in made]
+    for step in (bpe.STEP, 64):
+        monkeypatch.setattr(bpe, "STEP", step)
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.merge_many(made, c.joins)] == want
+    assert bpe.merge_many([], c.joins) == []
+    library = tiktoken.Encoding("m", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    texts = ["", "word " * 3 + "q" * (bpe.SHORT + 9), "Bezugsquellenverzeichnis överenskommelse zq", "zq zq"]
+    assert [x.tolist() for x in c.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_recent_letters_split_as_in_the_library():
     """Code points that the two engines' Unicode versions tell apart, in all places of a text."""
     library = tiktoken.Encoding("m", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(MULTI), special_tokens={})
