@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,11 @@ BROADCAST_TERMS = 200_000
 #: Hits (a topic's term in a document) from which on contenders are looked for first; fewer are scored outright,
 #: in one pass that costs less than the passes that find bounds.  Either way gives the same rows.
 PRUNE_FROM = 50_000_000
+#: Hits, and documents times queries, that are scored in one array.
+CELLS = 1 << 20
+#: Times as many hits from which on contenders are looked for where arrays score: for 51 million hits that took three
+#: times as long as scoring all by arrays.
+ARRAYS = 100
 #: Hits that one task scores.
 HITS_OF_A_TASK = 2_000_000
 #: The share of hits that terms left by the bounds may have; with more, meeting them and then scoring what they
@@ -58,6 +66,80 @@ def _fielded(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.explode(parts).alias("f")).select("doc_id", "f.*")
 
 
+_TERM = re.compile("[a-z0-9]+")
+#: Distinct terms that a task counts before it gives what it has.
+TERMS_OF_A_TASK = 1 << 19
+
+
+def _lowered(docs: DataFrame, fields: Mapping[str, str], *keys: Column) -> DataFrame:
+    return docs.select(*keys, *[F.lower(F.coalesce(c, F.lit(""))).alias(f"f{i}") for i, c in enumerate(fields.values())])
+
+
+def _counted(docs: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """(field, term, n, dl): documents with each term of a field, counted by task; the term '' has all documents, and their terms as dl."""
+    names = list(fields)
+
+    def given(field: str, counts: Counter, n: int, dl: int) -> pa.RecordBatch:
+        terms, numbers = [*counts, ""], [*counts.values(), n]
+        return pa.RecordBatch.from_arrays([pa.array([field] * len(terms)), pa.array(terms, pa.string()), pa.array(numbers, pa.int64()), pa.array([None] * len(counts) + [dl], pa.int64())], names=["field", "term", "n", "dl"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {f: [Counter(), 0, 0] for f in names}
+        for b in batches:
+            for i, f in enumerate(names):
+                for text in b.column(i):
+                    found = _TERM.findall(text.as_py())
+                    own = held[f]
+                    own[0].update(set(found))
+                    own[1] += 1
+                    own[2] += len(found)
+                    if len(own[0]) > TERMS_OF_A_TASK:
+                        yield given(f, *own)
+                        held[f] = [Counter(), 0, 0]
+        for f, own in held.items():
+            if own[1]:
+                yield given(f, *own)
+
+    return _lowered(docs, fields).mapInArrow(run, "field string, term string, n long, dl long")
+
+
+def _asked_postings(docs: DataFrame, key: str, fields: Mapping[str, str], sought: DataFrame) -> DataFrame:
+    """(doc_id, field, dl, entries) of every row that has asked terms; these are few, and go to where the texts are."""
+    names, asked = list(fields), {f: set() for f in fields}
+    for r in sought.collect():
+        asked[r["field"]].add(r["term"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, f in enumerate(names):
+                rows, dl, ends, terms, tf = [], [], [0], [], []
+                for at, text in enumerate(b.column(i + 1)):
+                    found = _TERM.findall(text.as_py())
+                    counts = Counter(filter(asked[f].__contains__, found))
+                    if counts:
+                        rows.append(at)
+                        dl.append(len(found))
+                        terms += counts
+                        tf += counts.values()
+                        ends.append(len(terms))
+                entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.float64())], names=["term", "tf"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([f] * len(rows), pa.string()), pa.array(dl, pa.int32()), lists], names=["doc_id", "field", "dl", "entries"])
+
+    rows = _lowered(docs, fields, F.col(key).alias("doc_id"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, field string, dl int, entries array<struct<term: string, tf: double>>")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """The postings by doc_id; rows of one key and length are one document, its counts added up."""
+    one = rows.repartition("doc_id").groupBy("doc_id", "field", "dl").agg(F.collect_list("entries").alias("_all"))
+    flat = F.flatten("_all")
+    total = lambda t: F.aggregate(F.filter(flat, lambda e: e["term"] == t), F.lit(0.0), lambda a, e: a + e["tf"])
+    several = F.transform(F.array_distinct(F.transform(flat, lambda e: e["term"])), lambda t: F.struct(t.alias("term"), total(t).alias("tf")))
+    return one.select("doc_id", "field", "dl", F.when(F.size("_all") == 1, F.col("_all")[0]).otherwise(several).alias("entries"))
+
+
 def index(docs: DataFrame, topics: DataFrame, fields: Mapping[str, str] | None = None, key: str = "doc_id", topic: str = "query_id", epsilon: float = 0.25) -> Index:
     """The topics' terms with their weight in each field, and the documents' postings of them.
 
@@ -66,10 +148,8 @@ def index(docs: DataFrame, topics: DataFrame, fields: Mapping[str, str] | None =
     vocabulary.  All fields are read together, twice: for the vocabulary, and for the
     postings of asked terms only, so nothing else is shuffled or kept.
     """
-    texts = _fielded(docs, key, fields or {"text": "text"})
-    counted = texts.select("field", F.size("t").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
-    # the term '' stands for all documents of a field
-    vocab = written(counted.groupBy("field", "term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl")), "vocabulary")
+    fields = dict(fields or {"text": "text"})
+    vocab = written(_counted(docs, fields).groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")), "vocabulary")
     sizes = vocab.where("term = ''").select("field", F.col("n").alias("n_docs"), (F.col("dl") / F.col("n")).alias("mean_length"))
     words = vocab.where("term <> ''").join(F.broadcast(sizes), "field")
     words = words.withColumn("raw", F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
@@ -79,9 +159,12 @@ def index(docs: DataFrame, topics: DataFrame, fields: Mapping[str, str] | None =
     asked = written(asks.join(idf, "term").select("field", "query_id", "term", "qtf", "idf", "n"), "asked")
     few = asked.count() <= BROADCAST_TERMS
     sought = asked.select("field", "term").distinct()
-    tokens = texts.select("doc_id", "field", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    found = tokens.join(F.broadcast(sought) if few else sought, ["field", "term"], "left_semi").groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
-    rows = found.repartition("doc_id").groupBy("doc_id", "field", "dl").agg(F.collect_list(F.struct("term", F.col("tf").cast("double").alias("tf"))).alias("entries"))
+    if few:
+        rows = _merged(_asked_postings(docs, key, fields, sought))
+    else:
+        tokens = _fielded(docs, key, fields).select("doc_id", "field", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        found = tokens.join(sought, ["field", "term"], "left_semi").groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+        rows = found.repartition("doc_id").groupBy("doc_id", "field", "dl").agg(F.collect_list(F.struct("term", F.col("tf").cast("double").alias("tf"))).alias("entries"))
     return Index(asked, written(rows, "postings"), {r["field"]: r["mean_length"] for r in sizes.collect()}, few)
 
 
@@ -90,6 +173,7 @@ class _Scoring:
 
     def __init__(self, ix: Index, field: str, k1: float, b: float):
         mean = ix.lengths.get(field) or 1.0
+        self.k1, self.b, self.mean = k1, b, mean
         self.norm = lambda dl: k1 * (1 - b + b * dl / F.lit(mean))
         self.part = lambda tf, dl: tf * (k1 + 1) / (tf + self.norm(dl))
         self.few = ix.few
@@ -98,8 +182,8 @@ class _Scoring:
         self.least, self.n_hits = self.asks.agg(F.min("w"), F.sum("n")).first()
         # dealt by hits, not left to adaptive execution, which goes by bytes: few bytes of postings give very many hits
         tasks = max(1, -(-(self.n_hits or 0) // HITS_OF_A_TASK))
-        rows = self.rows.repartition(tasks, "doc_id")
-        self.parts = rows.select("doc_id", "dl", F.explode("entries").alias("e")).select("doc_id", F.col("e.term").alias("term"), self.part(F.col("e.tf"), F.col("dl")).alias("part"))
+        self.dealt = self.rows.repartition(tasks, "doc_id")
+        self.parts = self.dealt.select("doc_id", "dl", F.explode("entries").alias("e")).select("doc_id", F.col("e.term").alias("term"), self.part(F.col("e.tf"), F.col("dl")).alias("part"))
 
     def near(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.few else df
@@ -109,6 +193,64 @@ class _Scoring:
         met = self.parts.join(self.near(asks), "term")
         return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
+    def arrays(self) -> bool:
+        """Whether hits can be scored by arrays: the asked terms are few, and each document stands in one row."""
+        return self.few and not self.rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
+
+    def outright(self, k: int | None) -> DataFrame:
+        """(query_id, doc_id, score) of all hits, or of those that may be among a query's k best; the asked terms are few.
+
+        A document's postings meet the queries of their terms in arrays of documents by
+        queries.  A task keeps each query's k best so far, and all within rounding of the
+        k-th, so that ties are settled over all documents.
+        """
+        asks = self.asks.select("query_id", "term", "w").toArrow().sort_by("term")
+        words, at = np.unique(asks.column("term").to_numpy(zero_copy_only=False).astype(str), return_index=True)
+        at = np.append(at, asks.num_rows)
+        weight, ids = asks.column("w").to_numpy(), asks.column("query_id").unique()
+        of = pc.index_in(asks.column("query_id"), value_set=ids).to_numpy().astype(np.int64)
+        k1, b, mean, width = self.k1, self.b, self.mean, len(ids)
+        vocabulary, ids = pa.array(words.tolist(), pa.string()), ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            floor = np.full(width, -np.inf)
+            for batch in batches:
+                if not batch.num_rows or not width:
+                    continue
+                lists = batch.column("entries")
+                flat = lists.flatten()
+                code = pc.index_in(flat.field(0), value_set=vocabulary).to_numpy(zero_copy_only=False)
+                dl, tf = batch.column("dl").to_numpy().astype(float), flat.field(1).to_numpy()
+                sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+                doc = np.repeat(np.arange(len(dl)), sizes)
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / mean))
+                code = code.astype(np.int64)
+                met = at[code + 1] - at[code]
+                ends = np.append(0, np.cumsum(sizes))
+                work = np.append(0, np.cumsum(met))[ends]  # hits before each document
+                lo = 0
+                while lo < len(dl):
+                    hi = min(int(np.searchsorted(work, work[lo] + CELLS, "right")) - 1, lo + CELLS // width, len(dl))
+                    hi = max(lo + 1, hi)
+                    own = slice(ends[lo], ends[hi])
+                    n = met[own]
+                    hit = np.repeat(at[code[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    cell = np.repeat((doc[own] - lo) * width, n) + of[hit]
+                    score = np.bincount(cell, np.repeat(part[own], n) * weight[hit], (hi - lo) * width).reshape(-1, width)
+                    kept = np.zeros(score.shape, bool)
+                    kept.reshape(-1)[cell] = True
+                    if k is not None:
+                        score[~kept] = -np.inf
+                        if hi - lo >= k:
+                            floor = np.maximum(floor, np.partition(score, -k, axis=0)[-k] - SLACK)
+                        kept &= score >= floor
+                    x, y = np.nonzero(kept)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(y)), batch.column("doc_id").take(pa.array(x + lo)), pa.array(score[x, y])], names=["query_id", "doc_id", "score"])
+                    lo = hi
+
+        kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((self.asks, "query_id"), (self.rows, "doc_id"))]
+        return self.dealt.select("doc_id", "dl", "entries").mapInArrow(run, ", ".join([*kinds, "score double"]))
+
     def full(self, pairs: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of the distinct pairs (query_id, doc_id)."""
         own = self.rows.join(pairs.select("query_id", "doc_id"), "doc_id").select("query_id", "doc_id", "dl", F.explode("entries").alias("e"))
@@ -156,11 +298,15 @@ def search(ix: Index, k: int | None = None, field: str = "text", k1: float = 1.5
     scoring = _Scoring(ix, field, k1, b)
     least, hits = scoring.least, scoring.n_hits
     # bounds need weights that never lower a score
-    outright = k is None or hits is None or hits < PRUNE_FROM or least < 0
+    arrays = scoring.arrays()
+    outright = k is None or hits is None or hits < PRUNE_FROM * (ARRAYS if arrays else 1) or least < 0
     if not outright:
         split = scoring.bounds(k)
         outright = (split.where("NOT out").agg(F.sum("n")).first()[0] or 0) > PRUNE_TO * hits
-    scores = scoring.hits(scoring.asks) if outright else scoring.full(scoring.pruned(k, split)[0])
+    if outright:
+        scores = scoring.outright(k) if arrays else scoring.hits(scoring.asks)
+    else:
+        scores = scoring.full(scoring.pruned(k, split)[0])
     scores = scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
     return ranked(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 

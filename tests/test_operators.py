@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -331,6 +332,38 @@ def test_search_scores_outright_where_bounds_leave_most_hits(spark, monkeypatch)
     assert retrieval._Scoring(ix, "text", 1.5, 0.75).parts.rdd.getNumPartitions() > 1
 
 
+@pytest.mark.parametrize("cells", [retrieval.CELLS, 40])
+def test_few_asked_terms_are_scored_in_arrays(spark, monkeypatch, cells):
+    """No hit is a row of a join; ranks, ties at the k-th place included, are those of the joins, and counts those of plain loops."""
+    docs, asked = _corpus(spark, random.Random(11))
+    docs = docs.unionByName(spark.createDataFrame([(900 + i, "The RARE1, rare2!") for i in range(40)] + [(1000, None), (1001, "")], docs.schema))
+    monkeypatch.setattr(retrieval, "TERMS_OF_A_TASK", 20)
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    ix = retrieval.index(docs, asked)
+    scoring = retrieval._Scoring(ix, "text", 1.5, 0.75)
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc_id", "score", "rank").collect())
+    joined = retrieval.ranked(scoring.hits(scoring.asks).withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("doc_id")])
+    want = rows(joined)
+    texts = {r.doc_id: re.findall("[a-z0-9]+", (r.text or "").lower()) for r in docs.collect()}
+    for r in ix.asked.collect():
+        assert r.n == sum(r.term in t for t in texts.values())
+    assert ix.lengths["text"] == sum(map(len, texts.values())) / len(texts)
+    monkeypatch.setattr(retrieval._Scoring, "hits", lambda self, asks: 1 / 0)
+    assert rows(retrieval.search(ix)) == want
+    for k in (1, 7, 50):
+        assert rows(retrieval.search(ix, k)) == [r for r in want if r[3] <= k]
+
+
+def test_rows_of_one_key_are_scored_together(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "b b"), (1, "a a c"), (2, "c c"), (None, "a")], "doc_id long, text string")
+    ix = retrieval.index(d, spark.createDataFrame([(1, "a c")], "query_id long, text string"))
+    got = {(r.doc_id, r.dl): {e.term: e.tf for e in r.entries} for r in ix.rows.collect()}
+    assert got == {(1, 2): {"a": 1.0}, (1, 3): {"a": 2.0, "c": 1.0}, (2, 2): {"c": 2.0}, (None, 1): {"a": 1.0}}
+    assert not retrieval._Scoring(ix, "text", 1.5, 0.75).arrays() and retrieval.search(ix).count() == 3
+    d = spark.createDataFrame([(1, "a b"), (1, "a a")], d.schema)
+    assert [e.tf for r in retrieval.index(d, spark.createDataFrame([(1, "a")], "query_id long, text string")).rows.collect() for e in r.entries] == [3.0]
+
+
 def test_fields_have_their_own_statistics(spark):
     d = spark.createDataFrame([(1, "a b", "b"), (2, "b c", "c c"), (3, "c", None)], "doc_id long, text string, title string")
     q = spark.createDataFrame([(1, "a c")], "query_id long, text string")
