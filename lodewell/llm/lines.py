@@ -13,6 +13,7 @@ their components are found by `linking`, which confirms links by edit similarity
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -42,7 +43,7 @@ RUNS = ((8, 512, 1.0),)
 #: Lines of a node up to which one task compares them; those of a larger one are dealt over cells of about so many.
 CELL = 1 << 15
 #: Words, or counts, that are held at a time, a processor's cache full.
-STEP = 1 << 18
+STEP = 1 << 15
 #: Cells up to this size are compared by shifting the rows against themselves.
 SHIFTS = 24
 
@@ -382,25 +383,20 @@ def edit_distance(a: str, b: str) -> int:
     a, b = a[: len(a) - cut], b[: len(b) - cut]
     if len(a) > len(b):
         a, b = b, a
-    m = len(a)
-    if not m:
+    if not a:
         return len(b)
-    full, top = (1 << m) - 1, 1 << (m - 1)
+    full = (1 << len(a)) - 1
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    plus, minus, score = full, 0, m
-    for c in b:
-        eq = where.get(c, 0)
-        d = (((eq & plus) + plus) ^ plus) | eq | minus
-        up = minus | (full & ~(d | plus))
-        down = plus & d
-        score += bool(up & top) - bool(down & top)
-        up = (up << 1 | 1) & full
-        down = (down << 1) & full
-        plus = down | (full & ~(d | up))
+    plus, minus, get = full, 0, where.get
+    for c in b:  # only d is cut to len(a) bits: what stands above never comes down
+        eq = get(c, 0)
+        d = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+        up = (minus | (d | plus) ^ full) << 1 | 1
+        plus = (plus & d) << 1 | (d | up) ^ full
         minus = up & d
-    return score
+    return len(b) + (plus & full).bit_count() - minus.bit_count()
 
 
 def normal_form(line: str) -> str:
@@ -437,6 +433,9 @@ def within(a: str, b: str, most: int) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
         return True
+    p, q = Counter(x), Counter(y)
+    if max(sum(len(w) * c for w, c in (p - q).items()), sum(len(w) * c for w, c in (q - p).items())) > most:
+        return edit_distance(a, b) <= most  # words that one side alone has cost an alignment more
     cost = 0
     for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if tag != "equal":  # words of one side become those of the other, spaces between them included

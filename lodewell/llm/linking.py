@@ -67,19 +67,16 @@ def _forest(a: np.ndarray, b: np.ndarray, score: np.ndarray, group: np.ndarray)
     keep = np.zeros(len(a), bool)
     alone = np.append(True, group[1:] != group[:-1]) & np.append(group[1:] != group[:-1], True)
     keep[alone] = True  # the only pair of its group
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := root.get(x, x)) != x:
-            root[x] = root.get(y, y)
-            x = y
-        return x
-
     rest = np.flatnonzero(~alone)
     rest = rest[np.lexsort((b[rest], a[rest], -score[rest]))]
+    root = list(range(int(max(a[rest].max(initial=-1), b[rest].max(initial=-1))) + 1))
     for i, x, y in zip(rest.tolist(), a[rest].tolist(), b[rest].tolist(), strict=True):
-        if (p := top(x)) != (q := top(y)):
-            root[p] = q
+        while (p := root[x]) != x:
+            root[x] = x = root[p]
+        while (p := root[y]) != y:
+            root[y] = y = root[p]
+        if x != y:
+            root[x] = y
             keep[i] = True
     return keep
 
@@ -123,6 +120,21 @@ def _spanning(t: pa.Table, like: Like) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+class _Owned:
+    """Whether a row's node is the least that two items of it have in common, so that a pair that many nodes hold is confirmed in one."""
+
+    def __init__(self, t: pa.Table):
+        self.node, self.nodes, self.known = t.column("node").to_numpy(), t.column("nodes"), {}
+
+    def _of(self, x: int) -> frozenset[int]:
+        if x not in self.known:
+            self.known[x] = frozenset(self.nodes[x].as_py())
+        return self.known[x]
+
+    def __call__(self, x: int, y: int) -> bool:
+        return min(self._of(x) & self._of(y)) == self.node[x]
+
+
 def _across(t: pa.Table, like: Like, same: Same | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Confirmed links (likely ones without `same`) between components of each cell, one item of them of the second side.
 
@@ -130,9 +142,11 @@ def _across(t: pa.Table, like: Like, same: Same | None = None) -> tuple[np.ndarr
     are not yet of one component, likeliest first; a link unites two components, so what
     is given is a forest over components, however many pairs are alike.  Two items that
     both stand on both sides meet twice, in two cells or one, and are compared once.
+    With `nodes`, all nodes of an item, two are confirmed in the least node that both have.
     """
     cell, g, n, comp, side, minor, sk = _arrays(t, "cell", "g", "n", "comp", "side", "minor")
     payload = t.column("payload") if same else None
+    owned = _Owned(t) if same and "nodes" in t.column_names else None
     starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
     a, b = [], []
     for lo, hi in zip(starts[:-1], starts[1:], strict=True):
@@ -148,7 +162,7 @@ def _across(t: pa.Table, like: Like, same: Same | None = None) -> tuple[np.ndarr
             mine = payload[int(x)].as_py() if same else None
             for y in hit.tolist():
                 p, q = root[number[x - lo]], root[number[y - lo]]
-                if p != q and (same is None or same(mine, payload[y].as_py())):
+                if p != q and (same is None or (owned is None or owned(int(x), y)) and same(mine, payload[y].as_py())):
                     root[root == max(p, q)] = min(p, q)
                     a.append(g[x])
                     b.append(g[y])
@@ -226,8 +240,11 @@ def link(members: DataFrame, like: Like, payloads: Callable[[DataFrame], DataFra
     if by_node:
         # items of one node but of two groups are not alike: any likely pair of a node joined their groups
         found = members.select("node", "g", "n", "sk").join(open_.select("g", "group", "comp"), "g").withColumn("node", F.xxhash64("node", "group")).drop("group")
+        found = written(found, "found")
+        found = found.join(found.groupBy("g").agg(F.collect_list("node").alias("nodes")), "g")
     else:
         found = members.select("g", "n", "sk").join(open_.select("g", F.col("group").alias("node"), "comp"), "g").dropDuplicates(["g"])
     found = written(found, "found")
-    more = written(_pairs(_cross_cells(found).join(full, "g"), ["g", "n", "sk", "comp", "side", "minor", "payload"], lambda t: _across(t, like, same)), "links")
+    own = ["node", "nodes"] if by_node else []
+    more = written(_pairs(_cross_cells(found).join(full, "g"), ["g", "n", "sk", "comp", "side", "minor", "payload", *own], lambda t: _across(t, like, same)), "links")
     return comps if not more.limit(1).count() else connected_components(edges.unionByName(more))

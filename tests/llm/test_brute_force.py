@@ -14,7 +14,7 @@ import public_tokenizers as P
 import tiktoken
 from pyspark.sql import functions as F
 
-from lodewell.llm import bpe, common, entries, langid, lines, nearjoin, packing, pii, quality, suffix, textvec, tokencounts, topk
+from lodewell.llm import bpe, common, entries, langid, lines, linking, nearjoin, packing, pii, quality, suffix, textvec, tokencounts, topk
 
 DATA = "/root/testdata/sf0.001"
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
@@ -592,6 +592,26 @@ def test_lines_of_a_common_block_are_found(spark, monkeypatch):
         assert {r.doc_id for r in lines.dedup_lines(d).where("n_removed > 0").collect()} == set(range(4000, 4300))
 
 
+def test_a_pair_of_many_nodes_is_confirmed_once(spark):
+    """Unlike items that stand together in 20 nodes; the links among others are found all the same."""
+    n, asked = 12, []
+    nodes = [v for v in range(100, 120)]
+    rows = [(v, g, g, 0 if g < n - 1 else 1, nodes) for v in nodes for g in range(n)]
+    cells = [(v, g, 50, comp, side, int(g > 0), v, own, g % 5) for v, g, comp, _, own in rows for side in ((0, 1) if g > 0 else (0,))]
+    names = ["cell", "g", "n", "comp", "side", "minor", "node", "nodes", "kind"]
+    t = pa.table({c: pa.array([x[i] for x in cells]) for i, c in enumerate(names)})
+    t = t.append_column("sk", pa.array([bytes(40)] * len(cells), pa.binary())).append_column("payload", pa.array([f"{x[1]}".encode() for x in cells], pa.binary()))
+
+    def same(a, b):
+        asked.append(tuple(sorted((int(a), int(b)))))
+        return (int(a) - int(b)) % 5 == 0
+
+    a, b = linking._across(t, lines._like, same)
+    assert len(asked) == len(set(asked)) <= n * (n - 1) // 2
+    got = common.connected_components(spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == {g: g % 5 for g in range(n) if g + 5 < n or g >= 5}
+
+
 def test_lines_that_share_one_large_block_only_are_found(spark, monkeypatch):
     """Nodes of any size, among lines of many lengths: no pair needs a second block."""
     rng = random.Random(12)
