@@ -82,7 +82,8 @@ _CANDIDATES = (
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
-_OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}){1,4}")
+# An obfuscated address from its at sign on.
+_OBFUSCATED = re.compile(r"\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++)+")
 
 # Values of any length that a key word and a separator stand before.
 _SEPARATOR = re.compile(r"[:=]")
@@ -148,6 +149,20 @@ def _assigned(text: str) -> Iterator[tuple[int, int]]:
                 free = m.end()
 
 
+def _obfuscated(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost obfuscated addresses, whole: the local part is the run before an at sign, of any length."""
+    free = 0
+    m = _OBFUSCATED.search(text)
+    while m:
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start():
+            yield start, m.end()
+            free = m.end()
+        m = _OBFUSCATED.search(text, free if start < m.start() else m.start() + 1)
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans to be voted on: those of the wide patterns that touch no base span and no earlier candidate."""
     found: list[tuple[int, int, str]] = []
@@ -159,7 +174,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         found += [(a, b, "secret") for a, b in _assigned(text) if _DIGIT.search(text, a, b) and re.search(r"[A-Za-z]", text[a:b])]
     low = text if "[" in text or "(" in text else ""
     if "at]" in low or "at)" in low:
-        found += [(*m.span(), "email") for m in _OBFUSCATED.finditer(text)]
+        found += [(a, b, "email") for a, b in _obfuscated(text)]
     if not found:
         return found
     found.sort(key=lambda s: (s[0], -s[1], _ORDER[s[2]]))

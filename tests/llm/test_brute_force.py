@@ -219,6 +219,19 @@ def test_secret_candidates():
         assert not pii.candidates(text, pii.base_spans(text))
 
 
+def test_obfuscated_addresses_are_whole():
+    """Local parts and domains of any length; where the parts are short, as the pattern says."""
+    for local, domain in [("a.b", "mail[dot]example"), ("n" * 200, "x[dot]org"), ("a", " [dot] ".join(["sub"] * 9)), ("a", "d" * 100 + "(dot)com")]:
+        text = f"write to {local} [at] {domain}, please"
+        assert pii.candidates(text, pii.base_spans(text)) == [(9, text.index(", please"), "email")]
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]+)+")
+    rng = random.Random(3)
+    for _ in range(20000):
+        t = "".join(rng.choice(["a", "b-", ".", " ", " ", "[at]", "(at)", "[at]", "[dot]", "(dot)", "[dot]", "é", "c"]) for _ in range(rng.randint(0, 24)))
+        assert list(pii._obfuscated(t)) == [m.span() for m in pattern.finditer(t)]
+    assert not list(pii._obfuscated("a" * 100000 + "[at]" + "b" * 100000))
+
+
 def test_short_secrets_are_learned(spark):
     hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
     rows = [f"so token={h} it was" for h in hexes[:30]] + [f"my password: {h[:9]} there" for h in hexes[30:] if not h[:9].isdigit() and not h[:9].isalpha()]
