@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -280,22 +280,26 @@ class Codec:
         """Ids as little-endian unsigned 32-bit numbers."""
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; pre-tokens that are new to the worker are merged together."""
-        texts = [self.pieces(t) for t in texts]
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-        ids = self.ids
-        new, rest = set().union(*texts).difference(ids), []
+    def merged(self, new: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(pre-token, its ids) of each of `new`, those that are no tokens merged together."""
+        rest = []
         for p in new:
             whole = self.ranks.get(raw := p.encode())
             if whole is not None:
-                ids[p] = whole.to_bytes(4, "little")
+                yield p, whole.to_bytes(4, "little")
             elif len(raw) > SHORT:
-                ids[p] = np.array(merge(raw, self.ranks), "<u4").tobytes()
+                yield p, np.array(merge(raw, self.ranks), "<u4").tobytes()
             else:
                 rest.append((p, raw))
-        ids.update(zip([p for p, _ in rest], merge_many([raw for _, raw in rest], self.joins), strict=True))
+        yield from zip([p for p, _ in rest], merge_many([raw for _, raw in rest], self.joins), strict=True)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; pre-tokens that are new to the worker are merged together."""
+        texts = [self.pieces(t) for t in texts]
+        if len(self.ids) > CACHE:
+            self.ids.clear()
+        ids = self.ids
+        ids.update(self.merged(set().union(*texts).difference(ids)))
         return [np.frombuffer(b"".join(map(ids.__getitem__, t)), "<u4") for t in texts]
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -31,6 +31,13 @@ class Counter:
         self.codec = codec(path, pattern)
         self.counts: dict[str, int] = {}
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Count the pre-tokens of many texts that are new to the worker, merged together."""
+        counts = self.counts
+        if len(counts) > CACHE:
+            counts.clear()
+        counts.update((p, len(ids) // 4) for p, ids in self.codec.merged(set().union(*texts).difference(counts)))
+
     def of(self, pieces: list[str]) -> list[int]:
         counts = self.counts
         try:
@@ -48,9 +55,10 @@ class Counter:
 class CountedText:
     """One document under edits."""
 
-    def __init__(self, text: str, split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]]):
+    def __init__(self, text: str, split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]], pieces: list[str] | None = None):
+        """`pieces` is `split(text)` where that is at hand."""
         self.split, self.count = split, count
-        pieces = split(text)
+        pieces = split(text) if pieces is None else pieces
         self.n_encoded = 0
         self._build(pieces, count(pieces))
 
@@ -180,8 +188,11 @@ def count_edited(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
         counter = Counter(path, pattern)
         for b in sliced(batches, "text"):
             out: list[list] = [[], [], [], [], []]
-            for t, changes in zip(texts_of(b.column("text")), b.column("edits").to_pylist(), strict=True):
-                doc = CountedText(t, counter.codec.pieces, counter.of)
+            texts = texts_of(b.column("text"))
+            pieces = [counter.codec.pieces(t) for t in texts]
+            counter.learn(pieces)
+            for t, own, changes in zip(texts, pieces, b.column("edits").to_pylist(), strict=True):
+                doc = CountedText(t, counter.codec.pieces, counter.of, own)
                 row = [doc.n_tokens, 0]
                 for e in changes or ():
                     if e is not None:

@@ -343,6 +343,29 @@ def test_edited_counts(monkeypatch, leaf):
     assert doc.n_encoded < 10
 
 
+def test_counting_many_at_once(spark, monkeypatch):
+    """Rows of many new pre-tokens are counted as one by one, with few merges alone: those of edits and of over SHORT bytes."""
+    rng, alone = random.Random(8), []
+    word = lambda: "".join(rng.choice("abehnrstéß好") for _ in range(rng.randint(1, 12)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(40)] + ["", "q" * (bpe.SHORT + 9), "zq zq"]
+    own = bpe.merge
+    monkeypatch.setattr(tokencounts, "merge", lambda *a: alone.append(a) or own(*a))
+    for cache in (bpe.CACHE, 50):
+        monkeypatch.setattr(tokencounts, "CACHE", cache)
+        alone.clear()
+        c = tokencounts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        for i in range(0, len(texts), 10):
+            pieces = [c.codec.pieces(t) for t in texts[i : i + 10]]
+            c.learn(pieces)
+            want = [[len(own(p.encode(), c.codec.ranks)) for p in x] for x in pieces]
+            assert [tokencounts.CountedText(t, c.codec.pieces, c.of, p).n_tokens for t, p in zip(texts[i : i + 10], pieces, strict=True)] == [sum(x) for x in want]
+            assert [c.of(p) for p in pieces] == want
+        assert not alone
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("edits", F.expr("array(named_struct('start', 3L, 'stop', 9L, 'put', 'new ones'))"))
+    for r in tokencounts.count_edited(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect():
+        assert (r.n_tokens, r.n_tokens_after) == (len(c.codec.encode(texts[r.doc_id])), len(c.codec.encode(r.text_after)))
+
+
 def components(n, links):
     root = list(range(n))
 
