@@ -13,9 +13,8 @@ their components are found by `linking`, which confirms links by edit similarity
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,8 @@ SIFT, NEAR = 21, 99
 RUNS = ((8, 512, 1.0),)
 #: Lines of a node up to which one task compares them; those of a larger one are dealt over cells of about so many.
 CELL = 1 << 15
+#: Rows of one node that a task holds at a time, to tell equal lines.
+HELD = 1 << 20
 #: Words, or counts, that are held at a time, a processor's cache full.
 STEP = 1 << 15
 #: Cells up to this size are compared by shifting the rows against themselves.
@@ -248,29 +249,69 @@ def _gathered(batches: Iterator[pa.RecordBatch], key: str, least: int = 1 << 16)
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _several(node: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of the nodes (sorted) that several different lines have."""
+
+    def twice(node: np.ndarray) -> np.ndarray:
+        same = node[1:] == node[:-1]
+        return np.append(False, same) | np.append(same, False)
+
+    at = twice(node) if len(node) else np.empty(0, bool)
+    node, g = node[at], g[at]  # few: most blocks are one line's
+    if not len(node):
+        return node, g
+    order = np.lexsort((g, node))
+    node, g = node[order], g[order]
+    new = np.append(True, (node[1:] != node[:-1]) | (g[1:] != g[:-1]))
+    node, g = node[new], g[new]
+    at = twice(node)
+    return node[at], g[at]
+
+
+def _of_several(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(node, g) of rows sorted by node: of each node that several different lines have, these lines.
+
+    Up to `most` rows of a node are held; a line that a larger node has more than once may be given again.
+    """
+    last, held, count, given = None, [], 0, False  # the last node, its lines so far, whether some of them were given
+
+    def batch(node: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(g)], names=["node", "g"])
+
+    def rest() -> Iterator[pa.RecordBatch]:
+        g = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+        if len(g) > 1 or given and len(g):
+            yield batch(np.full(len(g), last), g)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        node, g = b.column("node").to_numpy(), b.column("g").to_numpy()
+        own = int(np.searchsorted(node, last, "right")) if last is not None and node[0] == last else 0
+        if own:
+            held.append(g[:own])
+            count += own
+            if count >= most:
+                held = [np.unique(np.concatenate(held))]
+                count = len(held[0])
+                if count > 1 and 2 * count > most:
+                    yield from rest()
+                    held, count, given = [], 0, True
+        if own < len(node):
+            yield from rest()
+            end = max(own, int(np.searchsorted(node, node[-1], "left")))
+            yield batch(*_several(node[own:end], g[own:end]))
+            last, held, count, given = node[-1], [g[end:]], len(node) - end, False
+    yield from rest()
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """(node, g) of the blocks that several different lines have; nothing but these two numbers is shuffled."""
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: tuple | None = None  # the last row, and whether it was given
-        for b in batches:
-            if not b.num_rows:
-                continue
-            node, g = b.column("node").to_numpy(), b.column("g").to_numpy()
-            given = False
-            if carry is not None:
-                node, g, given = np.append(carry[0], node), np.append(carry[1], g), carry[2]
-            new = np.append(True, (node[1:] != node[:-1]) | (g[1:] != g[:-1]))
-            node, g = node[new], g[new]
-            same = node[1:] == node[:-1]
-            keep = np.append(False, same) | np.append(same, False)
-            if given:
-                keep[0] = False
-            carry = (node[-1], g[-1], bool(keep[-1]) or (given and len(node) == 1))
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(g[keep])], names=["node", "g"])
-
-    keys = rows.select(F.explode("nodes").alias("node"), "g").repartition("node").sortWithinPartitions("node", "g")
-    return keys.mapInArrow(several, "node long, g long")
+    """(node, g) of the blocks that several different lines have; nothing but these two numbers is shuffled, and only the first is sorted by.
+
+    Of a node of over HELD rows, a line may be given more than once, which adds no link.
+    """
+    keys = rows.select(F.explode("nodes").alias("node"), "g").repartition("node").sortWithinPartitions("node")
+    return keys.mapInArrow(partial(_of_several, most=HELD), "node long, g long")
 
 
 def _close(sim_a: np.ndarray, sim_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -427,20 +468,13 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`: a cheap alignment that shows it will do, else the distance is taken."""
+    """Whether the edit distance is at most `most`: words changed in place that show it will do, else the distance is taken."""
     if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
         return True
-    p, q = Counter(x), Counter(y)
-    if max(sum(len(w) * c for w, c in (p - q).items()), sum(len(w) * c for w, c in (q - p).items())) > most:
-        return edit_distance(a, b) <= most  # words that one side alone has cost an alignment more
-    cost = 0
-    for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if tag != "equal":  # words of one side become those of the other, spaces between them included
-            cost += max(sum(map(len, x[i:j])) + j - i, sum(map(len, y[k:m])) + m - k)
-    return cost <= most or edit_distance(a, b) <= most
+    return edit_distance(a, b) <= most
 
 
 def _same(a: bytes, b: bytes) -> bool:
@@ -489,5 +523,6 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     rows = only_these(docs.withColumn("__lw_row", row), table, "__lw_row", "left", "__lw_gone")
     pieces = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("__lw_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("__lw_gone"), i.cast("long"))), "\n"))
-    count = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c))
-    return rows.select(*[kept.alias(c) if c == text else F.col(c) for c in columns], count(pieces).alias(counts[0]), count(F.col("__lw_gone")).alias(counts[1]))
+    feeds = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))  # no text is split for its number of lines
+    counted = (F.coalesce(feeds + 1, F.lit(0)), F.coalesce(F.size("__lw_gone"), F.lit(0)))
+    return rows.select(*[kept.alias(c) if c == text else F.col(c) for c in columns], *[x.alias(c) for x, c in zip(counted, counts, strict=True)])
