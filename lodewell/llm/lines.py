@@ -43,6 +43,8 @@ RUNS = ((8, 512, 1.0),)
 CELL = 1 << 15
 #: Rows of one node that a task holds at a time, to tell equal lines.
 HELD = 1 << 20
+#: Words of a block or line up to which votes are counted in planes of digits.
+FEW = 40
 #: Words, or counts, that are held at a time, a processor's cache full.
 STEP = 1 << 15
 #: Cells up to this size are compared by shifting the rows against themselves.
@@ -108,6 +110,38 @@ def voted(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """SimHashes (64 bits) of ranges a to b of word hashes: a bit is set that more than half of the words have."""
     out = np.empty(len(a), _U)
     sizes = b - a
+    order = np.argsort(sizes, kind="stable")
+    sizes, a = sizes[order], a[order]
+    few = int(np.searchsorted(sizes, FEW, "right"))
+    for lo in range(0, few, STEP):
+        out[order[lo : min(few, lo + STEP)]] = _voted_few(hashes, a[lo : min(few, lo + STEP)], sizes[lo : min(few, lo + STEP)])
+    if few < len(a):
+        out[order[few:]] = _voted_many(hashes, a[few:], sizes[few:])
+    return out
+
+
+def _voted_few(hashes: np.ndarray, a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`voted` of up to FEW words from a on, in the order of sizes: a counter for each bit of a hash, its digits in planes of numbers."""
+    digits = max(1, int(sizes[-1]).bit_length())
+    # counters start so far below 2**digits that more than half of the words carry beyond it
+    start = (1 << digits) - (sizes // 2 + 1)
+    planes = [(-(start >> d & 1)).view(_U) for d in range(digits)]
+    over = np.zeros(len(a), _U)
+    for k in range(int(sizes[-1])):
+        i = int(np.searchsorted(sizes, k, "right"))  # the first range with so many words
+        carry = hashes[a[i:] + k]
+        for plane in planes:
+            own = plane[i:]
+            both = own & carry
+            own ^= carry
+            carry = both
+        over[i:] |= carry
+    return over
+
+
+def _voted_many(hashes: np.ndarray, a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`voted` of any number of words from a on: a hash's bits in a byte each."""
+    out = np.empty(len(a), _U)
     parts = -(-sizes // 255)  # counts of up to 255 words fit in bytes
     work = np.cumsum(sizes)
     lo = 0
@@ -157,16 +191,17 @@ class _Lines:
         data = _FORM[data]
         ls, _, ld = tv.lines(data, offs)
         s, e, _ = tv.words(data, offs)
-        of = np.searchsorted(ls, s, "right") - 1  # line of each word; a line's start never lies inside a word
+        counts = np.diff(np.append(np.searchsorted(s, ls), len(s)))  # a line's start never lies inside a word
+        of = np.repeat(np.arange(len(ls)), counts)  # line of each word
         hashes = tv.Spans(data).hash(s, e) if len(s) else np.empty(0, _U)
-        counts = np.bincount(of, minlength=len(ls))
         has = np.flatnonzero(counts)
         first = (np.cumsum(counts) - counts)[has]
         place = np.arange(len(s)) - np.repeat(first, counts[has])
         sums = np.add.reduceat(tv.mix(hashes + place.astype(_U) * _U(0x632BE59BD9B4E019)), first) if len(s) else np.empty(0, _U)
         self.g = tv.mix(sums + counts[has].astype(_U))
-        points = np.concatenate([[0], np.cumsum(_START[data])])
-        chars = points[e] - points[s]
+        points = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(_START[data], out=points[1:])
+        chars = (points[e] - points[s]).astype(np.int64)
         self.n = (np.add.reduceat(chars, first) if len(s) else np.empty(0, np.int64)) + counts[has] - 1
         line_of_doc = np.concatenate([[0], np.cumsum(np.bincount(ld, minlength=max(0, len(offs) - 1)))])
         self.doc, self.pos = ld[has], has - line_of_doc[ld[has]]
@@ -200,13 +235,15 @@ class _Lines:
             hashes, chars = self.hashes[index], self.chars[index]
             if deal:  # dealt by another hash, so that other words stand together
                 hashes = tv.mix(hashes ^ _U(deal))
-                order = np.lexsort((hashes, np.repeat(np.arange(len(at)), size)))
+                bits = max(1, len(at).bit_length())
+                order = np.argsort(np.repeat(np.arange(len(at), dtype=_U), size) << _U(64 - bits) | hashes >> _U(bits))
                 hashes, chars = hashes[order], chars[order]
             a, b, depth = _parts(hashes, chars, start, start + size, least)
             nodes.append(tv.mix(voted(hashes, a, b) ^ tv.mix(depth.astype(_U))))
             lines.append(at[np.searchsorted(start, a, "right") - 1] if len(a) else at[:0])
         nodes, rows = np.concatenate(nodes), self.one[np.concatenate(lines)]
-        order = np.argsort(rows, kind="stable")
+        keys = np.sort(rows.astype(_U) << _U(32) | np.arange(len(rows), dtype=_U))
+        order = (keys & _U((1 << 32) - 1)).view(np.int64)
         return nodes[order], rows[order]
 
 

@@ -74,7 +74,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | begins[1:n]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return s, e, np.searchsorted(offsets, s, "right") - 1
+    counts = np.diff(np.append(np.searchsorted(s, offsets[:-1]), len(s)))
+    return s, e, np.repeat(np.arange(len(counts)), counts)
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -589,6 +589,18 @@ def test_votes_of_many_words():
     assert lines.voted(h, a, b).tolist() == [word_votes(h[x:y].tolist()) for x, y in zip(a, b, strict=True)]
 
 
+def test_votes_of_any_number_of_words():
+    """Ranges of few words, counted in planes, and of many, in any order."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 900).astype(np.uint64)
+    sizes = rng.permutation(np.concatenate([np.arange(1, 90), np.arange(1, 2 * lines.FEW), [300, 1, 2]]))
+    a = rng.integers(0, 900 - sizes)
+    assert lines.voted(h, a, a + sizes).tolist() == [word_votes(h[x:y].tolist()) for x, y in zip(a, a + sizes, strict=True)]
+    assert lines.voted(h, a[:0], a[:0]).tolist() == []
+    p = lines._Lines(pa.array(["", "a b\n\nc é ß", None, "", "\n", "d", ""]))
+    assert list(zip(p.doc.tolist(), p.pos.tolist(), p.n.tolist(), strict=True)) == [(1, 0, 3), (1, 2, 5), (5, 0, 1)]
+
+
 def changed(rng, line, word):
     """One word in ten at least, one in seven at most, replaced, dropped or put in."""
     words = line.split(" ")
