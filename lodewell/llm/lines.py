@@ -504,14 +504,34 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "g long, n long, sk binary, payload binary").dropDuplicates(["g"])
 
 
+def _aligned(x: list[str], y: list[str], most: int) -> bool:
+    """Whether a quick alignment of words costs at most `most` characters: where words differ, the next equal ones within three are looked for."""
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        d, e = 1, 1
+        for p, q in ((0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (1, 2), (2, 1), (2, 2), (0, 3), (3, 0)):
+            if i + p < len(x) and j + q < len(y) and x[i + p] == y[j + q]:
+                d, e = p, q
+                break
+        # words of one side become those of the other, the space behind each included
+        cost += max(sum(map(len, x[i : i + d])) + d, sum(map(len, y[j : j + e])) + e)
+        if cost > most:
+            return False
+        i, j = i + d, j + e
+    return cost + sum(map(len, x[i:])) + len(x) - i + sum(map(len, y[j:])) + len(y) - j <= most
+
+
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`: words changed in place that show it will do, else the distance is taken."""
+    """Whether the edit distance is at most `most`: a quick alignment that shows it will do, else the distance is taken."""
     if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
         return True
-    return edit_distance(a, b) <= most
+    return _aligned(x, y, most) or edit_distance(a, b) <= most
 
 
 def _same(a: bytes, b: bytes) -> bool:
